@@ -122,9 +122,13 @@ class Vocabulary:
         return table
 
     def zipf(self, shift: float = 2.7, byte_mass: float = 1e-3) -> tuple[np.ndarray, float]:
-        """(log probability of each piece, of an unknown byte): score -r is rank r, and rank r has weight 1 / (r + shift)."""
-        usable = (self.kinds == 0) & (self.scores > -1e8)
-        weight = np.where(usable, 1.0 / (1.0 - np.minimum(self.scores, 0.0) + shift), 0.0)
+        """(log probability of each piece, of an unknown byte): score -r is rank r, and rank r has weight 1 / (r + shift).
+
+        Pieces whose score bars them from merging come last.
+        """
+        ranked = (self.kinds == 0) & (self.scores > -1e8)
+        rank = np.where(ranked, 1.0 - np.minimum(self.scores, 0.0), 1.0 - min(self.scores[ranked].min(initial=0.0), 0.0) + 1.0)
+        weight = np.where(self.kinds == 0, 1.0 / (rank + shift), 0.0)
         with np.errstate(divide="ignore"):
             return np.log(weight / weight.sum() * (1 - byte_mass)), float(np.log(byte_mass / 256))
 
