@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,7 +129,7 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(depth)[:n] > 0
 
 
-def _remove(width: int):
+def _remove(width: int, verbatim: bool):
     def run(key, docs, repeats):
         ids = cluster.ids_of(docs.column("doc_id").combine_chunks())
         rows, places, _ = places_of(repeats, ids)
@@ -165,6 +166,10 @@ def _remove(width: int):
             who = row[begin] if len(begin) else begin
             span = pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(hi - lo + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(begin - first[who], pa.int64()), pa.array(end - first[who], pa.int64())], ["start", "stop"]))
             out.append(pa.table({"doc_id": docs.column("doc_id").combine_chunks()[lo:hi].cast("int64"), "n_words": pa.array(np.diff(first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "intervals": span, "kept_text": words.strings(flat, edge)}))
+            if verbatim:
+                out[-1] = out[-1].set_column(4, "kept_text", pc.if_else(pa.array(removed == 0), text[lo:hi].cast(pa.string()), out[-1].column("kept_text").combine_chunks()))
+            if "rest" in docs.column_names:
+                out[-1] = out[-1].append_column("rest", docs.column("rest").combine_chunks()[lo:hi])
         return pa.concat_tables(out)
 
     return run
@@ -173,17 +178,20 @@ def _remove(width: int):
 SCHEMA = "doc_id long, n_words long, n_removed long, intervals array<struct<start:long,stop:long>>, kept_text string"
 
 
-def dedup_substrings(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", rest: str | None = None, verbatim: bool = False) -> DataFrame:
     """One row per document: n_words, n_removed, intervals of removed words, kept_text (kept words joined by a space).
 
     Null or empty texts, and texts shorter than a window, lose nothing.  A null id
     counts as the smallest.  Rows that repeat an id count as one document: they do
-    not remove each other and share their removals.  Other columns are not read.
+    not remove each other and share their removals.  A column named as ``rest`` is
+    passed on under that name; others are not read.  With ``verbatim`` a text that
+    loses nothing is passed on as it is (null stays null).
     """
     spark = docs.sparkSession
     n_shards = n_buckets = 4 * cluster.partitions(spark)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    entries = docs.mapInArrow(_hash_windows(width, n_buckets, n_shards), "bucket int, kind int, blob binary")
+    schema = SCHEMA + (f", rest {docs.schema[rest].dataType.simpleString()}" if rest else "")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.col(rest).alias("rest")] if rest else []))
+    entries = docs.select("doc_id", "text").mapInArrow(_hash_windows(width, n_buckets, n_shards), "bucket int, kind int, blob binary")
     repeats = entries.groupBy("bucket").applyInArrow(_repeats(n_shards), "shard int, blob binary")
     shards = docs.withColumn("shard", cluster.shard_of("doc_id", n_shards))
-    return shards.groupBy("shard").cogroup(repeats.groupBy("shard")).applyInArrow(_remove(width), SCHEMA)
+    return shards.groupBy("shard").cogroup(repeats.groupBy("shard")).applyInArrow(_remove(width, verbatim), schema)

@@ -303,3 +303,20 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (cluster.crc_mod(doc_id, 5) == 0).alias("held_out"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(_score(shared), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def _clean(shared, column: int):
+    def run(batches):
+        pooler = Pooler(shared.value.landmarks)
+        for batch in batches:
+            parts = [shared.value.score(pooler.pool(data, offs)) for _, _, data, offs in words.text_parts(batch.column(column), 1 << 20)]
+            if parts:
+                yield batch.filter(pa.array(np.concatenate(parts) < 0.5))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs that are not predicted toxic, all columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_clean(shared, docs.columns.index(text)), docs.schema)
