@@ -2,22 +2,24 @@
 
 A document's set are its distinct shingles of n lower-cased words.  Two sets of
 sizes a and b can only reach the threshold t if, under any global order of tokens,
-the first a - ceil(t * a) + 1 tokens of one and likewise of the other share one.
-So candidates must share such a prefix token under each of ORDERS orders, and the
-orders' candidates are intersected before sets are compared.
+the first a - ceil(t * a) + SHARED tokens of one and likewise of the other have SHARED
+in common (or all that the threshold asks for, if fewer).  So candidates must share
+that many prefix tokens under each of ORDERS orders, and the orders' candidates are
+intersected before sets are compared.
 
-Equal sets are one node (64-bit fingerprint of the set).  Tokens that many prefixes
+Equal sets are one node (64-bit fingerprint of the set).  Tokens that several prefixes
 hold come last in every order, each order has its own hash; any such table of
 frequent tokens gives a valid order, so its size is bounded without losing links.
 
 1. One pass finds each document's size and fingerprint and counts prefix tokens.
 2. A second pass deals prefix tokens by hash to buckets, which keep the tokens that
    two or more nodes share.
-3. Each token's nodes are first compared with one of them, its pivot; the links
-   found make components.  Then pairs of nodes that share a token but lie in
-   different components are compared, in tiles.  Pairs within a component need no
-   comparison, since they change no component, so a large group of near copies
-   costs a comparison per copy and not per pair.
+3. Pairs that share enough tokens of at most CROWD nodes each are compared.  Tokens
+   of more nodes, as large groups of near copies have, compare each node with one,
+   the token's pivot.  The links found make components.
+4. Pairs that share a crowded token in any order but lie in different components are
+   compared, in tiles.  Pairs within a component change none, so a large group costs
+   a comparison per copy and not per pair.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ from larkspur.llm import cluster, words
 from larkspur.llm.components import components
 
 ORDERS = 2
-FREQUENT = 32  # prefixes that hold a token that counts as frequent
-TABLE = 500_000  # frequent tokens at most
+SHARED = 4
+FREQUENT = 3  # prefixes that hold a token that counts as frequent
+TABLE = 2_000_000  # frequent tokens at most, the most frequent ones
+CROWD = 48
 SEEDS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A68DE, 0xC2B2AE3D27D4EB4F)
 TILE = 1024
 COUNT, DOC = 0, 1
@@ -57,14 +61,14 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int):
     keep[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
     row, token = row[keep], token[keep]
     edge = np.searchsorted(row, np.arange(len(offs)))
-    mark = np.concatenate([[0], np.cumsum(words.mix(token ^ np.uint64(SEEDS[2])), dtype=np.uint64)]).astype(np.uint64)
+    mark = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(token ^ np.uint64(SEEDS[2])), dtype=np.uint64)])
     sums = mark[edge[1:]] - mark[edge[:-1]]
     print_ = words.mix(sums + np.diff(edge).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
     return token, edge, print_
 
 
 def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
-    return np.where(size > 0, size - (-(-size * percent // 100)) + 1, 0)
+    return np.minimum(size, size - (-(-size * percent // 100)) + SHARED)
 
 
 def prefixes(token: np.ndarray, edge: np.ndarray, percent: int, seed: int, frequent: np.ndarray) -> np.ndarray:
@@ -100,7 +104,8 @@ def _measure(n: int, percent: int, n_buckets: int):
             for lo, hi, data, offs in words.text_parts(batch.column(1)):
                 token, edge, node = shingle_sets(data, offs, n)
                 yield batch_of(DOC, doc_id=batch.column(0).slice(lo, hi - lo), size=np.diff(edge), node=node)
-                held.append(token[prefixes(token, edge, percent, SEEDS[0], np.zeros(0, np.uint64))])
+                some = np.unique(np.concatenate([prefixes(token, edge, percent, SEEDS[o], np.zeros(0, np.uint64)) for o in range(ORDERS)]))
+                held.append(token[some])
                 total += len(held[-1])
                 if total > 1_000_000:
                     yield counts(held)
@@ -159,7 +164,7 @@ def _postings(shared, n: int, percent: int, n_buckets: int):
 
 
 def _shared_tokens(key, table):
-    """Of a bucket: (order, token, node, n, pivot, pivot_n) for the tokens of two nodes or more; the pivot is the smallest node."""
+    """Of a bucket: (order, token, node, n, m, pivot, pivot_n) for the tokens of m > 1 nodes; the pivot is the smallest node."""
     parts = [cluster.unpack(b) for b in table.column("blob").to_pylist()]
     node = np.concatenate([ids[rank] for ids, _, rank, _ in parts])
     size = np.concatenate([s[rank] for _, s, rank, _ in parts]).astype(np.int64)
@@ -174,16 +179,16 @@ def _shared_tokens(key, table):
     pivot, pivot_n = np.repeat(node[first], count), np.repeat(size[first], count)
     at = np.repeat(count, count) > 1
     b = int(key[0].as_py())
-    return pa.table({"order": pa.array(np.full(at.sum(), b % ORDERS, np.int32)), "token": pa.array((np.int64(b) << 32) + token[at].astype(np.int64)), "node": pa.array(node[at]), "n": pa.array(size[at]), "pivot": pa.array(pivot[at]), "pivot_n": pa.array(pivot_n[at])})
+    return pa.table({"order": pa.array(np.full(at.sum(), b % ORDERS, np.int32)), "token": pa.array((np.int64(b) << 32) + token[at].astype(np.int64)), "node": pa.array(node[at]), "n": pa.array(size[at]), "m": pa.array(np.repeat(count, count)[at]), "pivot": pa.array(pivot[at]), "pivot_n": pa.array(pivot_n[at])})
 
 
 def _sets(n: int):
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offs in words.text_parts(batch.column(1)):
-                token, edge, _ = shingle_sets(data, offs, n)
-                six = np.ascontiguousarray(np.sort(token >> np.uint64(16)) if hi - lo == 1 else token >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].reshape(-1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), words.strings(six, edge * 6, pa.binary())], ["node", "tokens"])
+            for _, _, data, offs in words.text_parts(batch.column(0)):
+                token, edge, node = shingle_sets(data, offs, n)
+                six = np.ascontiguousarray(token >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].reshape(-1)
+                yield pa.RecordBatch.from_arrays([pa.array(node), words.strings(six, edge * 6, pa.binary())], ["node", "tokens"])
 
     return run
 
@@ -247,9 +252,22 @@ def _cross_pairs(percent: int):
     return run
 
 
-def _candidates(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of nodes of different components that share a token."""
-    named = shared.select("token", "node", "n").join(labels.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+def _small_pairs(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that share enough tokens of few nodes under every order."""
+    few = found.where(F.col("m") <= CROWD).select("order", "token", "node", "n")
+    a, b = few.select("order", "token", F.col("node").alias("v"), F.col("n").alias("nv")), few.select("token", F.col("node").alias("u"), F.col("n").alias("nu"))
+    pairs = a.join(b, "token").where((F.col("v") < F.col("u")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")))
+    counts = [F.count_if(F.col("order") == o).alias(f"c{o}") for o in range(ORDERS)]
+    least = F.least(F.lit(SHARED), F.ceil(F.lit(percent) * F.greatest("nu", "nv") / 100))
+    pairs = pairs.groupBy("u", "v", "nu", "nv").agg(*counts)
+    for o in range(ORDERS):
+        pairs = pairs.where(F.col(f"c{o}") >= least)
+    return pairs.select("u", "v")
+
+
+def _crowded_pairs(crowded: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of nodes of different components that share a crowded token."""
+    named = crowded.select("token", "node", "n").join(labels.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = named.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).where("a <> b")
     rows = named.join(mixed.select("token", F.ceil(F.col("m") / TILE).cast("int").alias("g")), "token").withColumn("x", F.pmod(F.xxhash64("node"), "g").cast("int"))
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda y: F.struct(F.least("x", y).alias("i"), F.greatest("x", y).alias("j"), F.when(F.col("x") == y, 0).when(F.col("x") < y, 1).otherwise(2).alias("side"))))
@@ -276,21 +294,21 @@ def join_similar(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "
     nodes = measured.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(int(cluster.NULL_ID)))).alias("least"))
 
     postings = docs.select("text").mapInArrow(_postings(shared, n, percent, n_buckets), "bucket int, blob binary")
-    found = cluster.written(postings.groupBy("bucket").applyInArrow(_shared_tokens, "order int, token long, node long, n long, pivot long, pivot_n long"), folder, "shared")
-    wanted = found.select("node").distinct().join(nodes, "node")
-    texts = docs.withColumn("least", F.coalesce("doc_id", F.lit(int(cluster.NULL_ID)))).join(wanted.select("least"), "least", "left_semi").select("least", "text")
-    sets = texts.join(wanted, "least").select("node", "text").mapInArrow(_sets(n), "node long, tokens binary")
+    found = cluster.written(postings.groupBy("bucket").applyInArrow(_shared_tokens, "order int, token long, node long, n long, m long, pivot long, pivot_n long"), folder, "shared")
+    crowded = found.where(F.col("m") > CROWD)
+    fits = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
+    stars = crowded.where((F.col("node") != F.col("pivot")) & fits).select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+    pairs = cluster.written(_small_pairs(found, percent).union(stars).distinct(), folder, "pairs")
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(crowded.select("node")).distinct().join(nodes, "node")
+    texts = docs.withColumn("least", F.coalesce("doc_id", F.lit(int(cluster.NULL_ID))))
+    sets = texts.join(wanted, "least").select("text").mapInArrow(_sets(n), "node long, tokens binary").dropDuplicates(["node"])
     sets = cluster.written(sets, folder, "sets")
 
-    fits = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
-    stars = found.where((F.col("node") != F.col("pivot")) & fits).groupBy(F.col("node").alias("u"), F.col("pivot").alias("v")).agg(F.bit_or(F.expr("shiftleft(1, `order`)")).alias("orders"))
-    links = cluster.written(_links(stars.where(F.col("orders") == (1 << ORDERS) - 1).select("u", "v"), sets, percent), folder, "links1")
+    links = cluster.written(_links(pairs, sets, percent), folder, "links1")
     labels = components(links, f"{folder}/c1")
-    pairs = _candidates(found.where(F.col("order") == 0), labels, percent)
-    for o in range(1, ORDERS):
-        pairs = pairs.join(_candidates(found.where(F.col("order") == o), labels, percent), ["u", "v"], "left_semi")
-    more = cluster.written(_links(pairs, sets, percent), folder, "links2")
-    labels = components(labels.union(more), f"{folder}/c2")
+    more = cluster.written(_links(_crowded_pairs(crowded, labels, percent), sets, percent), folder, "links2")
+    if more.head(1):
+        labels = components(labels.union(more), f"{folder}/c2")
 
     rooted = nodes.join(labels.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
