@@ -1,11 +1,495 @@
-"""Queries over the driver's tables, with their SQL twins."""
+"""Queries over the driver's tables, with their SQL twins.
+
+The tables have no notes, links, salience or dates, so these bindings stand in:
+created = 2024-01-01 + doc_id % 365 days, salience = 0.9 * quality or 0.5, edges =
+neighbours by doc_id within a source, vectors = embeddings, queue and log = events.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from larkspur.functions import scores as S
+from larkspur.functions import text as X
+from larkspur.operators import changes, library, links, notes, profile, retrieval, vectors, verify
+from larkspur.streaming import dispatch
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+ASKED = ["onesen", "whou", "nter", "erth"]
+DAY = "DATE '2024-12-31'"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def corpus(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    quality = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality")
+    docs = docs.join(quality, "id", "left").withColumn("salience", F.coalesce(F.col("quality") * 0.9, F.lit(0.5)))
+    return retrieval.with_tokens(docs.withColumn("created", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("id", F.lit(365)).cast("int"))))
+
+
+def neighbours(docs: DataFrame) -> DataFrame:
+    before = docs.select("id", F.lag("id").over(Window.partitionBy("source").orderBy("id")).alias("to")).where("to is not null")
+    return retrieval.build_edges(before.select("id", F.col("to").cast("string").alias("mention")), docs.select("id", F.col("id").cast("string").alias("key")))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP) + "]"
+TOK = rf"tok AS (SELECT doc_id AS id, source, text, list_filter(list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_.\-]*'), lambda x: trim(x, '.-_')), lambda x: length(x) >= 2 AND NOT list_contains({_STOP}, x)) AS tokens FROM documents)"
+_ASK = ", ".join(f"('{q}')" for q in ASKED)
+BM25 = TOK + rf""",
+dl AS (SELECT id, greatest(len(tokens), 1) AS dl FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+tf AS (SELECT id, t AS term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS t FROM tok) WHERE t IN (SELECT * FROM (VALUES {_ASK})) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+raw AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS lex FROM tf JOIN df USING (term) JOIN dl USING (id) CROSS JOIN st GROUP BY id),
+bm AS (SELECT dl.id, coalesce(lex, 0) AS lex FROM dl LEFT JOIN raw ON raw.id = dl.id)"""
+LEX = BM25 + ", lx AS (SELECT id, CASE WHEN max(lex) OVER () > 0 THEN lex / max(lex) OVER () ELSE 0 END AS lex FROM bm)"
+EDGE = "hop AS (SELECT doc_id AS a, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents), ed AS (SELECT DISTINCT a AS src, b AS dst FROM hop WHERE b IS NOT NULL UNION SELECT b, a FROM hop WHERE b IS NOT NULL)"
+GRAPH = f"""{LEX}, {EDGE}, sd AS (SELECT id AS seed, lex AS sl FROM lx WHERE lex > 0 ORDER BY lex DESC, id LIMIT 5),
+r1 AS (SELECT DISTINCT seed, sl, dst AS id, 1 AS h FROM sd JOIN ed ON src = seed), r2 AS (SELECT DISTINCT seed, sl, dst AS id, 2 AS h FROM r1 JOIN ed ON src = r1.id),
+rr AS (SELECT seed, sl, id, min(h) AS h FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) WHERE id <> seed GROUP BY ALL), gs AS (SELECT id, max(sl * pow(0.5, h)) AS graph FROM rr GROUP BY id)"""
+REC = "rc AS (SELECT doc_id AS id, exp(-ln(2) * date_diff('day', c, max(c) OVER ()) / 90.0) AS recency FROM (SELECT doc_id, DATE '2024-01-01' + CAST(doc_id % 365 AS INT) AS c FROM documents))"
+FUSED = f"""WITH {GRAPH}, {REC}, fu AS (SELECT lx.id, lex, coalesce(graph, 0) AS graph, recency, coalesce(quality * 0.9, 0.5) AS salience FROM lx LEFT JOIN gs USING (id) JOIN rc USING (id) LEFT JOIN labels ON labels.doc_id = lx.id),
+sc AS (SELECT *, 0.45 * lex + 0.25 * graph + 0.1 * recency + 0.2 * salience AS score, CASE WHEN lex > 0 THEN 'lexical' WHEN graph > 0 THEN 'graph' ELSE '-' END AS route FROM fu WHERE lex > 0 OR graph > 0)"""
+
+
+# ---- retrieval
+
+
+@query(f"WITH {TOK} SELECT id, CAST(len(tokens) AS BIGINT) AS n, array_to_string(tokens[1:5], ' ') AS first FROM tok")
+def ret_tokens(spark, sf):
+    return corpus(spark, sf).select("id", F.size("tokens").cast("long").alias("n"), F.array_join(F.slice("tokens", 1, 5), " ").alias("first"))
+
+
+@query(f"WITH {TOK} SELECT id, t AS term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS t FROM tok) GROUP BY ALL HAVING count(*) > 2")
+def ret_tf(spark, sf):
+    return retrieval.term_counts(corpus(spark, sf)).where("tf > 2")
+
+
+@query(f"WITH {TOK} SELECT t AS term, count(DISTINCT id) AS df FROM (SELECT id, unnest(tokens) AS t FROM tok) GROUP BY ALL")
+def ret_df(spark, sf):
+    return retrieval.document_frequency(corpus(spark, sf))
+
+
+@query(f"WITH {BM25} SELECT id, round(lex, 6) AS lex FROM bm ORDER BY round(lex, 9) DESC, id LIMIT 20")
+def ret_bm25_top20(spark, sf):
+    return retrieval.bm25(corpus(spark, sf), ASKED).orderBy(F.desc(F.round("lex", 9)), "id").limit(20).select("id", F.round("lex", 6).alias("lex"))
+
+
+@query(f"WITH {LEX} SELECT id, round(lex, 6) AS lex FROM lx")
+def ret_norm(spark, sf):
+    return retrieval.normalised(retrieval.bm25(corpus(spark, sf), ASKED), "lex").select("id", F.round("lex", 6).alias("lex"))
+
+
+@query(f"WITH {REC} SELECT id, round(recency, 6) AS recency FROM rc")
+def ret_recency(spark, sf):
+    return retrieval.recency_scores(corpus(spark, sf)).select("id", F.round("recency", 6).alias("recency"))
+
+
+@query(f"WITH {GRAPH} SELECT seed, round(sl, 6) AS seed_lex FROM sd")
+def ret_seeds(spark, sf):
+    return retrieval.seeds(retrieval.normalised(retrieval.bm25(corpus(spark, sf), ASKED), "lex")).select("seed", F.round("seed_lex", 6).alias("seed_lex"))
+
+
+@query(f"WITH {GRAPH} SELECT id, round(graph, 6) AS graph FROM gs")
+def ret_graph_hops(spark, sf):
+    docs = corpus(spark, sf)
+    return retrieval.graph_scores(retrieval.normalised(retrieval.bm25(docs, ASKED), "lex"), neighbours(docs)).select("id", F.round("graph", 6).alias("graph"))
+
+
+@query(FUSED + " SELECT id, round(score, 6) AS score, route FROM sc ORDER BY round(score, 9) DESC, id LIMIT 10")
+def ret_fused_top10(spark, sf):
+    docs = corpus(spark, sf)
+    return retrieval.search(docs, neighbours(docs), ASKED, 10).select("id", F.round("score", 6).alias("score"), "route")
+
+
+@query(FUSED + " SELECT route, count(*) AS n FROM sc GROUP BY route")
+def ret_route(spark, sf):
+    docs = corpus(spark, sf)
+    return retrieval.search(docs, neighbours(docs), ASKED, 1 << 30).groupBy("route").agg(F.count("*").alias("n"))
+
+
+@query(rf"WITH ln AS (SELECT doc_id AS id, list_filter(string_split(text, chr(10)), lambda x: list_has_any(list_filter(list_transform(regexp_extract_all(lower(x), '[a-z0-9][a-z0-9_.\-]*'), lambda y: trim(y, '.-_')), lambda y: length(y) >= 2), ['onesen', 'whou'])) AS l FROM documents) SELECT id, left(trim(regexp_replace(l[1], '[ \t]+', ' ', 'g')), 110) AS snippet FROM ln WHERE len(l) > 0")
+def ret_snippet(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.snippet(F.col("text"), ASKED[:2]).alias("snippet")).where("snippet is not null")
+
+
+# ---- vectors
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+def _first(rows):
+    return rows.where("id = 0").select(F.col("v").alias("q"))
+
+
+COS = "q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), cs AS (SELECT vec_id AS id, list_sum(list_transform(list_zip(embedding, q), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS cosine FROM embeddings, q)"
+BITS = "list_sum(list_transform(range(1, 65), lambda i: CASE WHEN ({a}[i] >= 0) <> ({b}[i] >= 0) THEN 1 ELSE 0 END))"
+HAM = "q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), hm AS (SELECT vec_id AS id, CAST(" + BITS.format(a="embedding", b="q") + " AS BIGINT) AS distance FROM embeddings, q)"
+
+
+@query(f"WITH {COS} SELECT id, round(cosine, 6) AS cosine FROM cs ORDER BY round(cosine, 9) DESC, id LIMIT 10")
+def vec_cosine_topk(spark, sf):
+    return vectors.cosine_topk(_vectors(spark, sf), _first(_vectors(spark, sf)), 10).select("id", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"WITH {COS} SELECT id, round(cosine, 6) AS cosine FROM cs WHERE cosine >= 0.35 ORDER BY round(cosine, 9) DESC, id LIMIT 1000")
+def vec_floor(spark, sf):
+    return vectors.cosine_topk(_vectors(spark, sf), _first(_vectors(spark, sf)), 1000, 0.35).select("id", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"WITH {HAM} SELECT id, distance FROM hm ORDER BY distance, id LIMIT 10")
+def vec_hamming_topk(spark, sf):
+    return vectors.hamming_topk(_vectors(spark, sf), _first(_vectors(spark, sf)), 10)
+
+
+@query(f"WITH {HAM}, cs AS (SELECT vec_id AS id, list_sum(list_transform(list_zip(embedding, q), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS cosine FROM embeddings, q), nr AS (SELECT id FROM hm ORDER BY distance, id LIMIT 50) SELECT id, round(cosine, 6) AS cosine FROM nr JOIN cs USING (id) WHERE cosine >= 0.1 ORDER BY round(cosine, 9) DESC, id LIMIT 10")
+def vec_two_pass(spark, sf):
+    return vectors.two_pass(_vectors(spark, sf), _first(_vectors(spark, sf)), 10, 50, 0.1).select("id", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"WITH {GRAPH}, {REC}, {COS}, vc AS (SELECT id, cosine, greatest(cosine, 0) / max(greatest(cosine, 0)) OVER () AS vec FROM cs WHERE cosine >= 0.35), fu AS (SELECT lx.id, 0.3 * lex + 0.25 * coalesce(vec, 0) + 0.25 * coalesce(graph, 0) + 0.05 * recency + 0.15 * coalesce(quality * 0.9, 0.5) AS score, CASE WHEN lex > 0 THEN 'lexical' WHEN graph > 0 THEN 'graph' ELSE 'vector' END AS route FROM lx LEFT JOIN gs USING (id) JOIN rc USING (id) LEFT JOIN vc USING (id) LEFT JOIN labels ON labels.doc_id = lx.id WHERE lex > 0 OR graph > 0 OR cosine >= 0.35) SELECT id, round(score, 6) AS score, route FROM fu ORDER BY round(score, 9) DESC, id LIMIT 10")
+def vec_hybrid(spark, sf):
+    docs, v = corpus(spark, sf), _vectors(spark, sf)
+    near = vectors.against(v, _first(v)).select("id", S.dot(F.col("v"), F.col("q")).alias("cosine"))
+    return retrieval.search(docs, neighbours(docs), ASKED, 10, near).select("id", F.round("score", 6).alias("score"), "route")
+
+
+@query("WITH n AS (SELECT doc_id AS id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0), o AS (SELECT doc_id AS id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) SELECT CASE WHEN n.id IS NULL THEN 'pruned' WHEN n.h = o.h THEN 'reused' ELSE 'built' END AS status, count(*) AS n FROM n FULL JOIN o USING (id) GROUP BY 1")
+def vec_index_delta(spark, sf):
+    """An index of one state of the documents against another: the states are made by the filters, as no table has two."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    new = d.where("id % 7 <> 0").select("id", F.sha2("text", 256).alias("content_hash"))
+    old = d.where("id % 11 <> 0").select("id", F.sha2(F.when(F.col("id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("content_hash"))
+    return vectors.index_delta(new, old).groupBy("status").agg(F.count("*").alias("n"))
+
+
+# ---- duplicates
+
+
+@query()
+def dup_jaccard(spark, sf):
+    """Jaccard >= 0.55 of word sets over all pairs; tested against brute force."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.token_set(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    return library.near_pairs(d).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def dup_resolve(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars", X.token_set(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    agents = d.select("id", F.pmod("n_chars", F.lit(8)).alias("craft"), F.col("n_chars").alias("uses"), F.col("id").alias("pos"))
+    return library.resolve_duplicates(library.near_pairs(d.select("id", "tokens")), agents)
+
+
+@query("WITH g AS (SELECT sha256(text) AS profile, count(*) AS members, min(doc_id) AS f FROM documents GROUP BY 1), t AS (SELECT sum(members) AS a, max_by(profile, members * 1000000000 - f) AS top FROM g) SELECT profile, members, round(members / a, 4) AS mass, profile = top AS dominant FROM g, t WHERE members > 1")
+def dup_exact_hash(spark, sf):
+    return verify.clusters(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("behaviour"))).where("members > 1")
+
+
+# ---- notes and evidence
+
+
+def _notes(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return d.select(F.col("doc_id").alias("id"), F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(365)).cast("int")).alias("last_access"), F.pmod("n_chars", F.lit(13)).alias("freq"), F.coalesce(F.col("quality") * 0.9, F.lit(0.2)).alias("importance"), (F.pmod("doc_id", F.lit(17)) == 0).alias("stub"))
+
+
+NOTE = "nt AS (SELECT documents.doc_id AS id, date_diff('day', DATE '2024-01-01' + CAST(documents.doc_id % 365 AS INT), DATE '2024-12-31') AS age, n_chars % 13 AS freq, coalesce(quality * 0.9, 0.2) AS imp, documents.doc_id % 17 = 0 AS stub FROM documents LEFT JOIN labels USING (doc_id))"
+
+
+@query(f"WITH {NOTE} SELECT id, round(pow(0.995, 24 * age), 9) AS recency FROM nt")
+def note_recency_decay(spark, sf):
+    return notes.score_notes(_notes(spark, sf), F.expr(DAY)).select("id", F.round("recency", 9).alias("recency"))
+
+
+@query(f"WITH {NOTE}, u AS (SELECT *, 0.6 * least(freq / 10, 1) + 0.4 * imp - 0.01 * age AS utility FROM nt) SELECT id, round(utility, 6) AS utility, round(0.25 * pow(0.995, 24 * age) + 0.35 * imp + 0.2, 6) AS score, CASE WHEN stub THEN 'STUB' WHEN utility >= 0.35 THEN 'KEEP' WHEN imp < 0.3 THEN 'DELETE' ELSE 'DISTIL' END AS action FROM u")
+def note_utility_action(spark, sf):
+    return notes.score_notes(_notes(spark, sf), F.expr(DAY)).select("id", F.round("utility", 6).alias("utility"), F.round("score", 6).alias("score"), "action")
+
+
+@query("SELECT source AS tag, list_sort(list(DISTINCT right(CAST(doc_id AS VARCHAR), 4))) AS ids FROM documents GROUP BY source")
+def note_tag_index(spark, sf):
+    return notes.tag_index(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.array("source").alias("tags")))
+
+
+def _evidence(spark, sf):
+    c = table(spark, sf, "conversations")
+    return c.select(F.col("conv_id").alias("note_id"), F.col("turn").alias("line_no"), F.lit("2024-05-01").alias("date"), F.when(F.col("role") == "user", "SUPPORT").otherwise("CHALLENGE").alias("stance"), F.coalesce("role", F.lit("")).alias("source"), F.left(F.regexp_replace("text", r"[^A-Za-z ]", ""), F.lit(60)).alias("quote"))
+
+
+EVD = "ev AS (SELECT conv_id AS note_id, turn AS line_no, CASE WHEN role = 'user' THEN 'SUPPORT' ELSE 'CHALLENGE' END AS stance, coalesce(role, '') AS source, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 60) AS quote FROM conversations), cj AS (SELECT *, '{\"date\":\"2024-05-01\",\"stance\":\"' || stance || '\",\"source\":\"' || source || '\",\"quote\":\"' || quote || '\"}' AS canonical FROM ev)"
+
+
+@query("WITH ev AS (SELECT conv_id AS note_id, count(*) FILTER (role = 'user') AS support, count(*) FILTER (role IS DISTINCT FROM 'user') AS challenge FROM conversations GROUP BY 1) SELECT *, challenge > 0 AS contested FROM ev")
+def evd_counts(spark, sf):
+    e = _evidence(spark, sf)
+    return e.groupBy("note_id").agg(F.count_if(F.col("stance") == "SUPPORT").alias("support"), F.count_if(F.col("stance") == "CHALLENGE").alias("challenge")).withColumn("contested", F.col("challenge") > 0)
+
+
+@query(f"WITH {EVD} SELECT note_id, line_no, sha256(canonical) AS fingerprint FROM cj")
+def evd_canonical(spark, sf):
+    e = _evidence(spark, sf)
+    return e.select("note_id", "line_no", F.sha2(notes.canonical(F.col("date"), F.col("stance"), F.col("source"), F.col("quote")), 256).alias("fingerprint"))
+
+
+@query(f"WITH {EVD} SELECT note_id, CAST(count(*) AS BIGINT) AS records, CAST(count(DISTINCT canonical) AS BIGINT) AS kept FROM cj GROUP BY note_id")
+def evd_dedup(spark, sf):
+    e = _evidence(spark, sf)
+    c = notes.canonical(F.col("date"), F.col("stance"), F.col("source"), F.col("quote"))
+    return e.select("note_id", c.alias("c")).groupBy("note_id").agg(F.count("*").alias("records"), F.countDistinct("c").alias("kept"))
+
+
+# ---- graphs
+
+
+@query(f"WITH {EDGE} SELECT src, dst FROM ed")
+def gra_edges(spark, sf):
+    return neighbours(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
+def gra_orphans(spark, sf):
+    return links.orphans(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("target")))
+
+
+@query("SELECT l_orderkey AS id, l_suppkey * 3 AS target FROM lineitem WHERE l_suppkey * 3 NOT IN (SELECT s_suppkey FROM supplier)")
+def gra_dangling(spark, sf):
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") * 3).alias("target"))
+    return links.dangling(lines, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")))
+
+
+@query("WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 2 + 1) % 29 AS dst FROM nation), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM r")
+def gra_closure(spark, sf):
+    e = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("src"), ((F.col("n_nationkey") * 2 + 1) % 29).cast("long").alias("dst"))
+    return links.closure(e)
+
+
+# ---- profiles and logs
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field, count(*) FILTER ({c} IS NULL) AS nulls, count(DISTINCT {c}) AS \"distinct\", min(CAST({c} AS VARCHAR)) AS low, max(CAST({c} AS VARCHAR)) AS high, CAST(min(length(CAST({c} AS VARCHAR))) AS BIGINT) AS shortest, CAST(max(length(CAST({c} AS VARCHAR))) AS BIGINT) AS longest FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))
+def prof_columns(spark, sf):
+    return profile.profile_columns(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+
+
+@query("SELECT c_mktsegment AS value, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1")
+def prof_enum(spark, sf):
+    return profile.enum_values(table(spark, sf, "customer"), "c_mktsegment")
+
+
+@query("SELECT 'k' AS key, count(*) FILTER (json_extract_string(props, '$.k') IS NOT NULL) AS present, count(*) FILTER (json_extract_string(props, '$.k') IS NULL) AS missing, min(json_extract_string(props, '$.k')) AS low, max(json_extract_string(props, '$.k')) AS high FROM events")
+def prof_json_keys(spark, sf):
+    return profile.json_keys(table(spark, sf, "events"), "props")
+
+
+def _log(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select(F.col("event_id").alias("pos"), F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "event_type", F.concat(F.lit("user="), "user_id"), F.concat(F.lit("took "), F.round("value", 2), F.lit("ms"))).alias("line"))
+
+
+@query()
+def log_templates(spark, sf):
+    return profile.log_templates(_log(spark, sf))
+
+
+@query()
+def log_detector(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.looks_like_log(F.col("text")).alias("is_log"))
+
+
+# ---- agent library
+
+
+def _agents(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    prompt = F.concat(F.when(F.pmod("doc_id", F.lit(3)) == 0, "never invent facts. out of scope: all. output format below. tool policy. ").otherwise(""), F.when(F.pmod("doc_id", F.lit(4)) == 0, "You are the Clerk. self-check before delivery: verify. gap table. ").otherwise(""), F.left("text", F.lit(200)))
+    return d.select(F.col("doc_id").alias("id"), F.concat(F.lit("Helper v"), F.pmod("doc_id", F.lit(9))).alias("name"), F.left("text", F.lit(120)).alias("description"), prompt.alias("systemPrompt"), F.pmod("n_chars", F.lit(600)).alias("numberOfUses"), F.pmod("n_chars", F.lit(50)).alias("numberOfFavorites"), F.pmod("doc_id", F.lit(7)).alias("ragDocumentCount"), F.pmod("doc_id", F.lit(500)).cast("int").alias("age"), F.pmod("n_chars", F.lit(5)).alias("upvotes"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("verified"))
+
+
+AGENT = "ag AS (SELECT documents.doc_id AS id, CASE WHEN documents.doc_id % 3 = 0 THEN 1 ELSE 0 END AS p, CASE WHEN documents.doc_id % 4 = 0 THEN 1 ELSE 0 END AS g, n_chars % 600 AS uses, n_chars % 50 AS favs, documents.doc_id % 7 AS rag, documents.doc_id % 500 AS age, n_chars % 5 AS upvotes, coalesce(quality = 1, false) AS verified, CASE WHEN documents.doc_id % 500 <= 90 THEN 'Fresh' WHEN documents.doc_id % 500 <= 180 THEN 'Aging' WHEN documents.doc_id % 500 <= 365 THEN 'Stale' ELSE 'Abandoned' END AS fresh FROM documents LEFT JOIN labels USING (doc_id))"
+
+
+@query(f"WITH {AGENT} SELECT id, CAST(g AS BIGINT) AS a, CAST(p AS BIGINT) AS b, CAST(p AS BIGINT) AS c, CAST(p AS BIGINT) AS e, CAST(p AS BIGINT) AS f, CAST(g AS BIGINT) AS g FROM ag")
+def lib_rubric(spark, sf):
+    a = _agents(spark, sf)
+    bits = library.craft_bits(F.col("systemPrompt"), F.lit(""))
+    return a.select("id", *[bits[k].alias(k.lower()) for k in "ABCEFG"])
+
+
+@query()
+def lib_hygiene(spark, sf):
+    return _agents(spark, sf).select("id", library.hygiene(F.col("name"), F.col("description"), F.col("systemPrompt")).alias("flags"))
+
+
+@query(f"WITH {AGENT} SELECT id, fresh AS freshness FROM ag")
+def lib_freshness(spark, sf):
+    return _agents(spark, sf).select("id", S.freshness(F.col("age")).alias("freshness"))
+
+
+@query(f"WITH {AGENT}, md AS (SELECT uses AS median FROM (SELECT uses, row_number() OVER (ORDER BY uses) AS r, count(*) OVER () AS n FROM ag) WHERE r = n // 2 + 1), c AS (SELECT *, 4 * p + 2 * g AS craft FROM ag) SELECT id, CASE WHEN uses = 0 AND fresh IN ('Stale', 'Abandoned') THEN 'RETIRE' WHEN craft <= 3 AND fresh = 'Abandoned' THEN 'RETIRE' WHEN craft >= 6 AND uses > 0 AND fresh IN ('Fresh', 'Aging') THEN 'ENDORSE' WHEN craft <= 4 AND uses >= greatest(median, 1) THEN 'FIX' ELSE 'KEEP' END AS verdict FROM c, md")
+def lib_triage(spark, sf):
+    a = _agents(spark, sf)
+    bits = library.craft_bits(F.col("systemPrompt"), F.lit(""))
+    craft = sum((bits[k] for k in "ABCEFG"), F.lit(0))
+    middle = library.upper_median(a.select("numberOfUses"), "numberOfUses")
+    return a.join(F.broadcast(middle)).select("id", library.triage(craft, F.col("numberOfUses"), S.freshness(F.col("age")), F.lit(None).cast("string"), F.array().cast("array<string>"), F.col("median")).alias("verdict"))  # one row
+
+
+@query(f"WITH {AGENT} SELECT id, round(log10(uses + 1) / log10(600) * 6 + least(favs, 40) / 40 * 4, 6) AS adoption FROM ag")
+def lib_adoption(spark, sf):
+    return library.evaluate(_agents(spark, sf)).select("id", F.round("adoption", 6).alias("adoption"))
+
+
+@query(f"WITH {AGENT} SELECT count(*) AS n, CAST(sum(uses) AS BIGINT) AS uses, CAST(sum(upvotes) AS BIGINT) AS upvotes, count(*) FILTER (verified) AS verified, round(sum(uses) / greatest(sum(upvotes), 1), 6) AS uses_per_upvote FROM ag")
+def lib_summary(spark, sf):
+    return library.summary(_agents(spark, sf).withColumnRenamed("numberOfUses", "uses"))
+
+
+# ---- verification
+
+
+@query("SELECT a.c_custkey AS id, CAST(levenshtein(a.c_name || a.c_mktsegment, b.c_name || b.c_mktsegment) AS BIGINT) AS distance FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1")
+def ver_levenshtein(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", "c_mktsegment").alias("x"))
+    return c.join(c.select((F.col("id") - 1).alias("id"), F.col("x").alias("y")), "id").select("id", F.levenshtein("x", "y").cast("long").alias("distance"))
+
+
+@query("WITH n AS (SELECT count(*) AS n, CAST(ceil((count(*) + 1) * 0.95) AS BIGINT) AS rank FROM customer), r AS (SELECT c_acctbal, row_number() OVER (ORDER BY c_acctbal) AS r FROM customer) SELECT n, rank, c_acctbal AS quantile FROM n LEFT JOIN r ON r = rank")
+def ver_conformal(spark, sf):
+    return verify.conformal_threshold(table(spark, sf, "customer").select(F.col("c_acctbal").alias("score")))
+
+
+@query("WITH g AS (SELECT sha256(event_type) AS profile, count(*) AS members, min(event_id) AS f FROM events GROUP BY 1), t AS (SELECT sum(members) AS a, max_by(profile, members * 1000000000 - f) AS top FROM g) SELECT profile, members, round(members / a, 4) AS mass, profile = top AS dominant FROM g, t")
+def ver_cluster(spark, sf):
+    return verify.clusters(table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("behaviour")))
+
+
+@query("WITH h AS (SELECT user_id AS run, event_id AS step, event_type AS text, lag(event_type) OVER w AS a, lag(event_type, 2) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT run, step, CAST(levenshtein(text, a) AS BIGINT) AS distance, coalesce(text = b, false) AS repeats FROM h")
+def ver_oscillation(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("event_type").alias("text"))
+    return verify.oscillation(e).select("run", "step", "distance", "repeats")
+
+
+# ---- changes
+
+
+def _states(spark, sf):
+    o = table(spark, sf, "orders")
+    row = lambda extra: F.sha2(F.concat("o_orderstatus", F.lit("|"), F.col("o_custkey").cast("string"), extra), 256).alias("sha256")
+    before = o.where("o_orderkey % 10 <> 0").select(F.col("o_orderkey").cast("string").alias("path"), row(F.lit("")))
+    after = o.where("o_orderkey % 9 <> 0").select(F.col("o_orderkey").cast("string").alias("path"), row(F.when(F.col("o_orderkey") % 8 == 0, "x").otherwise("")))
+    return before, after
+
+
+STATE = "b AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, sha256(o_orderstatus || '|' || o_custkey) AS h FROM orders WHERE o_orderkey % 10 <> 0), a AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, sha256(o_orderstatus || '|' || o_custkey || CASE WHEN o_orderkey % 8 = 0 THEN 'x' ELSE '' END) AS h FROM orders WHERE o_orderkey % 9 <> 0)"
+
+
+@query(f"WITH {STATE} SELECT path, CASE WHEN a.h IS NULL THEN 'delete' ELSE 'write' END AS op FROM b FULL JOIN a USING (path) WHERE a.h IS DISTINCT FROM b.h")
+def chg_diff_plan(spark, sf):
+    return changes.diff_plan(*_states(spark, sf)).select("path", "op")
+
+
+@query(f"WITH {STATE} SELECT path, b.h AS sha256, a.h IS NULL AS missing FROM b LEFT JOIN a USING (path) WHERE a.h IS DISTINCT FROM b.h")
+def chg_restore_plan(spark, sf):
+    return changes.restore_plan(*_states(spark, sf))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS path, max(o_orderkey) AS snapshot_id FROM orders GROUP BY 1")
+def chg_latest_snapshot(spark, sf):
+    return changes.latest_containing(table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("path"), F.col("o_orderkey").alias("snapshot_id")))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 6 = 0 THEN 'deleted' WHEN doc_id % 5 = 0 THEN 'grown' WHEN doc_id % 4 = 0 THEN 'truncated' ELSE 'same' END AS state FROM documents WHERE length(text) > 1")
+def chg_append_only(spark, sf):
+    d = table(spark, sf, "documents").where(F.length("text") > 1).select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    new = F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("+"))).when(F.col("doc_id") % 4 == 0, F.expr("left(content, length(content) - 1)")).otherwise(F.col("content"))
+    return changes.append_only(d.select("path", "content"), d.where("doc_id % 6 <> 0").select("path", new.alias("content")))
+
+
+# ---- queue
+
+
+def _queue(spark, sf):
+    e = table(spark, sf, "events")
+    kind = F.element_at(F.array(*[F.lit(q) for q in dispatch.QUEUES]), (F.pmod("event_id", F.lit(3)) + 1).cast("int"))
+    return e.select(kind.alias("queue"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("name"), F.when(F.pmod("event_id", F.lit(4)) > 0, F.pmod("user_id", F.lit(200)).cast("int")).alias("priority"), (F.pmod("event_id", F.lit(101)) != 0).alias("readable"))
+
+
+@query("WITH q AS (SELECT ['handoffs', 'tasks', 'reports'][event_id % 3 + 1] AS queue, lpad(CAST(event_id AS VARCHAR), 9, '0') AS name, CASE WHEN event_id % 101 = 0 THEN 1000000000 WHEN event_id % 4 > 0 THEN user_id % 200 ELSE 100 END AS p FROM events) SELECT queue, name, CAST(row_number() OVER (PARTITION BY queue ORDER BY p, name) AS BIGINT) AS turn FROM q")
+def que_claim_order(spark, sf):
+    return dispatch.claim_order(_queue(spark, sf)).select("queue", "name", F.col("turn").cast("long").alias("turn"))
+
+
+@query("WITH e AS (SELECT user_id AS key, event_id AS seq, event_type = 'click' AS ok FROM events), g AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq) AS ep FROM e), r AS (SELECT *, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY key, ep ORDER BY seq) AS BIGINT) AS retries FROM g) SELECT key, seq, retries, max(retries > 3) OVER (PARTITION BY key ORDER BY seq) AS circuit_open FROM r")
+def que_retry_circuit(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "click").alias("ok"))
+    return dispatch.retry_circuit(e).select("key", "seq", "retries", "circuit_open")
+
+
+@query()
+def que_lease(spark, sf):
+    e = table(spark, sf, "events").select(F.pmod("user_id", F.lit(500)).cast("string").alias("resource"), F.col("event_id").cast("double").alias("at"), F.col("event_type").alias("owner"), F.lit(300.0).alias("ttl"))
+    return dispatch.leases_batch(e)
+
+
+@query("WITH h AS (SELECT DISTINCT CAST(ts AS DATE) AS run_no, event_type || user_id % 40 AS rule FROM events), l AS (SELECT DISTINCT run_no FROM h ORDER BY run_no DESC LIMIT 3) SELECT rule FROM h JOIN l USING (run_no) GROUP BY rule HAVING count(*) = 3")
+def que_quarantine(spark, sf):
+    h = table(spark, sf, "events").select(F.col("ts").cast("date").alias("run_no"), F.concat("event_type", F.pmod("user_id", F.lit(40)).cast("string")).alias("rule"))
+    return changes.quarantined(h)
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def que_windowed(spark, sf):
+    w = dispatch.windowed(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    return w.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+# ---- text and secrets
+
+
+@query()
+def sec_scan(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.secrets(F.col("text")).alias("labels"))
+
+
+@query("SELECT doc_id, CASE WHEN len(l) > 50 THEN array_to_string(list_concat(list_concat(l[1:40], ['... ' || (len(l) - 50) || ' lines ...']), l[-10:]), chr(10)) ELSE text END AS shown FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)")
+def txt_head_tail(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.head_tail(F.col("text")).alias("shown"))
+
+
+@query("SELECT doc_id, left(text, 20) AS title FROM documents")
+def txt_title(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.title_of(F.col("text"), F.left("text", F.lit(20))).alias("title"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+def txt_slug(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.slug(F.left("text", F.lit(40))).alias("slug"))
+
+
+@query("SELECT doc_id, CAST(greatest(1, round_even(length(text) / 4.0, 0)) AS BIGINT) AS n FROM documents")
+def txt_approx_tokens(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.approx_tokens(F.col("text")).alias("n"))
