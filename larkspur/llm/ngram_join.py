@@ -17,9 +17,10 @@ frequent tokens gives a valid order, so its size is bounded without losing links
 3. Pairs that share enough tokens of at most CROWD nodes each are compared.  Tokens
    of more nodes, as large groups of near copies have, compare each node with one,
    the token's pivot.  The links found make components.
-4. Pairs that share a crowded token in any order but lie in different components are
-   compared, in tiles.  Pairs within a component change none, so a large group costs
-   a comparison per copy and not per pair.
+4. Nodes joined by crowded tokens form crowds.  Within a crowd of several components
+   all sets are compared in tiles, as products of incidence matrices; a tile returns
+   which components it links, not pairs.  A crowd of one component, as most near
+   copies of a text are by then, needs no comparison.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ FREQUENT = 3  # prefixes that hold a token that counts as frequent
 TABLE = 2_000_000  # frequent tokens at most, the most frequent ones
 CROWD = 48
 SEEDS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A68DE, 0xC2B2AE3D27D4EB4F)
-TILE = 1024
+TILE = 2048
 COUNT, DOC = 0, 1
 
 
@@ -230,24 +231,46 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return every.groupBy("v", "lot").applyInArrow(_compare(percent), "u long, v long")
 
 
-def _cross_pairs(percent: int):
-    """Of one tile of a token: pairs of nodes in different components whose sizes fit."""
+def _incidence(blobs: list[bytes], wanted: np.ndarray):
+    """(row, column) of the wanted tokens in each set."""
+    sets = [_tokens(b) for b in blobs]
+    row = np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+    token = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(wanted, token), len(wanted) - 1)
+    hit = wanted[at] == token
+    return row[hit], at[hit]
+
+
+def _cross_links(percent: int):
+    """Of one tile of a crowd: links between nodes of different components, one for each two components."""
 
     def run(key, table):
         side = table.column("side").to_numpy()
         node, size, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
-        a, b = side != 2, side != 1  # 0: both sides of a tile on the diagonal
-        out = []
-        for lo in range(0, int(a.sum()), 256):
-            i, j = np.flatnonzero(a)[lo : lo + 256], np.flatnonzero(b)
-            low, high = np.minimum(size[i][:, None], size[j][None, :]), np.maximum(size[i][:, None], size[j][None, :])
-            ok = (comp[i][:, None] != comp[j][None, :]) & (100 * low >= percent * high)
-            if side.max(initial=0) == 0:
-                ok &= node[i][:, None] < node[j][None, :]
-            x, y = np.nonzero(ok)
-            out.append((node[i[x]], node[j[y]]))
-        x, y = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-        return pa.table({"u": pa.array(np.maximum(x, y)), "v": pa.array(np.minimum(x, y))})
+        blobs = table.column("tokens").to_pylist()
+        a, b = np.flatnonzero(side != 2), np.flatnonzero(side != 1)  # side 0 is both, on the diagonal
+        u, v = [], []
+        if len(a) and len(b) and (comp[a].min() != comp[b].max() or comp[a].max() != comp[b].min()):
+            tokens = [np.unique(np.concatenate([_tokens(blobs[k]) for k in x])) for x in (a, b)]
+            both = np.intersect1d(*tokens, assume_unique=True)
+            if len(both):
+                (ra, ca), (rb, cb) = _incidence([blobs[k] for k in a], both), _incidence([blobs[k] for k in b], both)
+                common = np.zeros((len(a), len(b)), np.float32)
+                step = 2048
+                for lo in range(0, len(both), step):
+                    left, right = np.zeros((len(a), step), np.float32), np.zeros((len(b), step), np.float32)
+                    x, y = (ca >= lo) & (ca < lo + step), (cb >= lo) & (cb < lo + step)
+                    left[ra[x], ca[x] - lo] = 1
+                    right[rb[y], cb[y] - lo] = 1
+                    common += left @ right.T
+                for lo in range(0, len(a), 256):
+                    i = a[lo : lo + 256]
+                    near = 100 * common[lo : lo + 256] >= percent * (size[i][:, None] + size[b][None, :] - common[lo : lo + 256])
+                    x, y = np.nonzero(near & (comp[i][:, None] != comp[b][None, :]))
+                    u.append(comp[i[x]])
+                    v.append(comp[b[y]])
+        pairs = np.unique(np.column_stack([np.concatenate(u), np.concatenate(v)]), axis=0) if u else np.zeros((0, 2), np.int64)
+        return pa.table({"u": pa.array(pairs.max(axis=1)), "v": pa.array(pairs.min(axis=1))})
 
     return run
 
@@ -265,14 +288,14 @@ def _small_pairs(found: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v")
 
 
-def _crowded_pairs(crowded: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of nodes of different components that share a crowded token."""
-    named = crowded.select("token", "node", "n").join(labels.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = named.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).where("a <> b")
-    rows = named.join(mixed.select("token", F.ceil(F.col("m") / TILE).cast("int").alias("g")), "token").withColumn("x", F.pmod(F.xxhash64("node"), "g").cast("int"))
+def _crowded_links(crowd: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of components within each crowd of (node, n, crowd)."""
+    named = crowd.join(labels.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = named.groupBy("crowd").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).where("a <> b")
+    rows = named.join(mixed.select("crowd", F.ceil(F.col("m") / TILE).cast("int").alias("g")), "crowd").withColumn("x", F.pmod(F.xxhash64("comp", F.when(F.col("g") > 1, F.col("node"))), "g").cast("int"))
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda y: F.struct(F.least("x", y).alias("i"), F.greatest("x", y).alias("j"), F.when(F.col("x") == y, 0).when(F.col("x") < y, 1).otherwise(2).alias("side"))))
-    rows = rows.select("token", "node", "n", "comp", tile.alias("t")).select("token", "node", "n", "comp", "t.i", "t.j", "t.side")
-    return rows.groupBy("token", "i", "j").applyInArrow(_cross_pairs(percent), "u long, v long").distinct()
+    rows = rows.join(sets, "node").select("crowd", "node", "n", "comp", "tokens", tile.alias("t")).select("crowd", "node", "n", "comp", "tokens", "t.i", "t.j", "t.side")
+    return rows.groupBy("crowd", "i", "j").applyInArrow(_cross_links(percent), "u long, v long").distinct()
 
 
 def join_similar(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -306,7 +329,9 @@ def join_similar(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "
 
     links = cluster.written(_links(pairs, sets, percent), folder, "links1")
     labels = components(links, f"{folder}/c1")
-    more = cluster.written(_links(_crowded_pairs(crowded, labels, percent), sets, percent), folder, "links2")
+    gathered = components(crowded.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("u"), F.col("pivot").alias("v")), f"{folder}/c0")
+    crowd = crowded.select("node", "n").distinct().join(gathered.select(F.col("u").alias("node"), F.col("v").alias("crowd")), "node", "left").withColumn("crowd", F.coalesce("crowd", "node"))
+    more = cluster.written(_crowded_links(crowd, labels, sets, percent), folder, "links2")
     if more.head(1):
         labels = components(labels.union(more), f"{folder}/c2")
 
