@@ -188,7 +188,7 @@ def dedup_substrings(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", t
     loses nothing is passed on as it is (null stays null).
     """
     spark = docs.sparkSession
-    n_shards = n_buckets = 4 * cluster.partitions(spark)
+    n_shards = n_buckets = 2 * cluster.partitions(spark)  # at most n_buckets * n_shards small rows go back
     schema = SCHEMA + (f", rest {docs.schema[rest].dataType.simpleString()}" if rest else "")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.col(rest).alias("rest")] if rest else []))
     entries = docs.select("doc_id", "text").mapInArrow(_hash_windows(width, n_buckets, n_shards), "bucket int, kind int, blob binary")
