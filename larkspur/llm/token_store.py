@@ -33,6 +33,43 @@ def drops_white_space(tokenizer_json: str) -> bool:
     return bool(steps) and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
 
 
+def splits_at_letters(tokenizer_json: str) -> bool:
+    """Whether it also lower-cases and never joins letters with other signs, but for apostrophes."""
+    made = json.loads(tokenizer_json)
+    pattern = made["pre_tokenizer"].get("pretokenizers", [made["pre_tokenizer"]])[0]["pattern"].get("Regex", "")
+    lower = any(n.get("type") == "Lowercase" for n in (made.get("normalizer") or {}).get("normalizers", []))
+    return lower and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and made["model"].get("end_of_word_suffix") == "</w>"
+
+
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+SIGN = ~LETTER
+SIGN[128:] = False
+
+
+def letter_units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """(lower-cased bytes, starts, ends) of words cut between ASCII letters and other ASCII signs.
+
+    Words with an apostrophe or "<" stay whole and as they are, for contractions and special tokens.
+    """
+    odd = np.concatenate([[0], np.cumsum((data == 39) | (data == 60))])
+    whole = odd[ends] > odd[starts]
+    low = words.LOWER[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (LETTER[data[1:]] & SIGN[data[:-1]]) | (SIGN[data[1:]] & LETTER[data[:-1]])
+    cut[:-1] &= ~words.SEPARATOR[data]
+    cut[1:-1] &= ~words.SEPARATOR[data[:-1]]
+    if whole.any():
+        size = (ends - starts)[whole]
+        at = np.repeat(starts[whole] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        low[at] = data[at]
+        cut[at] = False
+    cut[starts] = True
+    begin = np.flatnonzero(cut[:-1])
+    close = np.append(begin[1:], len(data))
+    return low, begin, np.minimum(close, ends[np.searchsorted(starts, begin, "right") - 1]) if len(begin) else close[:0]
+
+
 def _tokenize(shared, end_id: int):
     def run(batches):
         import os
@@ -43,6 +80,9 @@ def _tokenize(shared, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_str(shared.value)
         by_word = drops_white_space(shared.value)
+        by_letters = by_word and splits_at_letters(shared.value)
+        closes = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        closes[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
         def encode(texts):
             ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -52,13 +92,29 @@ def _tokenize(shared, end_id: int):
 
         def of_spans(spans):
             data, offs = spans
-            return encode(words.strings(data, offs).to_pylist())
-
-        cache = words.RaggedCache(of_spans)
+            texts = words.strings(data, offs).to_pylist()
+            plain = np.concatenate([[0], np.cumsum(~LETTER[data])])
+            plain = (plain[offs[1:]] == plain[offs[:-1]]) & by_letters
+            easy, hard = np.flatnonzero(plain), np.flatnonzero(~plain)
+            joined = [texts[k] for k in easy]  # runs of letters: each ends with the one token that closes a word
+            flat, _ = encode([" ".join(joined[k : k + 400]) for k in range(0, len(joined), 400)])
+            edge = np.concatenate([[0], np.flatnonzero(closes[flat]) + 1])
+            if len(edge) != len(easy) + 1:
+                return encode(texts)
+            other, other_edge = encode([texts[k] for k in hard])
+            begin, size = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+            begin[easy], size[easy] = edge[:-1], np.diff(edge)
+            begin[hard], size[hard] = other_edge[:-1] + len(flat), np.diff(other_edge)
+            return words.gather(np.concatenate([flat, other]), begin, size)
+
+        cache = words.RaggedCache(of_spans, 500_000)
         for batch in batches:
             for lo, hi, data, offs in words.text_parts(batch.column(1)):
                 if by_word:
-                    starts, ends, first = words.word_spans(data, offs)
+                    starts, ends, _ = words.word_spans(data, offs)
+                    if by_letters:
+                        data, starts, ends = letter_units(data, starts, ends)
+                    first = np.searchsorted(starts, offs)
                     code, keys = pd.factorize(words.word_hashes(data, starts, ends))
                     sample = np.zeros(len(keys), np.int64)
                     sample[code[::-1]] = np.arange(len(code))[::-1]
