@@ -107,7 +107,7 @@ def _tokenize(shared, end_id: int):
             begin[hard], size[hard] = other_edge[:-1] + len(flat), np.diff(other_edge)
             return words.gather(np.concatenate([flat, other]), begin, size)
 
-        cache = words.RaggedCache(of_spans, 500_000)
+        cache = words.RaggedCache(of_spans, 1_000_000)
         for batch in batches:
             for lo, hi, data, offs in words.text_parts(batch.column(1)):
                 if by_word:
