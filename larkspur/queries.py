@@ -387,10 +387,10 @@ def ver_cluster(spark, sf):
     return verify.clusters(table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("behaviour")))
 
 
-@query("WITH h AS (SELECT user_id AS run, event_id AS step, event_type AS text, lag(event_type) OVER w AS a, lag(event_type, 2) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT run, step, CAST(levenshtein(text, a) AS BIGINT) AS distance, coalesce(text = b, false) AS repeats FROM h")
+@query("WITH h AS (SELECT user_id AS run, event_id AS step, event_type AS text, lag(event_type) OVER w AS a, lag(event_type, 2) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT run, step, CAST(coalesce(levenshtein(text, a), -1) AS BIGINT) AS distance, coalesce(text = b, false) AS repeats FROM h")
 def ver_oscillation(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("event_type").alias("text"))
-    return verify.oscillation(e).select("run", "step", "distance", "repeats")
+    return verify.oscillation(e).select("run", "step", F.coalesce("distance", F.lit(-1)).cast("long").alias("distance"), "repeats")  # -1: no step before
 
 
 # ---- changes
