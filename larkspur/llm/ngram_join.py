@@ -42,6 +42,7 @@ TABLE = 2_000_000  # frequent tokens at most, the most frequent ones
 CROWD = 48
 SEEDS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A68DE, 0xC2B2AE3D27D4EB4F)
 TILE = 2048
+SLICE = 1 << 20  # bytes of text a task turns into sets at once
 COUNT, DOC = 0, 1
 
 
@@ -102,7 +103,7 @@ def _measure(n: int, percent: int, n_buckets: int):
     def run(batches):
         held, total = [], 0
         for batch in batches:
-            for lo, hi, data, offs in words.text_parts(batch.column(1)):
+            for lo, hi, data, offs in words.text_parts(batch.column(1), SLICE):
                 token, edge, node = shingle_sets(data, offs, n)
                 yield batch_of(DOC, doc_id=batch.column(0).slice(lo, hi - lo), size=np.diff(edge), node=node)
                 some = np.unique(np.concatenate([prefixes(token, edge, percent, SEEDS[o], np.zeros(0, np.uint64)) for o in range(ORDERS)]))
@@ -141,15 +142,17 @@ def _postings(shared, n: int, percent: int, n_buckets: int):
             a, c = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(c, pa.binary())], ["bucket", "blob"])
 
-        total = 0
+        total, met = 0, np.zeros(0, np.int64)
         for batch in batches:
-            for _, _, data, offs in words.text_parts(batch.column(0)):
+            for _, _, data, offs in words.text_parts(batch.column(0), SLICE):
                 token, edge, node = shingle_sets(data, offs, n)
                 size = np.diff(edge)
                 row = np.repeat(np.arange(len(size)), size)
                 _, once = np.unique(node, return_index=True)
                 fresh = np.zeros(len(size), bool)
                 fresh[once] = True
+                fresh &= ~np.isin(node, met)
+                met = np.concatenate([met, node[fresh]])
                 for o in range(ORDERS):
                     at = prefixes(token, edge, percent, SEEDS[o], frequent)
                     at = at[fresh[row[at]]]
@@ -157,7 +160,7 @@ def _postings(shared, n: int, percent: int, n_buckets: int):
                     total += len(at)
                 if total > 800_000:
                     yield flush()
-                    held, total = [], 0
+                    held, total, met = [], 0, np.zeros(0, np.int64)
         if total:
             yield flush()
 
@@ -186,7 +189,7 @@ def _shared_tokens(key, table):
 def _sets(n: int):
     def run(batches):
         for batch in batches:
-            for _, _, data, offs in words.text_parts(batch.column(0)):
+            for _, _, data, offs in words.text_parts(batch.column(0), SLICE):
                 token, edge, node = shingle_sets(data, offs, n)
                 six = np.ascontiguousarray(token >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].reshape(-1)
                 yield pa.RecordBatch.from_arrays([pa.array(node), words.strings(six, edge * 6, pa.binary())], ["node", "tokens"])
@@ -204,15 +207,15 @@ def _compare(percent: int):
     """Of one node and its partners: the links."""
 
     def run(key, table):
-        node, blob = table.column("node").to_pylist(), table.column("tokens").to_pylist()
+        node, blob = table.column("node").to_pylist(), table.column("tokens")
         me = key[0].as_py()
         if me not in node:
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        mine = _tokens(blob[node.index(me)])
+        mine = _tokens(blob[node.index(me)].as_py())
         out = []
         for other, b in zip(node, blob):
             if other != me:
-                theirs = _tokens(b)
+                theirs = _tokens(b.as_py())
                 at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
                 both = int((mine[at] == theirs).sum())
                 if 100 * both >= percent * (len(mine) + len(theirs) - both):
@@ -256,7 +259,7 @@ def _cross_links(percent: int):
             if len(both):
                 (ra, ca), (rb, cb) = _incidence([blobs[k] for k in a], both), _incidence([blobs[k] for k in b], both)
                 common = np.zeros((len(a), len(b)), np.float32)
-                step = 2048
+                step = 512
                 for lo in range(0, len(both), step):
                     left, right = np.zeros((len(a), step), np.float32), np.zeros((len(b), step), np.float32)
                     x, y = (ca >= lo) & (ca < lo + step), (cb >= lo) & (cb < lo + step)
@@ -311,7 +314,7 @@ def join_similar(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     seen = cluster.written(docs.mapInArrow(_measure(n, percent, n_buckets), "kind int, bucket int, blob binary, doc_id long, n long, node long"), folder, "measured")
     common = seen.where(F.col("kind") == COUNT).select("bucket", "blob").groupBy("bucket").applyInArrow(_frequent, "token long, n long")
-    common = common.orderBy(F.desc("n"), "token").limit(TABLE).select("token").toPandas()["token"].to_numpy(np.int64)
+    common = common.orderBy(F.desc("n"), "token").limit(TABLE).select("token").toArrow().column("token").to_numpy()
     shared = spark.sparkContext.broadcast(np.sort(common.view(np.uint64)))
     measured = seen.where(F.col("kind") == DOC).select("doc_id", "n", "node")
     nodes = measured.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(int(cluster.NULL_ID)))).alias("least"))
