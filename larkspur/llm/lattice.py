@@ -235,11 +235,9 @@ def best_path(vocabulary: Vocabulary, data: np.ndarray, offs: np.ndarray):
     return ids, np.concatenate([[0], np.cumsum(total)])
 
 
-def log_marginal(vocabulary: Vocabulary, logp: np.ndarray, log_byte: float, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Log of the summed probability of all segmentations of each unit, by forward recursion."""
-    e = edges(vocabulary.trie, data, offs)
-    score = np.where(e.piece == UNK, log_byte * (e.end - e.start), logp[np.maximum(e.piece, 0)])
-    alpha = np.zeros(len(data) + 1)
+def _forward(e: Edges, score: np.ndarray, n: int) -> np.ndarray:
+    """Log of the summed probability of all paths to each offset."""
+    alpha = np.zeros(n + 1)
     for i, j, group in _levels(e):
         cand = np.where(e.first[i:j], 0.0, alpha[e.start[i:j]]) + score[i:j]
         top = np.maximum.reduceat(cand, group)
@@ -247,4 +245,28 @@ def log_marginal(vocabulary: Vocabulary, logp: np.ndarray, log_byte: float, data
         size = np.diff(np.append(group, j - i))
         with np.errstate(divide="ignore"):
             alpha[e.end[i:j][group]] = floor + np.log(np.add.reduceat(np.exp(cand - np.repeat(floor, size)), group))
+    return alpha
+
+
+def log_marginal(vocabulary: Vocabulary, logp: np.ndarray, log_byte: float, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Log of the summed probability of all segmentations of each unit, by forward recursion."""
+    e = edges(vocabulary.trie, data, offs)
+    alpha = _forward(e, np.where(e.piece == UNK, log_byte * (e.end - e.start), logp[np.maximum(e.piece, 0)]), len(data))
     return np.where(np.diff(offs) > 0, alpha[offs[1:]], 0.0)
+
+
+def expected_pieces(vocabulary: Vocabulary, logp: np.ndarray, log_byte: float, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """How often each piece is expected over all segmentations of all units, and last the bytes no piece covers."""
+    e = edges(vocabulary.trie, data, offs)
+    score = np.where(e.piece == UNK, log_byte * (e.end - e.start), logp[np.maximum(e.piece, 0)])
+    alpha = _forward(e, score, len(data))
+    beta = np.full(len(data) + 1, -np.inf)
+    beta[offs[1:]] = 0.0
+    for i, j in zip(e.level[-2::-1], e.level[:0:-1]):  # edges of one level all start at different offsets
+        inner = np.flatnonzero(~e.first[i:j]) + i
+        beta[e.start[inner]] = np.logaddexp(beta[e.start[inner]], score[inner] + beta[e.end[inner]])
+    whole = np.repeat(alpha[offs[1:]], np.diff(offs))
+    posterior = np.exp(np.where(e.first, 0.0, alpha[e.start]) + score + beta[e.end] - whole[e.start])
+    known = e.piece != UNK
+    out = np.bincount(e.piece[known], weights=posterior[known], minlength=len(vocabulary.pieces))
+    return np.append(out, (posterior * (e.end - e.start))[~known].sum())

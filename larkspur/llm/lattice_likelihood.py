@@ -1,10 +1,15 @@
 """LM scoring by subword lattice likelihood.
 
 A word's spelling probability is the sum over all its segmentations into pieces
-of an existing unigram vocabulary, by forward recursion in log space.  Piece
-probabilities come from the vocabulary's own scores (a score of -r is rank r,
-and rank r weighs 1 / (r + 2.7)).  The corpus teaches how often words occur:
-with absolute discounting by D,
+of an existing unigram vocabulary, by forward recursion in log space.  The
+vocabulary's own scores weigh the pieces (a score of -r is rank r, and rank r
+weighs 1 / (r + 2.7)).  The corpus adapts them: a piece's probability is
+
+    (e + PRIOR * weight) / (sum of e + PRIOR)
+
+where e is how often the piece is expected over all segmentations, weighed by the
+scores, of each distinct training word.  The corpus also teaches how often words
+occur: with absolute discounting by D,
 
     P(word) = max(c - D, 0) / N + D * V / N * P_lattice(word)
 
@@ -12,14 +17,16 @@ with absolute discounting by D,
 of a text c / N).  A text draws its words from a distribution of its own, with P as
 the mean of its Dirichlet prior; integrated out, token i of a text, whose word came
 j times before, has (a * P(word) + j) / (a + i), a being ``concentration``.
-``score`` is log10 of the product over a text's tokens; ``lattice_score`` is the pure
-lattice's, without counts; ``base_score`` is an add-0.1 unigram model's.
+``score`` is log10 of the product over a text's tokens; ``lattice_score`` is the
+adapted lattice's alone, without word counts; ``base_score`` is an add-0.1 unigram model's.
 
 1. A task turns a chunk of some MB of texts into its distinct words, dealt by hash
    to buckets with their training counts, and its texts as numbers of these words.
-2. A bucket adds the counts, computes each distinct word's lattice once and answers
+2. Buckets add up the pieces expected in their distinct training words, one sum for
+   each piece of the vocabulary.
+3. A bucket adds the counts, computes each distinct word's lattice once and answers
    every chunk for its words.
-3. Chunks put answers and texts together.
+4. Chunks put answers and texts together.
 
 A word crosses the network once per chunk, not once per occurrence, so a word or
 a source with a third of all rows weighs no more than others.
@@ -36,11 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import cluster, words
-from larkspur.llm.lattice import MARK, Vocabulary, log_marginal
+from larkspur.llm.lattice import MARK, Vocabulary, expected_pieces, log_marginal
 
 CHUNK_BYTES = 6 << 20
 WORDS, TEXTS, ANSWER, TOTALS = 0, 1, 2, 3
 DISCOUNT = 0.75
+PRIOR = 1000.0  # pieces that the scores alone count for
+STEP = 20_000  # words whose lattices are built at once
 HELD_OUT = 10
 
 
@@ -93,34 +102,70 @@ def _chunks(n_buckets: int, chunk_bytes: int = CHUNK_BYTES):
     return run
 
 
-def _answers(shared):
+def _distinct(mine):
+    """(bytes, offsets, sizes, one place of each distinct word, number of each word, training count) of a bucket's words."""
+    sizes = np.concatenate([m[1] for m in mine]).astype(np.int64)
+    data = np.concatenate([m[3] for m in mine])
+    offs = np.concatenate([[0], np.cumsum(sizes)])
+    keys, sample, number = np.unique(words.word_hashes(data, offs[:-1], offs[1:]), return_index=True, return_inverse=True)
+    counts = np.bincount(number, weights=np.concatenate([m[2] for m in mine]), minlength=len(keys)).astype(np.int64)
+    return data, offs, sizes, sample, number, counts
+
+
+def _marked(data: np.ndarray, offs: np.ndarray, sizes: np.ndarray, at: np.ndarray):
+    """(bytes, offsets) of the words at these places, the whitespace marker before each."""
+    body, edge = words.gather(data, offs[at], sizes[at])
+    marked = np.empty(len(body) + 3 * len(at), np.uint8)
+    where = edge + 3 * np.arange(len(at) + 1)
+    marked[np.arange(len(body)) + np.repeat(3 * np.arange(1, len(at) + 1), np.diff(edge))] = body
+    for k in range(3):
+        marked[where[:-1] + k] = MARK[k]
+    return marked, where
+
+
+def _expected(shared):
+    """Of one bucket: (piece, e) over its distinct training words."""
+
+    def run(key, table):
+        vocabulary = shared.value
+        data, offs, sizes, sample, _, counts = _distinct([cluster.unpack(b) for b in table.column("blob").to_pylist()])
+        logp, log_byte = vocabulary.zipf()
+        learnt = sample[counts > 0]
+        e = np.zeros(len(vocabulary.pieces) + 1)
+        for a in range(0, len(learnt), STEP):
+            e += expected_pieces(vocabulary, logp, log_byte, *_marked(data, offs, sizes, learnt[a : a + STEP]))
+        at = np.flatnonzero(e)
+        return pa.table({"piece": pa.array(at.astype(np.int32)), "e": pa.array(e[at])})
+
+    return run
+
+
+def adapted(vocabulary: Vocabulary, piece: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, float]:
+    """(log probability of each piece, of an unknown byte), given the expected pieces."""
+    logp, log_byte = vocabulary.zipf()
+    weight = PRIOR * np.append(np.exp(logp), 256 * np.exp(log_byte))
+    np.add.at(weight, piece, e)
+    with np.errstate(divide="ignore"):
+        out = np.log(weight) - np.log(weight.sum())
+    return out[:-1], float(out[-1] - np.log(256))
+
+
+def _answers(shared, weights):
     """Of one bucket: for each chunk its words' counts and log lattice probabilities; totals; the texts as they came."""
 
     def run(key, table):
         vocabulary = shared.value
+        logp, log_byte = weights.value
         chunks, kinds, blobs = (table.column(c).to_pylist() for c in ("chunk", "kind", "blob"))
         out = [(c, TEXTS, b) for c, k, b in zip(chunks, kinds, blobs) if k == TEXTS]
-        mine = [(c, *cluster.unpack(b)) for c, k, b in zip(chunks, kinds, blobs) if k == WORDS]
+        mine = [(c, cluster.unpack(b)) for c, k, b in zip(chunks, kinds, blobs) if k == WORDS]
         if mine:
-            sizes = np.concatenate([m[2] for m in mine]).astype(np.int64)
-            data = np.concatenate([m[4] for m in mine])
-            offs = np.concatenate([[0], np.cumsum(sizes)])
-            keys, sample, number = np.unique(words.word_hashes(data, offs[:-1], offs[1:]), return_index=True, return_inverse=True)
-            counts = np.bincount(number, weights=np.concatenate([m[3] for m in mine]), minlength=len(keys)).astype(np.int64)
-            logp, log_byte = vocabulary.zipf()
-            spelled = np.empty(len(keys))
-            step = 20_000
-            for a in range(0, len(keys), step):
-                at = sample[a : a + step]
-                body, edge = words.gather(data, offs[at], sizes[at])
-                marked = np.empty(len(body) + 3 * len(at), np.uint8)
-                where = edge + 3 * np.arange(len(at) + 1)
-                marked[np.arange(len(body)) + np.repeat(3 * np.arange(1, len(at) + 1), np.diff(edge))] = body
-                for k in range(3):
-                    marked[where[:-1] + k] = MARK[k]
-                spelled[a : a + step] = log_marginal(vocabulary, logp, log_byte, marked, where)
+            data, offs, sizes, sample, number, counts = _distinct([m for _, m in mine])
+            spelled = np.empty(len(sample))
+            for a in range(0, len(sample), STEP):
+                spelled[a : a + STEP] = log_marginal(vocabulary, logp, log_byte, *_marked(data, offs, sizes, sample[a : a + STEP]))
             upto = 0
-            for c, place, size, *_ in mine:
+            for c, (place, size, *_) in mine:
                 n = number[upto : upto + len(size)]
                 upto += len(size)
                 out.append((c, ANSWER, cluster.pack(place, counts[n].astype(np.uint32), spelled[n].astype(np.float32))))
@@ -185,9 +230,11 @@ def score_documents(docs: DataFrame, model_path: str, concentration: float = 100
     vocabulary = spark.sparkContext.broadcast(Vocabulary.load(model_path))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n_ends = rows.where(cluster.crc_mod("doc_id", HELD_OUT) != 0).count()
-    chunks = rows.mapInArrow(_chunks(4 * cluster.partitions(spark)), "bucket int, chunk long, kind int, blob binary")
-    answers = chunks.groupBy("bucket").applyInArrow(_answers(vocabulary), "chunk long, kind int, blob binary")
-    answers = cluster.written(answers, cluster.shared_folder(spark), "answers")
+    folder = cluster.shared_folder(spark)
+    chunks = cluster.written(rows.mapInArrow(_chunks(4 * cluster.partitions(spark)), "bucket int, chunk long, kind int, blob binary"), folder, "chunks")
+    e = chunks.where(F.col("kind") == WORDS).groupBy("bucket").applyInArrow(_expected(vocabulary), "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).orderBy("piece").toArrow()
+    weights = spark.sparkContext.broadcast(adapted(vocabulary.value, e.column("piece").to_numpy(), e.column("e").to_numpy()))
+    answers = cluster.written(chunks.groupBy("bucket").applyInArrow(_answers(vocabulary, weights), "chunk long, kind int, blob binary"), folder, "answers")
     totals = answers.where(F.col("kind") == TOTALS).select("blob").mapInArrow(_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     return answers.where(F.col("kind") != TOTALS).groupBy("chunk").applyInArrow(_scores(int(totals[0]), int(totals[1]), n_ends, concentration), SCHEMA)
 
