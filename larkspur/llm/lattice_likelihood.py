@@ -23,8 +23,9 @@ that followed it k times in the training part has (k + b * Q) / (c + b), b being
 ``score`` is log10 of the product over a text's tokens; ``lattice_score`` is the
 adapted lattice's alone, without word counts; ``base_score`` is an add-0.1 unigram model's.
 
-1. A task turns a chunk of some MB of texts into its distinct words, dealt by hash
-   to buckets with their training counts, and its texts as numbers of these words.
+1. A task turns a chunk of some MB of texts into its distinct words and pairs of
+   tokens, dealt by hash to buckets with their training counts, and its texts as
+   numbers of these; texts stay where they are until step 4.
 2. Buckets add up the pieces expected in their distinct training words, one sum for
    each piece of the vocabulary.
 3. A bucket adds the counts, computes each distinct word's lattice once and answers
@@ -172,13 +173,13 @@ def adapted(vocabulary: Vocabulary, piece: np.ndarray, e: np.ndarray) -> tuple[n
 
 
 def _answers(shared, weights):
-    """Of one bucket: for each chunk its words' counts and log lattice probabilities; totals; the texts as they came."""
+    """Of one bucket: for each chunk its words' counts and log lattice probabilities and its pairs' counts; totals."""
 
     def run(key, table):
         vocabulary = shared.value
         logp, log_byte = weights.value
         chunks, kinds, blobs = (table.column(c).to_pylist() for c in ("chunk", "kind", "blob"))
-        out = [(c, TEXTS, b) for c, k, b in zip(chunks, kinds, blobs) if k == TEXTS]
+        out = []
         mine = [(c, cluster.unpack(b)) for c, k, b in zip(chunks, kinds, blobs) if k == WORDS]
         if mine:
             data, offs, sizes, sample, number, counts = _distinct([m for _, m in mine])
@@ -270,9 +271,10 @@ def score_documents(docs: DataFrame, model_path: str, concentration: float = 100
     chunks = cluster.written(rows.mapInArrow(_chunks(4 * cluster.partitions(spark)), "bucket int, chunk long, kind int, blob binary"), folder, "chunks")
     e = chunks.where(F.col("kind") == WORDS).groupBy("bucket").applyInArrow(_expected(vocabulary), "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).orderBy("piece").toArrow()
     weights = spark.sparkContext.broadcast(adapted(vocabulary.value, e.column("piece").to_numpy(), e.column("e").to_numpy()))
-    answers = cluster.written(chunks.groupBy("bucket").applyInArrow(_answers(vocabulary, weights), "chunk long, kind int, blob binary"), folder, "answers")
+    answers = cluster.written(chunks.where(F.col("kind") != TEXTS).groupBy("bucket").applyInArrow(_answers(vocabulary, weights), "chunk long, kind int, blob binary"), folder, "answers")
     totals = answers.where(F.col("kind") == TOTALS).select("blob").mapInArrow(_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    return answers.where(F.col("kind") != TOTALS).groupBy("chunk").applyInArrow(_scores(int(totals[0]), int(totals[1]), n_ends, concentration, backing), SCHEMA)
+    together = chunks.where(F.col("kind") == TEXTS).select("chunk", "kind", "blob").union(answers.where(F.col("kind") != TOTALS))
+    return together.groupBy("chunk").applyInArrow(_scores(int(totals[0]), int(totals[1]), n_ends, concentration, backing), SCHEMA)
 
 
 def _totals(batches):

@@ -96,6 +96,56 @@ def test_lattice_likelihood(docs, rows):
         assert math.isfinite(r.score) and r.score < 0
 
 
+def test_likelihood_by_brute_force(docs, rows):
+    from larkspur.llm.lattice import Vocabulary, log_marginal
+    from larkspur.llm.lattice_likelihood import DISCOUNT, adapted, score_documents
+    from larkspur.llm.lattice import MARK, expected_pieces
+
+    vocabulary = Vocabulary.load(PIECES)
+
+    def lattice(f, logp, log_byte, words):
+        units = [MARK + x.encode() for x in words]
+        return f(vocabulary, logp, log_byte, np.frombuffer(b"".join(units), np.uint8), np.cumsum([0] + [len(u) for u in units]))
+
+    tokens = [(i, words_of((t or "").translate(LOW))) for i, t, _ in rows]
+    training = [w for i, w in tokens if zlib.crc32(str("" if i is None else i).encode()) % 10]
+    c, follows, before = Counter(x for w in training for x in w), Counter(), Counter()
+    for w in training:
+        follows.update(zip([None, *w], [*w, None]))
+        before.update([None, *w])
+    e = lattice(expected_pieces, *vocabulary.zipf(), sorted(c))
+    spelled = {x: p for x, p in zip(sorted({x for _, w in tokens for x in w}), lattice(log_marginal, *adapted(vocabulary, np.arange(len(e)), e), sorted({x for _, w in tokens for x in w})))}
+    n, v = sum(c.values()) + len(training), len(c) + 1
+    got = by_id(score_documents(docs, PIECES, 50.0, 20.0))
+    for i, w in tokens:
+        total, last = 0.0, None
+        for k, x in enumerate([*w, None]):
+            p = len(training) / n if x is None else (max(c[x] - DISCOUNT, 0) + DISCOUNT * v * math.exp(spelled[x])) / n
+            own = (50 * p + (w[:k].count(x) if x is not None else 0)) / (50 + k)
+            total += math.log10((follows[last, x] + 20 * own) / (before[last] + 20))
+            last = x
+        assert got[i].score == pytest.approx(total, rel=1e-5)
+
+
+def test_expected_pieces_by_enumeration():
+    from larkspur.llm.lattice import Vocabulary, expected_pieces
+
+    pieces = [b"a", b"b", b"ab", b"ba", b"aba"]
+    p = np.log(np.array([0.3, 0.2, 0.2, 0.2, 0.1]))
+    v = Vocabulary.of(pieces, p, np.zeros(5, np.int8))
+
+    def paths(s):
+        return [[]] if not s else [[k, *rest] for k, x in enumerate(pieces) if s.startswith(x) for rest in paths(s[len(x) :])]
+
+    want = np.zeros(6)
+    for s in (b"aba", b"b", b"abababba"):
+        weights = [math.exp(sum(p[k] for k in path)) for path in paths(s)]
+        for path, weight in zip(paths(s), weights):
+            np.add.at(want, path, weight / sum(weights))
+    got = expected_pieces(v, p, -9.0, np.frombuffer(b"aba" + b"b" + b"abababba", np.uint8), np.array([0, 3, 4, 12]))
+    assert got == pytest.approx(want)
+
+
 def test_marginal_sums_all_segmentations():
     from larkspur.llm.lattice import Vocabulary, log_marginal
 
