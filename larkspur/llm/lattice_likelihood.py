@@ -16,16 +16,13 @@ occur: with absolute discounting by D,
 (c, N, V: count, all tokens and distinct tokens of the training part; for the end
 of a text c / N).  A text draws its words from a distribution of its own, with P as
 the mean of its Dirichlet prior; integrated out, token i of a text, whose word came
-j times before, has Q = (a * P(word) + j) / (a + i), a being ``concentration``.
-A word draws its successors likewise: after a word (or start) of count c, a token
-that followed it k times in the training part has (k + b * Q) / (c + b), b being
-``backing``.
+j times before, has (a * P(word) + j) / (a + i), a being ``concentration``.
 ``score`` is log10 of the product over a text's tokens; ``lattice_score`` is the
 adapted lattice's alone, without word counts; ``base_score`` is an add-0.1 unigram model's.
 
-1. A task turns a chunk of some MB of texts into its distinct words and pairs of
-   tokens, dealt by hash to buckets with their training counts, and its texts as
-   numbers of these; texts stay where they are until step 4.
+1. A task turns a chunk of some MB of texts into its distinct words, dealt by hash
+   to buckets with their training counts, and its texts as numbers of these words,
+   which stay where they are until step 4.
 2. Buckets add up the pieces expected in their distinct training words, one sum for
    each piece of the vocabulary.
 3. A bucket adds the counts, computes each distinct word's lattice once and answers
@@ -50,11 +47,10 @@ from larkspur.llm import cluster, words
 from larkspur.llm.lattice import MARK, Vocabulary, expected_pieces, log_marginal
 
 CHUNK_BYTES = 6 << 20
-WORDS, TEXTS, ANSWER, TOTALS, PAIRS, FOLLOWED = range(6)
-EDGE = np.uint64(0x5851F42D4C957F2D)  # stands for the start and the end of a text in pairs
+WORDS, TEXTS, ANSWER, TOTALS = range(4)
 DISCOUNT = 0.75
 PRIOR = 1000.0  # pieces that the scores alone count for
-STEP = 20_000  # words whose lattices are built at once
+STEP = 8_000  # words whose lattices are built at once
 HELD_OUT = 10
 
 
@@ -84,17 +80,7 @@ def _chunks(n_buckets: int, chunk_bytes: int = CHUNK_BYTES):
             at = order[edge[b] : edge[b + 1]]
             body, offs = words.gather(data, starts[sample[at]], ends[sample[at]] - starts[sample[at]])
             rows.append((int(b), chunk, WORDS, cluster.pack(np.array([edge[b]], np.int64), np.diff(offs).astype(np.uint32), trained[at].astype(np.uint32), body)))
-        pairs = _pairs(h, per_doc)
-        pair, pair_place = np.unique(pairs, return_inverse=True)
-        trained = np.bincount(pair_place[~np.repeat(out, per_doc + 1)], minlength=len(pair))
-        turn = np.argsort((pair % np.uint64(n_buckets)).astype(np.uint32), kind="stable")
-        at_pair = np.empty(len(pair), np.int64)
-        at_pair[turn] = np.arange(len(pair))
-        edge = np.searchsorted((pair % np.uint64(n_buckets))[turn].astype(np.int64), np.arange(n_buckets + 1))
-        for b in np.flatnonzero(np.diff(edge)):
-            at = turn[edge[b] : edge[b + 1]]
-            rows.append((int(b), chunk, PAIRS, cluster.pack(np.array([edge[b]], np.int64), pair[at], trained[at].astype(np.uint32))))
-        rows.append((chunk % n_buckets, chunk, TEXTS, cluster.pack(ids, out, per_doc.astype(np.uint32), place[number].astype(np.uint32), at_pair[pair_place].astype(np.uint32), np.array([len(keys), len(pair)], np.int64))))
+        rows.append((chunk % n_buckets, chunk, TEXTS, cluster.pack(ids, out, per_doc.astype(np.uint32), place[number].astype(np.uint32), np.array([len(keys)], np.int64))))
         b, c, k, blob = zip(*rows)
         return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(k, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "chunk", "kind", "blob"])
 
@@ -117,13 +103,6 @@ def _chunks(n_buckets: int, chunk_bytes: int = CHUNK_BYTES):
     return run
 
 
-def _pairs(h: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
-    """Hashes of each token, ends too, with the token before it."""
-    token = np.insert(h, np.cumsum(per_doc), EDGE)
-    before = np.concatenate([[EDGE], token[:-1]]).astype(np.uint64)
-    return words.mix(token + words.mix(before) * np.uint64(words.MULT_WORDS))
-
-
 def _distinct(mine):
     """(bytes, offsets, sizes, one place of each distinct word, number of each word, training count) of a bucket's words."""
     sizes = np.concatenate([m[1] for m in mine]).astype(np.int64)
@@ -173,7 +152,7 @@ def adapted(vocabulary: Vocabulary, piece: np.ndarray, e: np.ndarray) -> tuple[n
 
 
 def _answers(shared, weights):
-    """Of one bucket: for each chunk its words' counts and log lattice probabilities and its pairs' counts; totals."""
+    """Of one bucket: for each chunk its words' counts and log lattice probabilities; totals."""
 
     def run(key, table):
         vocabulary = shared.value
@@ -191,15 +170,6 @@ def _answers(shared, weights):
                 n = number[upto : upto + len(size)]
                 upto += len(size)
                 out.append((c, ANSWER, cluster.pack(place, counts[n].astype(np.uint32), spelled[n].astype(np.float32))))
-        pairs = [(c, *cluster.unpack(b)) for c, k, b in zip(chunks, kinds, blobs) if k == PAIRS]
-        if pairs:
-            _, number = np.unique(np.concatenate([p[2] for p in pairs]), return_inverse=True)
-            followed = np.bincount(number, weights=np.concatenate([p[3] for p in pairs])).astype(np.uint32)
-            upto = 0
-            for c, place, some, _ in pairs:
-                out.append((c, FOLLOWED, cluster.pack(place, followed[number[upto : upto + len(some)]])))
-                upto += len(some)
-        if mine:
             out.append((-1, TOTALS, cluster.pack(np.array([counts.sum(), (counts > 0).sum()], np.int64))))
         c, k, b = zip(*out)
         return pa.table({"chunk": pa.array(c, pa.int64()), "kind": pa.array(k, pa.int32()), "blob": pa.array(b, pa.binary())})
@@ -207,19 +177,16 @@ def _answers(shared, weights):
     return run
 
 
-def _scores(n_words: int, n_distinct: int, n_ends: int, concentration: float, backing: float):
+def _scores(n_words: int, n_distinct: int, n_ends: int, concentration: float):
     total = n_words + n_ends
     distinct = n_distinct + (n_ends > 0)
 
     def run(key, table):
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
-        ids, out, per_doc, place, pair, (n_keys, n_pairs) = cluster.unpack(next(b for b, k in zip(blobs, kinds) if k == TEXTS))
+        ids, out, per_doc, place, (n_keys,) = cluster.unpack(next(b for b, k in zip(blobs, kinds) if k == TEXTS))
         counts, spelled = np.zeros(n_keys, np.int64), np.zeros(n_keys)
         for (at,), c, s in (cluster.unpack(b) for b, k in zip(blobs, kinds) if k == ANSWER):
             counts[at : at + len(c)], spelled[at : at + len(c)] = c, s
-        followed = np.zeros(n_pairs, np.int64)
-        for (at,), k in (cluster.unpack(b) for b, kind in zip(blobs, kinds) if kind == FOLLOWED):
-            followed[at : at + len(k)] = k
         edge = np.concatenate([[0], np.cumsum(per_doc.astype(np.int64))])
 
         def summed(values):
@@ -241,12 +208,9 @@ def _scores(n_words: int, n_distinct: int, n_ends: int, concentration: float, ba
         at = np.arange(len(order))
         seen = np.empty(len(order), np.int64)  # earlier occurrences of a token's word in its text
         seen[order] = at - np.maximum.accumulate(np.where(same, 0, at))
-        own = (concentration * prior[place] + seen) / (concentration + at - edge[doc])
-        own = np.insert(own, edge[1:], concentration * end / (concentration + n - 1))
-        before = np.concatenate([[n_ends], np.insert(counts[place], edge[1:], n_ends)[:-1]])
-        run_of = np.concatenate([[0.0], np.cumsum(np.log10((followed[pair] + backing * own) / (before + backing)))])
-        close = edge + np.arange(len(edge))
-        score = run_of[close[1:]] - run_of[close[:-1]]
+        token = np.log10(concentration * prior[place] + seen) - np.log10(concentration + at - edge[doc])
+        run_of = np.concatenate([[0.0], np.cumsum(token)])
+        score = run_of[edge[1:]] - run_of[edge[:-1]] + np.log10(concentration * end) - np.log10(concentration + n - 1)
         known = summed((counts > 0).astype(np.float64)).round().astype(np.int64) + (n_ends > 0)
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == cluster.NULL_ID), "held_out": pa.array(out), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(ids), total), pa.int64()), "base_score": pa.array(base), "score": pa.array(score), "lattice_score": pa.array(summed(spelled / np.log(10)))})
 
@@ -256,7 +220,7 @@ def _scores(n_words: int, n_distinct: int, n_ends: int, concentration: float, ba
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
 
 
-def score_documents(docs: DataFrame, model_path: str, concentration: float = 1000.0, backing: float = 1000.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, model_path: str, concentration: float = 1000.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
 
     Null and empty texts are their end alone.  Repeated rows count and are scored
@@ -274,7 +238,7 @@ def score_documents(docs: DataFrame, model_path: str, concentration: float = 100
     answers = cluster.written(chunks.where(F.col("kind") != TEXTS).groupBy("bucket").applyInArrow(_answers(vocabulary, weights), "chunk long, kind int, blob binary"), folder, "answers")
     totals = answers.where(F.col("kind") == TOTALS).select("blob").mapInArrow(_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     together = chunks.where(F.col("kind") == TEXTS).select("chunk", "kind", "blob").union(answers.where(F.col("kind") != TOTALS))
-    return together.groupBy("chunk").applyInArrow(_scores(int(totals[0]), int(totals[1]), n_ends, concentration, backing), SCHEMA)
+    return together.groupBy("chunk").applyInArrow(_scores(int(totals[0]), int(totals[1]), n_ends, concentration), SCHEMA)
 
 
 def _totals(batches):

@@ -109,21 +109,16 @@ def test_likelihood_by_brute_force(docs, rows):
 
     tokens = [(i, words_of((t or "").translate(LOW))) for i, t, _ in rows]
     training = [w for i, w in tokens if zlib.crc32(str("" if i is None else i).encode()) % 10]
-    c, follows, before = Counter(x for w in training for x in w), Counter(), Counter()
-    for w in training:
-        follows.update(zip([None, *w], [*w, None]))
-        before.update([None, *w])
+    c = Counter(x for w in training for x in w)
     e = lattice(expected_pieces, *vocabulary.zipf(), sorted(c))
     spelled = {x: p for x, p in zip(sorted({x for _, w in tokens for x in w}), lattice(log_marginal, *adapted(vocabulary, np.arange(len(e)), e), sorted({x for _, w in tokens for x in w})))}
     n, v = sum(c.values()) + len(training), len(c) + 1
-    got = by_id(score_documents(docs, PIECES, 50.0, 20.0))
+    got = by_id(score_documents(docs, PIECES, 50.0))
     for i, w in tokens:
-        total, last = 0.0, None
+        total = 0.0
         for k, x in enumerate([*w, None]):
             p = len(training) / n if x is None else (max(c[x] - DISCOUNT, 0) + DISCOUNT * v * math.exp(spelled[x])) / n
-            own = (50 * p + (w[:k].count(x) if x is not None else 0)) / (50 + k)
-            total += math.log10((follows[last, x] + 20 * own) / (before[last] + 20))
-            last = x
+            total += math.log10((50 * p + (w[:k].count(x) if x is not None else 0)) / (50 + k))
         assert got[i].score == pytest.approx(total, rel=1e-5)
 
 
