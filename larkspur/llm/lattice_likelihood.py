@@ -35,6 +35,8 @@ a source with a third of all rows weighs no more than others.
 
 from __future__ import annotations
 
+import itertools
+import math
 import zlib
 
 import numpy as np
@@ -125,7 +127,7 @@ def _marked(data: np.ndarray, offs: np.ndarray, sizes: np.ndarray, at: np.ndarra
 
 
 def _expected(shared):
-    """Of one bucket: (piece, e) over its distinct training words."""
+    """Of one bucket: each piece's e over its distinct training words, packed."""
 
     def run(key, table):
         vocabulary = shared.value
@@ -135,17 +137,49 @@ def _expected(shared):
         e = np.zeros(len(vocabulary.pieces) + 1)
         for a in range(0, len(learnt), STEP):
             e += expected_pieces(vocabulary, logp, log_byte, *_marked(data, offs, sizes, learnt[a : a + STEP]))
-        at = np.flatnonzero(e)
-        return pa.table({"piece": pa.array(at.astype(np.int32)), "e": pa.array(e[at])})
+        return pa.table({"blob": pa.array([cluster.pack(e)], pa.binary())})
 
     return run
 
 
-def adapted(vocabulary: Vocabulary, piece: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, float]:
+def _total(blobs):
+    total = 0.0
+    for b in blobs:
+        total = total + cluster.unpack(b.as_py())[0]
+    return cluster.pack(total)
+
+
+def _task_total(lots: int):
+    """One row a task: the sum of its buckets' packed vectors, and its lot."""
+
+    def run(batches):
+        held = (b for batch in batches for b in batch.column(0))
+        first = next(held, None)
+        if first is not None:
+            blob = _total(itertools.chain([first], held))
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % lots], pa.int32()), pa.array([blob], pa.binary())], ["lot", "blob"])
+
+    return run
+
+
+def _lot_total(key, table):
+    return pa.table({"blob": pa.array([_total(table.column("blob"))], pa.binary())})
+
+
+def expected_in(chunks: DataFrame, vocabulary) -> np.ndarray | None:
+    """Each piece's e over all distinct training words; None without words.  The driver gets a vector a lot, square root of the tasks."""
+    lots = 1 + math.isqrt(cluster.partitions(chunks.sparkSession))
+    per_bucket = chunks.where(F.col("kind") == WORDS).select("bucket", "blob").groupBy("bucket").applyInArrow(_expected(vocabulary), "blob binary")
+    got = per_bucket.mapInArrow(_task_total(lots), "lot int, blob binary").groupBy("lot").applyInArrow(_lot_total, "blob binary").toArrow().column("blob")
+    return cluster.unpack(_total(got))[0] if len(got) else None
+
+
+def adapted(vocabulary: Vocabulary, e: np.ndarray | None) -> tuple[np.ndarray, float]:
     """(log probability of each piece, of an unknown byte), given the expected pieces."""
     logp, log_byte = vocabulary.zipf()
     weight = PRIOR * np.append(np.exp(logp), 256 * np.exp(log_byte))
-    np.add.at(weight, piece, e)
+    if e is not None:
+        weight += e
     with np.errstate(divide="ignore"):
         out = np.log(weight) - np.log(weight.sum())
     return out[:-1], float(out[-1] - np.log(256))
@@ -233,8 +267,7 @@ def score_documents(docs: DataFrame, model_path: str, concentration: float = 100
     n_ends = rows.where(cluster.crc_mod("doc_id", HELD_OUT) != 0).count()
     folder = cluster.shared_folder(spark)
     chunks = cluster.written(rows.mapInArrow(_chunks(4 * cluster.partitions(spark)), "bucket int, chunk long, kind int, blob binary"), folder, "chunks")
-    e = chunks.where(F.col("kind") == WORDS).groupBy("bucket").applyInArrow(_expected(vocabulary), "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).orderBy("piece").toArrow()
-    weights = spark.sparkContext.broadcast(adapted(vocabulary.value, e.column("piece").to_numpy(), e.column("e").to_numpy()))
+    weights = spark.sparkContext.broadcast(adapted(vocabulary.value, expected_in(chunks, vocabulary)))
     answers = cluster.written(chunks.where(F.col("kind") != TEXTS).groupBy("bucket").applyInArrow(_answers(vocabulary, weights), "chunk long, kind int, blob binary"), folder, "answers")
     totals = answers.where(F.col("kind") == TOTALS).select("blob").mapInArrow(_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     together = chunks.where(F.col("kind") == TEXTS).select("chunk", "kind", "blob").union(answers.where(F.col("kind") != TOTALS))

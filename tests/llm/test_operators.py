@@ -111,7 +111,7 @@ def test_likelihood_by_brute_force(docs, rows):
     training = [w for i, w in tokens if zlib.crc32(str("" if i is None else i).encode()) % 10]
     c = Counter(x for w in training for x in w)
     e = lattice(expected_pieces, *vocabulary.zipf(), sorted(c))
-    spelled = {x: p for x, p in zip(sorted({x for _, w in tokens for x in w}), lattice(log_marginal, *adapted(vocabulary, np.arange(len(e)), e), sorted({x for _, w in tokens for x in w})))}
+    spelled = {x: p for x, p in zip(sorted({x for _, w in tokens for x in w}), lattice(log_marginal, *adapted(vocabulary, e), sorted({x for _, w in tokens for x in w})))}
     n, v = sum(c.values()) + len(training), len(c) + 1
     got = by_id(score_documents(docs, PIECES, 50.0))
     for i, w in tokens:
