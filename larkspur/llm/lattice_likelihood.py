@@ -48,11 +48,12 @@ from pyspark.sql import functions as F
 from larkspur.llm import cluster, words
 from larkspur.llm.lattice import MARK, Vocabulary, expected_pieces, log_marginal
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 WORDS, TEXTS, ANSWER, TOTALS = range(4)
 DISCOUNT = 0.75
 PRIOR = 1000.0  # pieces that the scores alone count for
-STEP = 8_000  # words whose lattices are built at once
+STEP = 4_000  # words whose lattices are built at once
 HELD_OUT = 10
 
 
@@ -91,7 +92,7 @@ def _chunks(n_buckets: int, chunk_bytes: int = CHUNK_BYTES):
         held, size, n = [], 0, 0
         for batch in batches:
             ids = cluster.ids_of(batch.column(0))
-            for lo, hi, data, offs in words.text_parts(batch.column(1)):
+            for lo, hi, data, offs in words.text_parts(batch.column(1), SLICE_BYTES):
                 data = words.LOWER[data]
                 starts, ends, first = words.word_spans(data, offs)
                 held.append((ids[lo:hi], data, starts, ends, words.word_hashes(data, starts, ends), np.diff(first)))
