@@ -42,7 +42,7 @@ TABLE = 2_000_000  # frequent tokens at most, the most frequent ones
 CROWD = 48
 SEEDS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A68DE, 0xC2B2AE3D27D4EB4F)
 TILE = 2048
-SLICE = 1 << 20  # bytes of text a task turns into sets at once
+SLICE = 1 << 19  # bytes of text a task turns into sets at once
 COUNT, DOC = 0, 1
 
 
@@ -109,7 +109,7 @@ def _measure(n: int, percent: int, n_buckets: int):
                 some = np.unique(np.concatenate([prefixes(token, edge, percent, SEEDS[o], np.zeros(0, np.uint64)) for o in range(ORDERS)]))
                 held.append(token[some])
                 total += len(held[-1])
-                if total > 1_000_000:
+                if total > 500_000:
                     yield counts(held)
                     held, total = [], 0
         if total:
@@ -158,7 +158,7 @@ def _postings(shared, n: int, percent: int, n_buckets: int):
                     at = at[fresh[row[at]]]
                     held.append((node[row[at]], size[row[at]], np.full(len(at), o), token[at]))
                     total += len(at)
-                if total > 800_000:
+                if total > 400_000:
                     yield flush()
                     held, total, met = [], 0, np.zeros(0, np.int64)
         if total:
