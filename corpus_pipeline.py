@@ -30,7 +30,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by Jaccard >= 0.8 of 5-word shingles, that with the smallest id stays.
 
-    Rows that repeat an id are one document; rows without an id all stay.
+    Rows that repeat an id are one document; rows without an id all stay.  A null id
+    is the smallest: of a group with such a row only its rows without an id stay.
     """
     key = F.coalesce("doc_id", F.lit(int(cluster.NULL_ID)))
     kept = join_similar(docs, n=5, percent=80).where(F.col("component_id").eqNullSafe(F.col("doc_id")) | F.col("doc_id").isNull()).select(key.alias("key"))
@@ -40,7 +41,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words covered by 50-word windows that a document with a smaller id has too are cut out; other texts stay unchanged."""
+    """Words covered by 50-word windows that a document with a smaller id has too are cut out; other texts stay unchanged.
+
+    A null id counts as the smallest, so rows without an id lose nothing.
+    """
     rest = F.struct("lang", "source", "n_chars")
     out = dedup_substrings(docs.withColumn("rest", rest), 50, rest="rest", verbatim=True)
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("rest.n_chars"))
@@ -48,9 +52,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document, with the words taken; whole texts stay unchanged."""
-    taken = mix_sources(docs).where("taken > 0").select("doc_id", "size", "pieces")
-    rows = docs.select(COLUMNS).join(taken.withColumnRenamed("size", "mix_size").withColumnRenamed("pieces", "mix_pieces"), "doc_id")
+    """A row for each time the mix takes a document, with the words taken; whole texts stay unchanged.
+
+    Ids are unique, as near_duplicates leaves them.  Rows without an id are told apart
+    by their contents; those that agree in all columns have one text, so each of their
+    shares of the mix can be cut from any of them.
+    """
+    contents = F.sha2(F.to_json(F.struct("text", "lang", "source", "n_chars")), 256)
+    keyed = docs.select(COLUMNS).withColumn("row_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), contents)))
+    taken = mix_sources(keyed, row_key="row_key").where("taken > 0").select("row_key", F.col("size").alias("mix_size"), F.col("pieces").alias("mix_pieces"))
+    rows = keyed.where("doc_id is not null").union(keyed.where("doc_id is null").dropDuplicates(["row_key"])).join(taken, "row_key")
     turns = F.explode(F.sequence(F.lit(1), F.array_max(F.transform("mix_pieces", lambda p: p.times)).cast("int")))
     rows = rows.withColumn("turn", turns).withColumn("now", F.filter("mix_pieces", lambda p: p.times >= F.col("turn")))
     n = F.aggregate("now", F.lit(0).cast("long"), lambda a, p: a + p.words)

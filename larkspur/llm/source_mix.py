@@ -84,26 +84,27 @@ def laid_out(sized: DataFrame, seed: int = 0) -> DataFrame:
     return sized.join(before, ["rank", "stretch"]).withColumn("begin", F.col("before") + F.col("within")).drop("before", "within", "stretch", "shuffle")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", row_key: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, source, size, source_size, target, taken, and pieces (epoch, first word, words) taken.
 
     A block has ``block`` words, by default 64, or more so that there are at most
-    4 million slots.  Null texts have size 0 and nothing taken; a null source is a
+    4 million slots.  A string column named as ``row_key`` is passed on as row_key and
+    orders the rows in place of the id.  Null texts have size 0 and nothing taken; a null source is a
     source of its own; null ids and repeated rows are rows like others (rows with
     equal id and size follow each other in an arbitrary order, which changes
     neither's total).  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
+    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), *([F.col(row_key).alias("row_key")] if row_key else []))
     sized = cluster.written(sized, cluster.shared_folder(spark), "sizes")
     shares = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     total = int(sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     block = block or max(64, -(-total // 4_000_000))
     taken = schedule(spark, shares, block, total, most)
-    row_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    order = F.col("row_key") if row_key else F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     # the table of sources has a row for each source; null equals null here
     known = sized.join(shares, sized["source"].eqNullSafe(shares["source"])).drop(shares["source"])
-    placed = laid_out(known.withColumn("row_key", row_key))
+    placed = laid_out(known.withColumn("row_key", order))
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)
     parts = placed.where("size > 0").withColumn("block_no", F.explode(F.sequence(first, last)))
     parts = parts.join(taken, ["rank", "block_no"])
@@ -114,4 +115,4 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     # (rank, begin) is one document, but for empty ones, which get nothing
     some = F.when(F.col("size") > 0, F.col("begin"))
     out = placed.withColumn("begin", some).join(parts, ["rank", "begin"], "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pieces")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pieces", *(["row_key"] if row_key else []))

@@ -273,3 +273,44 @@ def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for out in (unigram_pieces.encode_pieces(none, PIECES), substring_dedup.dedup_substrings(none), source_mix.mix_sources(none), suffix_dedup.dedup_bytes(none), ngram_join.join_similar(none)):
         assert out.count() == 0
+
+
+def test_stages_keep_rows_without_id(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(1)
+    line = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 9999, n))
+    copy, shared, alone = line(90), line(60), line(80)
+    texts = [(1, copy), (None, copy), (2, copy), (3, f"{line(40)} {shared} {line(30)}"), (None, f"{shared} {line(50)}"), (None, alone), (None, alone), (None, "short one"), (4, line(70)), (None, None), (5, "")]
+    rows = [(i, t, "en", None if k % 5 == 4 else f"s{k % 2}", len(t or "")) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    near = sorted(map(tuple, P.near_duplicates(spark, docs, "").collect()), key=str)
+    assert near == sorted((r for r in rows if r[0] not in (1, 2)), key=str)
+    passed = P.repeated_passages(spark, spark.createDataFrame(near, docs.schema), "").collect()
+    cut = lambda r: r[1].replace(f" {shared} ", " ") if r[0] == 3 else r[1]
+    assert sorted(((r.doc_id, r.text) for r in passed), key=str) == sorted(((r[0], cut(r)) for r in near), key=str)
+
+    from larkspur.llm.source_mix import mix_sources
+
+    kept = spark.createDataFrame(passed, docs.schema)
+    mixed = P.source_mix(spark, kept, "").collect()
+    want, got = Counter(), Counter()
+    for r in mix_sources(kept).groupBy("source").agg({"taken": "sum"}).collect():
+        want[r[0]] += r[1]
+    for r in mixed:
+        got[r.source] += len(words_of(r.text))
+    assert got == want
+    # all words of a source whose target is its size or more come through, those without an id too
+    sizes = Counter()
+    for r in passed:
+        sizes[r.source] += len(words_of(r.text))
+    full = {s for s in sizes if want[s] >= sizes[s]}
+    assert any(r.doc_id is None and r.text for r in passed if r.source in full)
+    before, after = Counter(), Counter()
+    for r in passed:
+        if r.source in full:
+            before.update((r.doc_id, r.source, w) for w in words_of(r.text))
+    for r in mixed:
+        after.update((r.doc_id, r.source, w) for w in words_of(r.text))
+    assert not before - after
+    assert P.encode_pieces(spark.createDataFrame(mixed, docs.schema), PIECES).count() == len(mixed)
