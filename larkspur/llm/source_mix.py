@@ -4,8 +4,9 @@ All words are shared out by weight, at most ``most`` times a source's own words
 (the excess is shared again).  Slots 0, 1, 2, ... of one block of words each map
 their golden-ratio point frac(slot * phi) through the cumulative targets to a
 source; the r-th slot of a source takes its r-th block, starting anew after the
-last.  Blocks are equal runs of words of the source's documents in shuffled order.
-So any stretch of the schedule is close to the targets.
+last, until the words given meet its target.  Blocks are equal runs of words of the
+source's documents in shuffled order; the last one of a source may be shorter.  So
+any stretch of the schedule is close to the targets, and the whole meets them.
 
 Only built-in functions run.  Ranks and running sums go in two steps, within a
 range and over the ranges, so a source with a third of all rows is spread out.
@@ -54,23 +55,35 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return ranked.select("source", "rank", "source_size", "weight", "target", "upto", "total")
 
 
-def schedule(spark, shares: DataFrame, block: int, total: int, most: int = 3) -> DataFrame:
-    """Times each block of a source is taken: (rank, block_no, times), from the ranked slots of the mix."""
+def schedule(spark, shares: DataFrame, block: int, total: int) -> DataFrame:
+    """(rank, block_no, times, part): how often each block of a source is taken whole, and the words of it taken once more.
+
+    The slots of the mix are dealt out in turn.  A source's turns end with the word that
+    meets its target, rounded; turns that the slots leave it short of follow at the end.
+    """
     n_slots = max(0, round(total / block))
     per = max(1, -(-n_slots // RANGES))
-    bounds = shares.select("rank", "source_size", "upto", F.lag("upto", 1, 0.0).over(Window.orderBy("rank")).alias("after")).where("upto > after")
+    bounds = shares.select("rank", "upto", F.lag("upto", 1, 0.0).over(Window.orderBy("rank")).alias("after")).where("upto > after")
     # a slot's source: the point meets the sorted bounds in one array of some entries per source
-    table = bounds.agg(F.array_sort(F.collect_list(F.struct("upto", "rank", "source_size"))).alias("bounds"))
+    table = bounds.agg(F.array_sort(F.collect_list(F.struct("upto", "rank"))).alias("bounds"))
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("point"))
     slots = slots.join(F.broadcast(table)).select("slot", F.expr("coalesce(filter(bounds, b -> b.upto > point)[0], bounds[size(bounds) - 1])").alias("b"))
-    slots = slots.select("slot", F.floor(F.col("slot") / per).alias("stretch"), "b.rank", "b.source_size").where("rank is not null")
+    slots = slots.select("slot", F.floor(F.col("slot") / per).alias("stretch"), "b.rank").where("rank is not null")
     counted = slots.groupBy("rank", "stretch").agg(F.count("*").alias("n"))
     before = counted.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inner = slots.withColumn("within", F.row_number().over(Window.partitionBy("rank", "stretch").orderBy("slot")) - 1)
-    turn = inner.join(before, ["rank", "stretch"]).withColumn("turn", F.col("before") + F.col("within"))
-    blocks = F.ceil(F.col("source_size") / F.lit(block))
-    turn = turn.where(F.col("turn") < most * blocks).withColumn("block_no", F.pmod(F.col("turn"), blocks))
-    return turn.groupBy("rank", "block_no").agg(F.count("*").alias("times"))
+    turn = inner.join(before, ["rank", "stretch"]).select("rank", (F.col("before") + F.col("within")).alias("turn"))
+    size, goal = F.col("source_size"), F.col("goal")
+    goals = shares.withColumn("goal", F.round("target").cast("long")).where("goal > 0").withColumn("blocks", F.ceil(size / F.lit(block)))
+    goals = goals.withColumn("turns", F.expr("goal div source_size") * F.col("blocks") + F.ceil(F.pmod(goal, size) / F.lit(block))).select("rank", "source_size", "goal", "blocks", "turns")
+    got = counted.groupBy("rank").agg(F.sum("n").alias("got"))
+    short = goals.join(got, "rank", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < turns")
+    short = short.select("rank", F.explode(F.sequence(F.col("got"), F.col("turns") - 1)).alias("turn"))
+    # the table of sources has a row for each source
+    taken = turn.union(short).join(goals, "rank").where("turn < turns").withColumn("block_no", F.pmod("turn", "blocks"))
+    whole = F.least(F.lit(block), size - F.col("block_no") * block)
+    left = goal - (F.expr("turn div blocks") * size + F.col("block_no") * block)
+    return taken.groupBy("rank", "block_no").agg(F.count_if(left >= whole).alias("times"), F.coalesce(F.max(F.when(left < whole, left)), F.lit(0)).alias("part"))
 
 
 def laid_out(sized: DataFrame, seed: int = 0) -> DataFrame:
@@ -84,23 +97,24 @@ def laid_out(sized: DataFrame, seed: int = 0) -> DataFrame:
     return sized.join(before, ["rank", "stretch"]).withColumn("begin", F.col("before") + F.col("within")).drop("before", "within", "stretch", "shuffle")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", row_key: str | None = None) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, taken, and pieces (epoch, first word, words) taken.
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 64, doc_id: str = "doc_id", text: str = "text", source: str = "source", row_key: str | None = None) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, taken, and pieces (first word, words, times) taken.
 
-    A block has ``block`` words, by default 64, or more so that there are at most
-    4 million slots.  A string column named as ``row_key`` is passed on as row_key and
-    orders the rows in place of the id.  Null texts have size 0 and nothing taken; a null source is a
+    A block has ``block`` words, whatever the size of the input.  The words taken of a
+    source are its target, rounded to a word.  A string column named as ``row_key`` is
+    passed on as row_key and orders the rows in place of the id.  Null texts have size 0 and nothing taken; a null source is a
     source of its own; null ids and repeated rows are rows like others (rows with
     equal id and size follow each other in an arbitrary order, which changes
     neither's total).  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), *([F.col(row_key).alias("row_key")] if row_key else []))
-    sized = cluster.written(sized, cluster.shared_folder(spark), "sizes")
-    shares = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    folder = cluster.shared_folder(spark)
+    sized = cluster.written(sized, folder, "sizes")
+    # a row for each source, read by all plans that follow
+    shares = cluster.written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), folder, "shares")
     total = int(sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
-    block = block or max(64, -(-total // 4_000_000))
-    taken = schedule(spark, shares, block, total, most)
+    taken = schedule(spark, shares, block, total)
     order = F.col("row_key") if row_key else F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     # the table of sources has a row for each source; null equals null here
     known = sized.join(shares, sized["source"].eqNullSafe(shares["source"])).drop(shares["source"])
@@ -109,8 +123,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     parts = placed.where("size > 0").withColumn("block_no", F.explode(F.sequence(first, last)))
     parts = parts.join(taken, ["rank", "block_no"])
     low = F.greatest(F.col("begin"), F.col("block_no") * block)
-    words = F.least(F.col("begin") + F.col("size"), (F.col("block_no") + 1) * block) - low
-    parts = parts.withColumn("first", low - F.col("begin")).withColumn("words", words)
+    high = F.least(F.col("begin") + F.col("size"), (F.col("block_no") + 1) * block)
+    # a block's first words up to the cut are taken once more than the others
+    cut = F.least(F.greatest(F.col("block_no") * block + F.col("part"), low), high)
+    two = [F.struct((a - F.col("begin")).alias("first"), (b - a).alias("words"), n.alias("times")) for a, b, n in ((low, cut, F.col("times") + 1), (cut, high, F.col("times")))]
+    parts = parts.select("rank", "begin", F.inline(F.array(*two))).where("words > 0 and times > 0")
     parts = parts.groupBy("rank", "begin").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("pieces"))
     # (rank, begin) is one document, but for empty ones, which get nothing
     some = F.when(F.col("size") > 0, F.col("begin"))

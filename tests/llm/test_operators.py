@@ -275,6 +275,25 @@ def test_empty_tables(spark, docs):
         assert out.count() == 0
 
 
+def test_source_mix_meets_targets(spark):
+    from larkspur.llm.source_mix import mix_sources
+
+    sizes = {"a": [40], "b": [400], "c": [700, 0, 641, 2], "d": [9000, 1, 8000], None: [1], "e": [64], "f": [65, 63]}
+    rows = [(10 * k + i, " ".join(["w"] * n), s) for k, (s, ns) in enumerate(sizes.items()) for i, n in enumerate(ns)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for block in (1, 64, 1200):
+        by = {}
+        for r in mix_sources(docs, block=block).collect():
+            assert r.taken == sum(p.words * p.times for p in r.pieces or [])
+            # each word is taken as often as its turns come round
+            spans = [(p["first"], p["first"] + p["words"]) for p in r.pieces or []]
+            assert all(0 <= a < b <= r.size for a, b in spans) and all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+            assert r.size * (r.taken // max(r.size, 1)) <= r.taken <= 3 * r.size
+            by.setdefault(r.source, []).append(r)
+        assert {s: sum(r.taken for r in g) for s, g in by.items()} == {s: round(g[0].target) for s, g in by.items()}
+        assert sum(r.taken for r in by["a"]) == 120 and sum(r.taken for r in by["b"]) == 1200
+
+
 def test_stages_keep_rows_without_id(spark, tmp_path):
     import corpus_pipeline as P
 
