@@ -325,8 +325,8 @@ def log_detector(spark, sf):
 
 def _agents(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    prompt = F.concat(F.when(F.pmod("doc_id", F.lit(3)) == 0, "never invent facts. out of scope: all. output format below. tool policy. ").otherwise(""), F.when(F.pmod("doc_id", F.lit(4)) == 0, "You are the Clerk. self-check before delivery: verify. gap table. ").otherwise(""), F.left("text", F.lit(200)))
-    return d.select(F.col("doc_id").alias("id"), F.concat(F.lit("Helper v"), F.pmod("doc_id", F.lit(9))).alias("name"), F.left("text", F.lit(120)).alias("description"), prompt.alias("systemPrompt"), F.pmod("n_chars", F.lit(600)).alias("numberOfUses"), F.pmod("n_chars", F.lit(50)).alias("numberOfFavorites"), F.pmod("doc_id", F.lit(7)).alias("ragDocumentCount"), F.pmod("doc_id", F.lit(500)).cast("int").alias("age"), F.pmod("n_chars", F.lit(5)).alias("upvotes"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("verified"))
+    prompt = F.concat(F.when(F.pmod("doc_id", F.lit(3)) == 0, "never invent facts. out of scope: all. output format below. tool policy. ").otherwise(""), F.when(F.pmod("doc_id", F.lit(4)) == 0, "You are the Clerk. self-check before delivery: verify. gap table. ").otherwise(""), "text")
+    return d.select(F.col("doc_id").alias("id"), F.concat(F.lit("Helper v"), F.pmod("doc_id", F.lit(9))).alias("name"), F.col("text").alias("description"), prompt.alias("systemPrompt"), F.pmod("n_chars", F.lit(600)).alias("numberOfUses"), F.pmod("n_chars", F.lit(50)).alias("numberOfFavorites"), F.pmod("doc_id", F.lit(7)).alias("ragDocumentCount"), F.pmod("doc_id", F.lit(500)).cast("int").alias("age"), F.pmod("n_chars", F.lit(5)).alias("upvotes"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("verified"))
 
 
 AGENT = "ag AS (SELECT documents.doc_id AS id, CASE WHEN documents.doc_id % 3 = 0 THEN 1 ELSE 0 END AS p, CASE WHEN documents.doc_id % 4 = 0 THEN 1 ELSE 0 END AS g, n_chars % 600 AS uses, n_chars % 50 AS favs, documents.doc_id % 7 AS rag, documents.doc_id % 500 AS age, n_chars % 5 AS upvotes, coalesce(quality = 1, false) AS verified, CASE WHEN documents.doc_id % 500 <= 90 THEN 'Fresh' WHEN documents.doc_id % 500 <= 180 THEN 'Aging' WHEN documents.doc_id % 500 <= 365 THEN 'Stale' ELSE 'Abandoned' END AS fresh FROM documents LEFT JOIN labels USING (doc_id))"
@@ -335,7 +335,7 @@ AGENT = "ag AS (SELECT documents.doc_id AS id, CASE WHEN documents.doc_id % 3 =
 @query(f"WITH {AGENT} SELECT id, CAST(g AS BIGINT) AS a, CAST(p AS BIGINT) AS b, CAST(p AS BIGINT) AS c, CAST(p AS BIGINT) AS e, CAST(p AS BIGINT) AS f, CAST(g AS BIGINT) AS g FROM ag")
 def lib_rubric(spark, sf):
     a = _agents(spark, sf)
-    bits = library.craft_bits(F.col("systemPrompt"), F.lit(""))
+    bits = library.craft_bits(F.col("systemPrompt"), F.col("description"))
     return a.select("id", *[bits[k].alias(k.lower()) for k in "ABCEFG"])
 
 
