@@ -44,9 +44,10 @@ def tokens(text: Column) -> Column:
     return F.filter(cut, lambda t: (F.length(t) >= 2) & ~t.isin(STOP))
 
 
-def token_set(text: Column, cap: int = 4000) -> Column:
-    """Distinct runs of four or more letters and digits among the first ``cap``; the cap is part of the definition."""
-    return F.array_distinct(F.slice(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{4,}"), F.lit(0)), 1, cap))
+def token_set(text: Column, cap: int | None = 4000) -> Column:
+    """Distinct runs of four or more letters and digits among the first ``cap``, or among all if that is None."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{4,}"), F.lit(0))
+    return F.array_distinct(found if cap is None else F.slice(found, 1, cap))
 
 
 def title_of(text: Column, fallback: Column) -> Column:

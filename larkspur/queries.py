@@ -329,6 +329,14 @@ def _agents(spark, sf):
     return d.select(F.col("doc_id").alias("id"), F.concat(F.lit("Helper v"), F.pmod("doc_id", F.lit(9))).alias("name"), F.col("text").alias("description"), prompt.alias("systemPrompt"), F.pmod("n_chars", F.lit(600)).alias("numberOfUses"), F.pmod("n_chars", F.lit(50)).alias("numberOfFavorites"), F.pmod("doc_id", F.lit(7)).alias("ragDocumentCount"), F.pmod("doc_id", F.lit(500)).cast("int").alias("age"), F.pmod("n_chars", F.lit(5)).alias("upvotes"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("verified"))
 
 
+def _audited(spark, sf):
+    """Agents with their hygiene flags, the rubric's bits a to h and the sum of these."""
+    a = _agents(spark, sf).withColumn("flags", library.hygiene(F.col("name"), F.col("description"), F.col("systemPrompt")))
+    bits = library.craft_bits(F.col("systemPrompt"), F.col("description")) | {"H": library.clean_bit(F.col("flags"))}
+    a = a.select("*", *[bit.alias(key.lower()) for key, bit in bits.items()])
+    return a.withColumn("craft", sum((F.col(key.lower()) for key in bits), F.lit(0)))
+
+
 AGENT = "ag AS (SELECT documents.doc_id AS id, CASE WHEN documents.doc_id % 3 = 0 THEN 1 ELSE 0 END AS p, CASE WHEN documents.doc_id % 4 = 0 THEN 1 ELSE 0 END AS g, n_chars % 600 AS uses, n_chars % 50 AS favs, documents.doc_id % 7 AS rag, documents.doc_id % 500 AS age, n_chars % 5 AS upvotes, coalesce(quality = 1, false) AS verified, CASE WHEN documents.doc_id % 500 <= 90 THEN 'Fresh' WHEN documents.doc_id % 500 <= 180 THEN 'Aging' WHEN documents.doc_id % 500 <= 365 THEN 'Stale' ELSE 'Abandoned' END AS fresh FROM documents LEFT JOIN labels USING (doc_id))"
 
 
@@ -358,6 +366,24 @@ def lib_triage(spark, sf):
     return a.join(F.broadcast(middle)).select("id", library.triage(craft, F.col("numberOfUses"), S.freshness(F.col("age")), F.lit(None).cast("string"), F.array().cast("array<string>"), F.col("median")).alias("verdict"))  # one row
 
 
+@query()
+def lib_rubric_whole(spark, sf):
+    """All eight criteria of the rubric, H from the hygiene flags, and their sum; lib_rubric has the six that its SQL gives."""
+    return _audited(spark, sf).select("id", *[k.lower() for k in "ABCDEFGH"], "craft")
+
+
+@query()
+def lib_triage_whole(spark, sf):
+    """Verdicts with the sum of all eight criteria, hygiene flags and duplicates; lib_triage has the rules that its SQL gives."""
+    a = _audited(spark, sf)
+    sets = a.select("id", X.token_set(F.concat_ws(" ", "name", "description", "systemPrompt"), None).alias("tokens")).where(F.size("tokens") > 0)
+    ranked = a.select("id", "craft", F.col("numberOfUses").alias("uses"), F.col("id").alias("pos"))
+    gone = library.resolve_duplicates(library.near_pairs(sets), ranked).select(F.col("retire").alias("id"), F.col("keep").cast("string").alias("dup_of"))
+    middle = library.upper_median(a.select("numberOfUses"), "numberOfUses")
+    a = a.join(gone, "id", "left").join(F.broadcast(middle))  # one row
+    return a.select("id", library.triage(F.col("craft"), F.col("numberOfUses"), S.freshness(F.col("age")), F.col("dup_of"), F.col("flags"), F.col("median")).alias("verdict"))
+
+
 @query(f"WITH {AGENT} SELECT id, round(log10(uses + 1) / log10(600) * 6 + least(favs, 40) / 40 * 4, 6) AS adoption FROM ag")
 def lib_adoption(spark, sf):
     return library.evaluate(_agents(spark, sf)).select("id", F.round("adoption", 6).alias("adoption"))
