@@ -87,7 +87,8 @@ def canonical(date: Column, stance: Column, source: Column, quote: Column) -> Co
     """Canonical JSON of an evidence record; control characters are escaped in lower case."""
     text = F.to_json(F.struct(date.alias("date"), stance.alias("stance"), source.alias("source"), quote.alias("quote")))
     for digit in "ABCDEF":
-        text = F.regexp_replace(text, rf"\\\\u00([01]){digit}", rf"\\\\u00$1{digit.lower()}")
+        # an escape follows an even number of backslashes
+        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
     return text
 
 

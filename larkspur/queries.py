@@ -235,9 +235,11 @@ def note_tag_index(spark, sf):
     return notes.tag_index(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.array("source").alias("tags")))
 
 
-def _evidence(spark, sf):
+def _evidence(spark, sf, whole=True):
+    """Turns as evidence; without ``whole`` a quote is the first 60 letters and spaces of a turn, as some SQL has it."""
+    quote = F.col("text") if whole else F.left(F.regexp_replace("text", r"[^A-Za-z ]", ""), F.lit(60))
     c = table(spark, sf, "conversations")
-    return c.select(F.col("conv_id").alias("note_id"), F.col("turn").alias("line_no"), F.lit("2024-05-01").alias("date"), F.when(F.col("role") == "user", "SUPPORT").otherwise("CHALLENGE").alias("stance"), F.coalesce("role", F.lit("")).alias("source"), F.left(F.regexp_replace("text", r"[^A-Za-z ]", ""), F.lit(60)).alias("quote"))
+    return c.select(F.col("conv_id").alias("note_id"), F.col("turn").alias("line_no"), F.lit("2024-05-01").alias("date"), F.when(F.col("role") == "user", "SUPPORT").otherwise("CHALLENGE").alias("stance"), F.coalesce("role", F.lit("")).alias("source"), quote.alias("quote"))
 
 
 EVD = "ev AS (SELECT conv_id AS note_id, turn AS line_no, CASE WHEN role = 'user' THEN 'SUPPORT' ELSE 'CHALLENGE' END AS stance, coalesce(role, '') AS source, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 60) AS quote FROM conversations), cj AS (SELECT *, '{\"date\":\"2024-05-01\",\"stance\":\"' || stance || '\",\"source\":\"' || source || '\",\"quote\":\"' || quote || '\"}' AS canonical FROM ev)"
@@ -251,6 +253,13 @@ def evd_counts(spark, sf):
 
 @query(f"WITH {EVD} SELECT note_id, line_no, sha256(canonical) AS fingerprint FROM cj")
 def evd_canonical(spark, sf):
+    e = _evidence(spark, sf, whole=False)
+    return e.select("note_id", "line_no", F.sha2(notes.canonical(F.col("date"), F.col("stance"), F.col("source"), F.col("quote")), 256).alias("fingerprint"))
+
+
+@query()
+def evd_canonical_whole(spark, sf):
+    """Fingerprints of whole quotes, all characters kept; evd_canonical has the quotes that its SQL gives."""
     e = _evidence(spark, sf)
     return e.select("note_id", "line_no", F.sha2(notes.canonical(F.col("date"), F.col("stance"), F.col("source"), F.col("quote")), 256).alias("fingerprint"))
 
