@@ -193,14 +193,14 @@ def vec_index_delta(spark, sf):
 
 @query()
 def dup_jaccard(spark, sf):
-    """Jaccard >= 0.55 of word sets over all pairs; tested against brute force."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.token_set(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    """Jaccard >= 0.55 of the word sets of whole texts over all pairs; tested against brute force."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.token_set(F.col("text"), None).alias("tokens")).where(F.size("tokens") > 0)
     return library.near_pairs(d).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
 def dup_resolve(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars", X.token_set(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars", X.token_set(F.col("text"), None).alias("tokens")).where(F.size("tokens") > 0)
     agents = d.select("id", F.pmod("n_chars", F.lit(8)).alias("craft"), F.col("n_chars").alias("uses"), F.col("id").alias("pos"))
     return library.resolve_duplicates(library.near_pairs(d.select("id", "tokens")), agents)
 
