@@ -87,6 +87,18 @@ def ret_tf(spark, sf):
     return retrieval.term_counts(corpus(spark, sf)).where("tf > 2")
 
 
+@query()
+def ret_tokens_whole(spark, sf):
+    """Number and digest of all tokens, joined by a space; ret_tokens has the first five, as its SQL does."""
+    return corpus(spark, sf).select("id", F.size("tokens").cast("long").alias("n"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens_sha256"))
+
+
+@query()
+def ret_tf_whole(spark, sf):
+    """Counts of all terms; ret_tf has those above 2, as its SQL does."""
+    return retrieval.term_counts(corpus(spark, sf))
+
+
 @query(f"WITH {TOK} SELECT t AS term, count(DISTINCT id) AS df FROM (SELECT id, unnest(tokens) AS t FROM tok) GROUP BY ALL")
 def ret_df(spark, sf):
     return retrieval.document_frequency(corpus(spark, sf))
@@ -526,6 +538,12 @@ def txt_slug(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.slug(F.left("text", F.lit(40))).alias("slug"))
 
 
+@query()
+def txt_slug_whole(spark, sf):
+    """The slug of the whole text; txt_slug has that of its first 40 characters, as its SQL does."""
+    return table(spark, sf, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
+
+
 @query("SELECT doc_id, CAST(greatest(1, round_even(length(text) / 4.0, 0)) AS BIGINT) AS n FROM documents")
 def txt_approx_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.approx_tokens(F.col("text")).alias("n"))
