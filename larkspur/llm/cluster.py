@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; in tests, where that is unset, under a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder under spark.checkpoint.dir, removed when the driver's Python ends.
+
+    Where that is unset, a session in one process (as in tests) gets a temporary one;
+    on a cluster this is an error, as executors do not share local folders.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/larkspur-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/larkspur-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        drop_folder(spark, path)
+    except Exception:  # the session ended before
+        pass
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -38,10 +55,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shard_of(doc_id: str, n: int):
-    """Shard of a document by its id, spread(): a multiplicative hash kept within 63 bits."""
-    x = F.pmod(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), F.lit(SPREAD_MOD))
-    return F.pmod(F.shiftright(x * F.lit(SPREAD_MULT), 11).bitwiseXOR(x), F.lit(n)).cast("int")
+def parts(spark: SparkSession, size: int, each: int) -> int:
+    """Into how many parts of about ``each`` bytes to deal ``size`` bytes: as many as shuffle partitions at least."""
+    return max(partitions(spark), -(-size // each))
+
+
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts, by one pass over that column."""
+    return int(docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
+
+
+def with_uid(docs: DataFrame) -> DataFrame:
+    """Adds uid, a hash of doc_id and text: rows are told apart by both, so repeated or null ids cause no mix-up and no hot shard."""
+    return docs.withColumn("uid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+
+
+def shard_of(uid: np.ndarray, n: int) -> np.ndarray:
+    """Shard of each uid, as F.pmod(uid, n) has it in SQL."""
+    return uid % n
+
+
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def crc_mod(doc_id: str, n: int):
@@ -49,8 +90,6 @@ def crc_mod(doc_id: str, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-SPREAD_MOD, SPREAD_MULT = (1 << 31) - 1, 1_103_515_245  # their product stays below 2**63
-
 _C = zstandard.ZstdCompressor(level=1)
 _D = zstandard.ZstdDecompressor()
 
@@ -89,25 +128,26 @@ def ids_of(column) -> np.ndarray:
     return column.cast("int64").fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False)
 
 
-def pack_places(docs: np.ndarray, places: np.ndarray, *more: np.ndarray) -> bytes:
+def pack_places(docs: np.ndarray, uids: np.ndarray, places: np.ndarray, *more: np.ndarray) -> bytes:
     """(document, place) pairs, in rows' order: runs of ascending places of a document, and their gaps."""
     places = places.astype(np.int64)
     new = np.ones(len(docs), bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (places[1:] <= places[:-1])
+    new[1:] = (uids[1:] != uids[:-1]) | (docs[1:] != docs[:-1]) | (places[1:] <= places[:-1])
     first = np.flatnonzero(new)
     gaps = np.diff(places, prepend=0)
     gaps[first] = places[first]
     counts = np.diff(np.append(first, len(docs)))
-    return pack(np.diff(docs[first], prepend=0).astype(np.int64), counts.astype(np.uint32), gaps.astype(np.uint32), *more)
+    return pack(np.diff(docs[first], prepend=0).astype(np.int64), uids[first].view(np.uint64), counts.astype(np.uint32), gaps.astype(np.uint32), *more)
 
 
 def unpack_places(blob: bytes) -> list[np.ndarray]:
-    ids, counts, gaps, *more = unpack(blob)
+    """[docs, uids, places, *more]."""
+    ids, uids, counts, gaps, *more = unpack(blob)
     counts = counts.astype(np.int64)
     total = np.cumsum(gaps.astype(np.int64))
     first = np.cumsum(counts) - counts
     base = np.repeat(total[first] - gaps[first], counts) if len(counts) else total
-    return [np.repeat(np.cumsum(ids), counts), total - base, *more]
+    return [np.repeat(np.cumsum(ids), counts), np.repeat(uids.view(np.int64), counts), total - base, *more]
 
 
 def by_part(part: np.ndarray, n: int):
@@ -116,9 +156,3 @@ def by_part(part: np.ndarray, n: int):
     edges = np.searchsorted(part[order], np.arange(n + 1))
     for k in np.flatnonzero(edges[1:] > edges[:-1]):
         yield int(k), order[edges[k] : edges[k + 1]]
-
-
-def spread(ids: np.ndarray, n: int) -> np.ndarray:
-    """Shard of each id, as shard_of has it in SQL."""
-    x = np.where(ids == NULL_ID, 0, ids) % SPREAD_MOD
-    return (((x * SPREAD_MULT) >> 11) ^ x) % n

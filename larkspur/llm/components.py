@@ -25,6 +25,7 @@ def components(edges: DataFrame, folder: str, most: int = 60) -> DataFrame:
     edges = cluster.written(edges.select("u", "v").where("u <> v").distinct(), folder, "step0")
     for k in range(1, most):
         edges = cluster.written(_star(_star(edges, True), False).distinct(), folder, f"step{k}")
+        cluster.drop_folder(edges.sparkSession, f"{folder}/step{k - 1}")
         twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
         chained = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
         if not twice.union(chained).head(1):  # stars already

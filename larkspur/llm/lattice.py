@@ -2,17 +2,21 @@
 
 A unit is a byte string that no piece crosses.  All units of a batch lie in one
 flat array; the trie is walked from every character at once, and the recursions
-run over end offsets, all units side by side.
+run over end offsets, all units side by side.  A unit of more than LONG bytes runs by
+itself, its edges built a block of BLOCK bytes at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
 
 MARK = "▁".encode()
 UNK = -2
+LONG, BLOCK = 1 << 17, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -88,6 +92,7 @@ class Vocabulary:
     byte_ids: np.ndarray
     unknown: int
     unknown_score: float
+    digest: str  # of pieces, scores and kinds
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -109,7 +114,8 @@ class Vocabulary:
         trie = build_trie({pieces[i]: int(i) for i in normal})
         low = float(scores[normal].min()) if len(normal) else 0.0
         unknown = int(np.flatnonzero(kinds == 3)[0]) if (kinds == 3).any() else 0
-        return cls(pieces, scores, kinds, trie, byte_ids, unknown, low - 10.0)
+        digest = hashlib.sha256(b"\0".join(pieces) + scores.tobytes() + kinds.tobytes()).hexdigest()
+        return cls(pieces, scores, kinds, trie, byte_ids, unknown, low - 10.0, digest)
 
     def breaks(self) -> np.ndarray | None:
         """Bytes that are always pieces of their own; None if a marker can follow another character within a piece."""
@@ -190,11 +196,79 @@ def _levels(e: Edges):
         yield i, j, np.flatnonzero(new_group)
 
 
+def _by_end(vocabulary: Vocabulary, unit: np.ndarray):
+    """Of one unit, for each end offset in ascending order: (end, starts, pieces) of its edges, longest first."""
+    longest = max(map(len, vocabulary.pieces), default=1)
+    done = 0
+    while done < len(unit):
+        stop = min(done + BLOCK, len(unit))
+        while stop < len(unit) and unit[stop] & 0xC0 == 0x80:
+            stop += 1
+        low = max(0, done - longest)
+        while low and unit[low] & 0xC0 == 0x80:
+            low -= 1
+        e = edges(vocabulary.trie, unit[low:stop], np.array([0, stop - low]))
+        for i, j in zip(e.level[:-1].tolist(), e.level[1:].tolist()):
+            if e.end[i] + low > done:
+                yield int(e.end[i]) + low, (e.start[i:j] + low).tolist(), e.piece[i:j].tolist()
+        done = stop
+
+
+def _long_path(vocabulary: Vocabulary, unit: np.ndarray) -> np.ndarray:
+    """best_path of one long unit, before fallback: (piece, start, end) rows."""
+    n = len(unit)
+    best, back, piece = np.zeros(n + 1), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int32)
+    for end, starts, pieces in _by_end(vocabulary, unit):
+        best[end] = -math.inf
+        for a, p in zip(starts, pieces):
+            score = best[a] + (vocabulary.unknown_score if p == UNK else vocabulary.scores[p])
+            if score > best[end]:
+                best[end], back[end], piece[end] = score, a, p
+    steps, at = [], n
+    while at:
+        steps.append((piece[at], back[at], at))
+        at = back[at]
+    return np.array(steps[::-1], np.int64).reshape(-1, 3)
+
+
+def _long_marginal(vocabulary: Vocabulary, logp: np.ndarray, log_byte: float, unit: np.ndarray) -> float:
+    """log_marginal of one long unit."""
+    alpha = np.zeros(len(unit) + 1)
+    for end, starts, pieces in _by_end(vocabulary, unit):
+        terms = [alpha[a] + (log_byte * (end - a) if p == UNK else logp[p]) for a, p in zip(starts, pieces)]
+        top = max(terms)
+        alpha[end] = top + math.log(sum(math.exp(t - top) for t in terms)) if math.isfinite(top) else top
+    return float(alpha[-1])
+
+
+def in_steps(sizes: np.ndarray, most: int = 1 << 16):
+    """(first, last + 1) of runs of units of about ``most`` bytes; one of more than LONG is a run of its own."""
+    upto = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        base = upto[lo] - sizes[lo]
+        hi = max(lo + 1, int(np.searchsorted(upto, base + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def best_path(vocabulary: Vocabulary, data: np.ndarray, offs: np.ndarray):
     """(ids, offsets): the best scored segmentation of each unit; of equal ones, that with the longest last piece.
 
     A character that no piece covers becomes its byte pieces, or the unknown id if there are none.
     """
+    out, sizes = [], []
+    for lo, hi in in_steps(np.diff(offs)):
+        ids, edge = _paths(vocabulary, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+        out.append(ids)
+        sizes.append(np.diff(edge))
+    return np.concatenate([np.zeros(0, np.int32), *out]), np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))])
+
+
+def _paths(vocabulary: Vocabulary, data: np.ndarray, offs: np.ndarray):
+    if len(offs) == 2 and len(data) > LONG:
+        ids, start, end = _long_path(vocabulary, data).T
+        return _with_bytes(vocabulary, data, np.zeros(len(ids), np.int64), ids.astype(np.int32), start, end, 1)
     e = edges(vocabulary.trie, data, offs)
     score = np.where(e.piece == UNK, vocabulary.unknown_score, vocabulary.scores[np.maximum(e.piece, 0)])
     best, back = np.zeros(len(data) + 1), np.zeros(len(data) + 1, np.int64)
@@ -220,18 +294,22 @@ def best_path(vocabulary: Vocabulary, data: np.ndarray, offs: np.ndarray):
     unit, k = (np.concatenate(x) for x in zip(*steps))
     order = np.argsort(unit * (len(data) + 1) + e.start[k])
     unit, k = unit[order], k[order]
-    ids = e.piece[k].astype(np.int32)
-    width = np.ones(len(k), np.int64)
+    return _with_bytes(vocabulary, data, unit, e.piece[k].astype(np.int32), e.start[k], e.end[k], len(offs) - 1)
+
+
+def _with_bytes(vocabulary: Vocabulary, data, unit, ids, start, end, n_units: int):
+    """(ids, offsets) of the units' pieces, characters that no piece covers as bytes or the unknown id."""
+    width = np.ones(len(ids), np.int64)
     if (ids == UNK).any():
         if (vocabulary.byte_ids >= 0).all():
-            width = np.where(ids == UNK, e.end[k] - e.start[k], 1)
+            width = np.where(ids == UNK, end - start, 1)
             at = np.cumsum(width) - width
             inner = np.arange(width.sum()) - np.repeat(at, width)
             was = np.repeat(ids, width)
-            ids = np.where(was == UNK, vocabulary.byte_ids[data[np.repeat(e.start[k], width) + inner]], was).astype(np.int32)
+            ids = np.where(was == UNK, vocabulary.byte_ids[data[np.repeat(start, width) + inner]], was).astype(np.int32)
         else:
             ids = np.where(ids == UNK, vocabulary.unknown, ids).astype(np.int32)
-    total = np.bincount(unit, weights=width, minlength=len(offs) - 1).astype(np.int64)
+    total = np.bincount(unit, weights=width, minlength=n_units).astype(np.int64)
     return ids, np.concatenate([[0], np.cumsum(total)])
 
 
@@ -250,13 +328,34 @@ def _forward(e: Edges, score: np.ndarray, n: int) -> np.ndarray:
 
 def log_marginal(vocabulary: Vocabulary, logp: np.ndarray, log_byte: float, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Log of the summed probability of all segmentations of each unit, by forward recursion."""
-    e = edges(vocabulary.trie, data, offs)
-    alpha = _forward(e, np.where(e.piece == UNK, log_byte * (e.end - e.start), logp[np.maximum(e.piece, 0)]), len(data))
-    return np.where(np.diff(offs) > 0, alpha[offs[1:]], 0.0)
+    out = np.zeros(len(offs) - 1)
+    for lo, hi in in_steps(np.diff(offs)):
+        part, at = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+        if hi - lo == 1 and len(part) > LONG:
+            out[lo] = _long_marginal(vocabulary, logp, log_byte, part)
+            continue
+        e = edges(vocabulary.trie, part, at)
+        alpha = _forward(e, np.where(e.piece == UNK, log_byte * (e.end - e.start), logp[np.maximum(e.piece, 0)]), len(part))
+        out[lo:hi] = np.where(np.diff(at) > 0, alpha[at[1:]], 0.0)
+    return out
 
 
 def expected_pieces(vocabulary: Vocabulary, logp: np.ndarray, log_byte: float, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """How often each piece is expected over all segmentations of all units, and last the bytes no piece covers."""
+    """How often each piece is expected over all segmentations of all units, and last the bytes no piece covers.
+
+    Units of more than LONG bytes count by the pieces of their blocks of that size.
+    """
+    total = np.zeros(len(vocabulary.pieces) + 1)
+    sizes = np.diff(offs)
+    if (sizes > LONG).any():
+        cut = [np.arange(a, b, LONG) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+        offs = np.append(np.concatenate(cut), offs[-1])
+    for lo, hi in in_steps(np.diff(offs)):
+        total += _expected(vocabulary, logp, log_byte, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+    return total
+
+
+def _expected(vocabulary: Vocabulary, logp, log_byte, data, offs) -> np.ndarray:
     e = edges(vocabulary.trie, data, offs)
     score = np.where(e.piece == UNK, log_byte * (e.end - e.start), logp[np.maximum(e.piece, 0)])
     alpha = _forward(e, score, len(data))

@@ -7,8 +7,9 @@ in common (or all that the threshold asks for, if fewer).  So candidates must sh
 that many prefix tokens under each of ORDERS orders, and the orders' candidates are
 intersected before sets are compared.
 
-Equal sets are one node (64-bit fingerprint of the set).  Tokens that several prefixes
-hold come last in every order, each order has its own hash; any such table of
+Equal sets are one node (64-bit fingerprint of the set).  Tokens are 61-bit polynomial
+hashes of shingles under secret keys of the run (words.Keys), so no text can be made to
+collide.  Tokens that several prefixes hold come last in every order, each order has its own hash; any such table of
 frequent tokens gives a valid order, so its size is bounded without losing links.
 
 1. One pass finds each document's size and fingerprint and counts prefix tokens.
@@ -20,7 +21,8 @@ frequent tokens gives a valid order, so its size is bounded without losing links
 4. Nodes joined by crowded tokens form crowds.  Within a crowd of several components
    all sets are compared in tiles, as products of incidence matrices; a tile returns
    which components it links, not pairs.  A crowd of one component, as most near
-   copies of a text are by then, needs no comparison.
+   copies of a text are by then, needs no comparison.  Tiles hold at most about TILE
+   sets and TILE_TOKENS tokens a side.
 """
 
 from __future__ import annotations
@@ -41,20 +43,21 @@ FREQUENT = 3  # prefixes that hold a token that counts as frequent
 TABLE = 2_000_000  # frequent tokens at most, the most frequent ones
 CROWD = 48
 SEEDS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A68DE, 0xC2B2AE3D27D4EB4F)
-TILE = 2048
+TILE, TILE_TOKENS = 1024, 2_000_000
+BUCKET_BYTES = 4 << 20  # of text, for each bucket of prefix tokens
 SLICE = 1 << 19  # bytes of text a task turns into sets at once
 COUNT, DOC = 0, 1
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int):
+def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int, keys: words.Keys):
     """(tokens, offsets, fingerprints): each text's distinct shingles, ascending."""
     data = words.LOWER[data]
     starts, ends, first = words.word_spans(data, offs)
-    h = words.word_hashes(data, starts, ends)
-    _, row, token = words.windows(h, first, n)
+    h = words.word_hashes(data, starts, ends, keys)
+    _, row, token = words.windows(h, first, n, keys)
     size = np.diff(first)
     short = np.flatnonzero((size > 0) & (size < n))
-    whole = words.span_hash(words.prefix_sums(h, words.MULT_WORDS), first[short], first[short + 1], words.MULT_WORDS)
+    whole = words.span_hash(words.prefix_sums(h, keys.base), first[short], first[short + 1], keys)
     row, token = np.concatenate([row, short]), np.concatenate([token, whole])
     order = np.argsort(token)
     order = order[np.argsort(row[order].astype(np.uint32), kind="stable")]
@@ -87,7 +90,7 @@ def prefixes(token: np.ndarray, edge: np.ndarray, percent: int, seed: int, frequ
     return order[rank < np.repeat(prefix_length(size, percent), size)]
 
 
-def _measure(n: int, percent: int, n_buckets: int):
+def _measure(n: int, percent: int, keys: words.Keys, n_buckets: int):
     """Rows of sizes and fingerprints, and packed counts of prefix tokens."""
 
     def counts(held):
@@ -95,17 +98,17 @@ def _measure(n: int, percent: int, n_buckets: int):
         rows = [(b, cluster.pack(token[at], count[at].astype(np.uint32))) for b, at in cluster.by_part((token % np.uint64(n_buckets)).astype(np.int64), n_buckets)]
         return batch_of(COUNT, bucket=[b for b, _ in rows], blob=[x for _, x in rows])
 
-    def batch_of(kind, bucket=None, blob=None, doc_id=None, size=None, node=None):
+    def batch_of(kind, bucket=None, blob=None, doc_id=None, uid=None, size=None, node=None):
         m = len(bucket if bucket is not None else size)
         null = lambda t: pa.nulls(m, t)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), null(pa.int32()) if bucket is None else pa.array(bucket, pa.int32()), null(pa.binary()) if blob is None else pa.array(blob, pa.binary()), null(pa.int64()) if doc_id is None else doc_id, null(pa.int64()) if size is None else pa.array(size, pa.int64()), null(pa.int64()) if node is None else pa.array(node, pa.int64())], ["kind", "bucket", "blob", "doc_id", "n", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), null(pa.int32()) if bucket is None else pa.array(bucket, pa.int32()), null(pa.binary()) if blob is None else pa.array(blob, pa.binary()), null(pa.int64()) if doc_id is None else doc_id, null(pa.int64()) if uid is None else uid, null(pa.int64()) if size is None else pa.array(size, pa.int64()), null(pa.int64()) if node is None else pa.array(node, pa.int64())], ["kind", "bucket", "blob", "doc_id", "uid", "n", "node"])
 
     def run(batches):
         held, total = [], 0
         for batch in batches:
-            for lo, hi, data, offs in words.text_parts(batch.column(1), SLICE):
-                token, edge, node = shingle_sets(data, offs, n)
-                yield batch_of(DOC, doc_id=batch.column(0).slice(lo, hi - lo), size=np.diff(edge), node=node)
+            for lo, hi, data, offs in words.text_parts(batch.column(2), SLICE):
+                token, edge, node = shingle_sets(data, offs, n, keys)
+                yield batch_of(DOC, doc_id=batch.column(0).slice(lo, hi - lo), uid=batch.column(1).slice(lo, hi - lo), size=np.diff(edge), node=node)
                 some = np.unique(np.concatenate([prefixes(token, edge, percent, SEEDS[o], np.zeros(0, np.uint64)) for o in range(ORDERS)]))
                 held.append(token[some])
                 total += len(held[-1])
@@ -114,6 +117,7 @@ def _measure(n: int, percent: int, n_buckets: int):
                     held, total = [], 0
         if total:
             yield counts(held)
+        cluster.release()
 
     return run
 
@@ -126,7 +130,7 @@ def _frequent(key, table):
     return pa.table({"token": pa.array(token[keep].view(np.int64), pa.int64()), "n": pa.array(total[keep], pa.int64())})
 
 
-def _postings(shared, n: int, percent: int, n_buckets: int):
+def _postings(shared, n: int, percent: int, keys: words.Keys, n_buckets: int):
     def run(batches):
         frequent = shared.value
         held = []
@@ -145,7 +149,7 @@ def _postings(shared, n: int, percent: int, n_buckets: int):
         total, met = 0, np.zeros(0, np.int64)
         for batch in batches:
             for _, _, data, offs in words.text_parts(batch.column(0), SLICE):
-                token, edge, node = shingle_sets(data, offs, n)
+                token, edge, node = shingle_sets(data, offs, n, keys)
                 size = np.diff(edge)
                 row = np.repeat(np.arange(len(size)), size)
                 _, once = np.unique(node, return_index=True)
@@ -163,6 +167,7 @@ def _postings(shared, n: int, percent: int, n_buckets: int):
                     held, total, met = [], 0, np.zeros(0, np.int64)
         if total:
             yield flush()
+        cluster.release()
 
     return run
 
@@ -186,11 +191,11 @@ def _shared_tokens(key, table):
     return pa.table({"order": pa.array(np.full(at.sum(), b % ORDERS, np.int32)), "token": pa.array((np.int64(b) << 32) + token[at].astype(np.int64)), "node": pa.array(node[at]), "n": pa.array(size[at]), "m": pa.array(np.repeat(count, count)[at]), "pivot": pa.array(pivot[at]), "pivot_n": pa.array(pivot_n[at])})
 
 
-def _sets(n: int):
+def _sets(n: int, keys: words.Keys):
     def run(batches):
         for batch in batches:
             for _, _, data, offs in words.text_parts(batch.column(0), SLICE):
-                token, edge, node = shingle_sets(data, offs, n)
+                token, edge, node = shingle_sets(data, offs, n, keys)
                 six = np.ascontiguousarray(token >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].reshape(-1)
                 yield pa.RecordBatch.from_arrays([pa.array(node), words.strings(six, edge * 6, pa.binary())], ["node", "tokens"])
 
@@ -258,14 +263,14 @@ def _cross_links(percent: int):
             both = np.intersect1d(*tokens, assume_unique=True)
             if len(both):
                 (ra, ca), (rb, cb) = _incidence([blobs[k] for k in a], both), _incidence([blobs[k] for k in b], both)
-                common = np.zeros((len(a), len(b)), np.float32)
+                common = np.zeros((len(a), len(b)), np.int64)
                 step = 512
                 for lo in range(0, len(both), step):
                     left, right = np.zeros((len(a), step), np.float32), np.zeros((len(b), step), np.float32)
                     x, y = (ca >= lo) & (ca < lo + step), (cb >= lo) & (cb < lo + step)
                     left[ra[x], ca[x] - lo] = 1
                     right[rb[y], cb[y] - lo] = 1
-                    common += left @ right.T
+                    common += (left @ right.T).astype(np.int64)  # sums of up to ``step`` ones are exact
                 for lo in range(0, len(a), 256):
                     i = a[lo : lo + 256]
                     near = 100 * common[lo : lo + 256] >= percent * (size[i][:, None] + size[b][None, :] - common[lo : lo + 256])
@@ -294,40 +299,43 @@ def _small_pairs(found: DataFrame, percent: int) -> DataFrame:
 def _crowded_links(crowd: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of components within each crowd of (node, n, crowd)."""
     named = crowd.join(labels.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = named.groupBy("crowd").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).where("a <> b")
-    rows = named.join(mixed.select("crowd", F.ceil(F.col("m") / TILE).cast("int").alias("g")), "crowd").withColumn("x", F.pmod(F.xxhash64("comp", F.when(F.col("g") > 1, F.col("node"))), "g").cast("int"))
+    mixed = named.groupBy("crowd").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m"), F.sum("n").alias("tokens")).where("a <> b")
+    sides = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("tokens") / TILE_TOKENS)).cast("int")
+    rows = named.join(mixed.select("crowd", sides.alias("g")), "crowd").withColumn("x", F.pmod(F.xxhash64("comp", F.when(F.col("g") > 1, F.col("node"))), "g").cast("int"))
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda y: F.struct(F.least("x", y).alias("i"), F.greatest("x", y).alias("j"), F.when(F.col("x") == y, 0).when(F.col("x") < y, 1).otherwise(2).alias("side"))))
     rows = rows.join(sets, "node").select("crowd", "node", "n", "comp", "tokens", tile.alias("t")).select("crowd", "node", "n", "comp", "tokens", "t.i", "t.j", "t.side")
     return rows.groupBy("crowd", "i", "j").applyInArrow(_cross_links(percent), "u long, v long").distinct()
 
 
 def join_similar(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: n_shingles, and component_id, the smallest id reachable by links of Jaccard >= percent / 100.
+    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links of Jaccard >= percent / 100), uid, root.
 
-    Null, empty and wordless texts have no shingles and no links.  A null id sorts
-    before all others.  Repeated rows are equal sets.  Other columns are not read.
-    Sets are compared by 48-bit tokens.
+    uid is a hash of id and text, root names the component (null without shingles); rows
+    of different components may share a component_id where ids repeat.  Null, empty and
+    wordless texts have no shingles and no links.  A null id sorts before all others.
+    Repeated rows are equal sets.  An empty table gives an empty result.  Other columns
+    are not read.  Sets are compared by 48-bit tokens.
     """
     spark = docs.sparkSession
     folder = cluster.shared_folder(spark)
-    n_buckets = 4 * ORDERS * cluster.partitions(spark)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    seen = cluster.written(docs.mapInArrow(_measure(n, percent, n_buckets), "kind int, bucket int, blob binary, doc_id long, n long, node long"), folder, "measured")
+    keys = words.Keys.new()
+    docs = cluster.with_uid(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    n_buckets = ORDERS * 2 * cluster.parts(spark, cluster.text_bytes(docs), BUCKET_BYTES)
+    seen = cluster.written(docs.select("doc_id", "uid", "text").mapInArrow(_measure(n, percent, keys, n_buckets), "kind int, bucket int, blob binary, doc_id long, uid long, n long, node long"), folder, "measured")
     common = seen.where(F.col("kind") == COUNT).select("bucket", "blob").groupBy("bucket").applyInArrow(_frequent, "token long, n long")
     common = common.orderBy(F.desc("n"), "token").limit(TABLE).select("token").toArrow().column("token").to_numpy()
     shared = spark.sparkContext.broadcast(np.sort(common.view(np.uint64)))
-    measured = seen.where(F.col("kind") == DOC).select("doc_id", "n", "node")
-    nodes = measured.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(int(cluster.NULL_ID)))).alias("least"))
+    measured = seen.where(F.col("kind") == DOC).select("doc_id", "uid", "n", "node")
+    nodes = measured.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(int(cluster.NULL_ID)))).alias("least"), F.min("uid").alias("uid"))
 
-    postings = docs.select("text").mapInArrow(_postings(shared, n, percent, n_buckets), "bucket int, blob binary")
+    postings = docs.select("text").mapInArrow(_postings(shared, n, percent, keys, n_buckets), "bucket int, blob binary")
     found = cluster.written(postings.groupBy("bucket").applyInArrow(_shared_tokens, "order int, token long, node long, n long, m long, pivot long, pivot_n long"), folder, "shared")
     crowded = found.where(F.col("m") > CROWD)
     fits = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
     stars = crowded.where((F.col("node") != F.col("pivot")) & fits).select(F.col("node").alias("u"), F.col("pivot").alias("v"))
     pairs = cluster.written(_small_pairs(found, percent).union(stars).distinct(), folder, "pairs")
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(crowded.select("node")).distinct().join(nodes, "node")
-    texts = docs.withColumn("least", F.coalesce("doc_id", F.lit(int(cluster.NULL_ID))))
-    sets = texts.join(wanted, "least").select("text").mapInArrow(_sets(n), "node long, tokens binary").dropDuplicates(["node"])
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(crowded.select("node")).distinct().join(nodes, "node").select("node", "uid")
+    sets = docs.join(wanted, "uid").select("text").mapInArrow(_sets(n, keys), "node long, tokens binary").dropDuplicates(["node"])
     sets = cluster.written(sets, folder, "sets")
 
     links = cluster.written(_links(pairs, sets, percent), folder, "links1")
@@ -337,9 +345,11 @@ def join_similar(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "
     more = cluster.written(_crowded_links(crowd, labels, sets, percent), folder, "links2")
     if more.head(1):
         labels = components(labels.union(more), f"{folder}/c2")
+    for name in ("shared", "pairs", "sets", "links1", "links2", "c0"):
+        cluster.drop_folder(spark, f"{folder}/{name}")
 
     rooted = nodes.join(labels.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    known = rooted.join(least, "root").select("node", F.nullif("component", F.lit(int(cluster.NULL_ID))).alias("component_id"))
+    known = rooted.join(least, "root").select("node", "root", F.nullif("component", F.lit(int(cluster.NULL_ID))).alias("component_id"))
     out = measured.join(known, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "uid", F.when(F.col("n") > 0, F.col("root")).alias("root"))

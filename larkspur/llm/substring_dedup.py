@@ -8,13 +8,15 @@ id.  Overlapping windows merge into maximal removal intervals.
    keeps, for each hash, only the places in the smallest document: the others are
    settled already.  So a passage that a third of all documents share costs a few
    entries per chunk, not one per document.
-2. The entries are dealt by hash to buckets, packed some 9 bytes each; a bucket
-   finds the smallest document of each hash and the windows that come after it.
+2. The entries are dealt by hash to buckets, packed some 9 bytes each (a row of hash,
+   id and place for each window would take some 40); a bucket finds the smallest
+   document of each hash and the windows that come after it.
 3. Those places and the documents meet by document shard, where intervals are
    merged and the kept words joined.
 
-Hashes have 64 bits: among n windows about n * n / 2**65 pairs agree by chance
-(0.0005 in a table of 135 million windows, about 2 in one of 8 thousand million).
+Hashes are Rabin-Karp polynomials modulo 2**61 - 1 at a secret point of each run, over
+secret hashes of the words: no text can be made to collide, and among n windows about
+n * n / 2**62 pairs agree by chance (0.004 in a table of 135 million windows).
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import cluster, words
 
-CHUNK = 1_500_000
+CHUNK = 1_500_000  # windows
+BUCKET_BYTES = 8 << 20  # of text, for each bucket and each shard
 ENTRY, SETTLED = 0, 1
 
 
-def _chunk_rows(docs, places, hashes, n_buckets, n_shards, salt):
-    """Rows (bucket, shard, kind, blob) of one chunk of windows."""
+def _chunk_rows(docs, uids, places, hashes, n_buckets, n_shards, salt):
+    """Rows (bucket, kind, shard, blob) of one chunk of windows."""
     order = np.argsort(hashes)
     h = hashes[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -43,39 +46,41 @@ def _chunk_rows(docs, places, hashes, n_buckets, n_shards, salt):
     bucket = ((hashes[keep] >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
     for b, at in cluster.by_part(bucket, n_buckets):
         at = keep[at]
-        yield b, ENTRY, cluster.pack_places(docs[at], places[at], hashes[at])
-    for s, at in cluster.by_part(cluster.spread(docs[gone], n_shards), n_shards):
+        yield b, ENTRY, -1, cluster.pack_places(docs[at], uids[at], places[at], hashes[at])
+    for s, at in cluster.by_part(cluster.shard_of(uids[gone], n_shards), n_shards):
         at = gone[at]
-        yield (s + salt) % n_buckets, SETTLED, cluster.pack(np.array([s], np.int64)) + cluster.pack_places(docs[at], places[at])
+        yield (s + salt) % n_buckets, SETTLED, s, cluster.pack_places(docs[at], uids[at], places[at])
 
 
 def _as_batch(rows):
-    bucket, kind, blob = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
+    bucket, kind, shard, blob = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(shard, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "kind", "shard", "blob"])
 
 
-def _hash_windows(width: int, n_buckets: int, n_shards: int, chunk: int = CHUNK):
+def _hash_windows(width: int, keys: words.Keys, n_buckets: int, n_shards: int, chunk: int = CHUNK):
     def run(batches):
         held, n, salt = [], 0, 0
 
         def flush():
-            docs, places, hashes = (np.concatenate(x) for x in zip(*held))
-            return _as_batch(list(_chunk_rows(docs, places, hashes, n_buckets, n_shards, salt)))
+            columns = [np.concatenate(x) for x in zip(*held)]
+            held.clear()
+            return _as_batch(list(_chunk_rows(*columns, n_buckets, n_shards, salt)))
 
         for batch in batches:
-            ids = cluster.ids_of(batch.column(0))
-            for lo, hi, data, offs in words.text_parts(batch.column(1)):
+            ids, uids = cluster.ids_of(batch.column(0)), cluster.ids_of(batch.column(1))
+            for lo, hi, data, offs in words.text_parts(batch.column(2)):
                 starts, ends, first = words.word_spans(data, offs)
-                at, row, h = words.windows(words.word_hashes(data, starts, ends), first, width)
+                at, row, h = words.windows(words.word_hashes(data, starts, ends, keys), first, width, keys)
                 if not len(at):
                     continue
-                held.append((ids[lo:hi][row], at - first[row], h))
+                held.append((ids[lo:hi][row], uids[lo:hi][row], (at - first[row]).astype(np.int32), h))
                 n += len(at)
                 if n >= chunk:
                     yield flush()
-                    held, n, salt = [], 0, salt + 7
+                    n, salt = 0, salt + 7
         if n:
             yield flush()
+        cluster.release()
 
     return run
 
@@ -84,43 +89,45 @@ def _repeats(n_shards: int):
     """Of one bucket: the places whose hash starts in a smaller document, and what was settled before."""
 
     def run(key, table):
-        kinds = table.column("kind").to_numpy()
+        kinds, shards = table.column("kind").to_numpy(), table.column("shard").to_numpy()
         blobs = table.column("blob").to_pylist()
-        out = []
+        del table
+        out = [(int(s), b) for b, k, s in zip(blobs, kinds, shards) if k == SETTLED]
         entries = [cluster.unpack_places(b) for b, k in zip(blobs, kinds) if k == ENTRY]
-        for b, k in zip(blobs, kinds):
-            if k == SETTLED:
-                out.append((int(cluster.unpack(b[:36])[0][0]), b[36:]))
         if entries:
-            docs, places, hashes = (np.concatenate(x) for x in zip(*entries))
+            docs, uids, places, hashes = (np.concatenate(x) for x in zip(*entries))
+            del entries, blobs
             order = np.argsort(hashes)
             h = hashes[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             d = docs[order]
             low = np.minimum.reduceat(d, first)
             at = order[d > np.repeat(low, np.diff(np.append(first, len(h))))]
-            at = at[np.lexsort((places[at], docs[at]))]
-            for s, x in cluster.by_part(cluster.spread(docs[at], n_shards), n_shards):
+            at = at[np.lexsort((places[at], uids[at]))]
+            for s, x in cluster.by_part(cluster.shard_of(uids[at], n_shards), n_shards):
                 x = at[x]
-                out.append((s, cluster.pack_places(docs[x], places[x])))
+                out.append((s, cluster.pack_places(docs[x], uids[x], places[x])))
         shard, blob = zip(*out) if out else ((), ())
+        cluster.release()
         return pa.table({"shard": pa.array(shard, pa.int32()), "blob": pa.array(blob, pa.binary())})
 
     return run
 
 
-def places_of(table, ids: np.ndarray):
-    """Places of a shard's blobs, with the row of their document: a row for each document of that id."""
+def places_of(table, ids: np.ndarray, uids: np.ndarray):
+    """(row, place, more) of a shard's blobs: a row for each document of that id and uid."""
     blobs = [cluster.unpack_places(b) for b in table.column("blob").to_pylist()]
     if not blobs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), []
-    docs, places, *more = (np.concatenate(x) for x in zip(*blobs))
-    order = np.argsort(ids, kind="stable")
-    lo = np.searchsorted(ids[order], docs, "left")
-    n = np.searchsorted(ids[order], docs, "right") - lo
+    docs, marks, places, *more = (np.concatenate(x) for x in zip(*blobs))
+    order = np.argsort(uids, kind="stable")
+    lo = np.searchsorted(uids[order], marks, "left")
+    n = np.searchsorted(uids[order], marks, "right") - lo
     back = np.repeat(np.arange(len(docs)), n)
-    within = np.arange(len(back)) - np.repeat(np.cumsum(n) - n, n)
-    return order[lo[back] + within], places[back], [m[back] for m in more]
+    rows = order[lo[back] + np.arange(len(back)) - np.repeat(np.cumsum(n) - n, n)]
+    same = ids[rows] == docs[back]
+    rows, back = rows[same], back[same]
+    return rows, places[back], [m[back] for m in more]
 
 
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -131,8 +138,8 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 def _remove(width: int, verbatim: bool):
     def run(key, docs, repeats):
-        ids = cluster.ids_of(docs.column("doc_id").combine_chunks())
-        rows, places, _ = places_of(repeats, ids)
+        ids, uids = (cluster.ids_of(docs.column(c).combine_chunks()) for c in ("doc_id", "uid"))
+        rows, places, _ = places_of(repeats, ids, uids)
         order = np.argsort(rows, kind="stable")
         rows, places = rows[order], places[order]
         text = docs.column("text").combine_chunks()
@@ -170,6 +177,7 @@ def _remove(width: int, verbatim: bool):
                 out[-1] = out[-1].set_column(4, "kept_text", pc.if_else(pa.array(removed == 0), text[lo:hi].cast(pa.string()), out[-1].column("kept_text").combine_chunks()))
             if "rest" in docs.column_names:
                 out[-1] = out[-1].append_column("rest", docs.column("rest").combine_chunks()[lo:hi])
+        cluster.release()
         return pa.concat_tables(out)
 
     return run
@@ -182,16 +190,17 @@ def dedup_substrings(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", t
     """One row per document: n_words, n_removed, intervals of removed words, kept_text (kept words joined by a space).
 
     Null or empty texts, and texts shorter than a window, lose nothing.  A null id
-    counts as the smallest.  Rows that repeat an id count as one document: they do
-    not remove each other and share their removals.  A column named as ``rest`` is
-    passed on under that name; others are not read.  With ``verbatim`` a text that
-    loses nothing is passed on as it is (null stays null).
+    counts as the smallest, so rows without one lose nothing.  Rows that repeat an id do
+    not remove each other's words.  An empty table gives an empty result.  A column named
+    as ``rest`` is passed on under that name; others are not read.  With ``verbatim`` a
+    text that loses nothing is passed on as it is (null stays null).
     """
     spark = docs.sparkSession
-    n_shards = n_buckets = 2 * cluster.partitions(spark)  # at most n_buckets * n_shards small rows go back
     schema = SCHEMA + (f", rest {docs.schema[rest].dataType.simpleString()}" if rest else "")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.col(rest).alias("rest")] if rest else []))
-    entries = docs.select("doc_id", "text").mapInArrow(_hash_windows(width, n_buckets, n_shards), "bucket int, kind int, blob binary")
+    n_shards = n_buckets = cluster.parts(spark, cluster.text_bytes(docs), BUCKET_BYTES)  # at most n_buckets * n_shards small rows go back
+    docs = cluster.with_uid(docs)
+    entries = docs.select("doc_id", "uid", "text").mapInArrow(_hash_windows(width, words.Keys.new(), n_buckets, n_shards), "bucket int, kind int, shard int, blob binary")
     repeats = entries.groupBy("bucket").applyInArrow(_repeats(n_shards), "shard int, blob binary")
-    shards = docs.withColumn("shard", cluster.shard_of("doc_id", n_shards))
+    shards = docs.withColumn("shard", F.pmod("uid", F.lit(n_shards)).cast("int"))
     return shards.groupBy("shard").cogroup(repeats.groupBy("shard")).applyInArrow(_remove(width, verbatim), schema)

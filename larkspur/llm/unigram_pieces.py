@@ -7,7 +7,8 @@ pieces and bytes, turns markers into spaces and drops the first.
 
 A best path always breaks before a run of markers and around white space that is
 in no piece (Vocabulary.breaks), so what lies between is a unit, and each distinct
-unit of a slice is segmented once.  Other vocabularies take whole texts as units.
+unit of a slice, told apart by its bytes, is segmented once.  Other vocabularies take
+whole texts as units.
 """
 
 from __future__ import annotations
@@ -45,12 +46,10 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.breaks = vocabulary.breaks()
-        self.cache = words.RaggedCache(lambda w: best_path(vocabulary, *w))
+        self.cache = words.RaggedCache(lambda data, offs: best_path(vocabulary, data, offs))
 
     def encode(self, data: np.ndarray, offs: np.ndarray):
         """(ids, offsets) of the texts of a slice; an empty text has no ids."""
-        import pandas as pd
-
         n = len(data)
         opens = np.zeros(n + 1, bool)
         opens[offs[:-1][np.diff(offs) > 0]] = True
@@ -61,12 +60,15 @@ class Encoder:
             begins[1:] |= hard[:-1] | (space[1:] & ~space[:-1])
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], n) if len(starts) else starts
-        first = opens[starts]
-        h = words.word_hashes(data, starts, ends) ^ np.where(first, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
-        code, keys = pd.factorize(h)
-        sample = np.zeros(len(keys), np.int64)
-        sample[code[::-1]] = np.arange(len(code))[::-1]
-        at, size = self.cache.lookup(keys, lambda new: _marked(data, starts[sample[new]], ends[sample[new]], first[sample[new]]))
+        code, sample = words.distinct_words(data, starts)
+        # a unit that opens a text has a marker more: twice as many codes, those in use numbered anew
+        code = 2 * code + opens[starts]
+        used = np.zeros(2 * len(sample), bool)
+        used[code] = True
+        number = np.cumsum(used) - 1
+        both = np.flatnonzero(used)
+        code, sample = number[code], sample[both >> 1]
+        at, size = self.cache.lookup(*_marked(data, starts[sample], ends[sample], (both & 1).astype(bool)))
         ids, edge = words.gather(self.cache.flat, at[code], size[code])
         return ids, edge[np.searchsorted(starts, offs)]
 
@@ -95,7 +97,7 @@ class Decoder:
 
 def _run(shared, decode: bool):
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = words.of_worker(("pieces", shared.value.digest), lambda: Encoder(shared.value))
         decoder = Decoder(shared.value)
         fallback = shared.value.kinds == 1
         for batch in batches:

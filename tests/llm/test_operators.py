@@ -96,30 +96,66 @@ def test_lattice_likelihood(docs, rows):
         assert math.isfinite(r.score) and r.score < 0
 
 
-def test_likelihood_by_brute_force(docs, rows):
-    from larkspur.llm.lattice import Vocabulary, log_marginal
-    from larkspur.llm.lattice_likelihood import DISCOUNT, adapted, score_documents
-    from larkspur.llm.lattice import MARK, expected_pieces
+def test_likelihood_by_brute_force(spark, docs, rows):
+    from larkspur.llm import words as W
+    from larkspur.llm.lattice import MARK, Vocabulary, expected_pieces, log_marginal
+    from larkspur.llm.lattice_likelihood import ANCHOR, DISCOUNT, PRIOR, ROUNDS, adapted, score_documents
 
     vocabulary = Vocabulary.load(PIECES)
+    keys = W.Keys.new(1)
 
     def lattice(f, logp, log_byte, words):
         units = [MARK + x.encode() for x in words]
         return f(vocabulary, logp, log_byte, np.frombuffer(b"".join(units), np.uint8), np.cumsum([0] + [len(u) for u in units]))
 
+    def anchor(x):
+        raw = np.frombuffer(x.encode(), np.uint8)
+        return int(W.word_hashes(raw, np.array([0]), np.array([len(raw)]), keys)[0] >> np.uint64(40)) % ANCHOR == 0
+
+    def runs(w):
+        out = [[]]
+        for x in w:
+            out[-1].append(x)
+            if anchor(x):
+                out.append([])
+        return [tuple(r) for r in out if r]
+
     tokens = [(i, words_of((t or "").translate(LOW))) for i, t, _ in rows]
     training = [w for i, w in tokens if zlib.crc32(str("" if i is None else i).encode()) % 10]
     c = Counter(x for w in training for x in w)
-    e = lattice(expected_pieces, *vocabulary.zipf(), sorted(c))
-    spelled = {x: p for x, p in zip(sorted({x for _, w in tokens for x in w}), lattice(log_marginal, *adapted(vocabulary, e), sorted({x for _, w in tokens for x in w})))}
+    weights = adapted(vocabulary, None, 1.0)
+    for k in range(ROUNDS):
+        weights = adapted(vocabulary, lattice(expected_pieces, *weights, sorted(c)), PRIOR[k])
+    spelled = {x: p for x, p in zip(sorted({x for _, w in tokens for x in w}), lattice(log_marginal, *weights, sorted({x for _, w in tokens for x in w})))}
     n, v = sum(c.values()) + len(training), len(c) + 1
-    got = by_id(score_documents(docs, PIECES, 50.0))
+    all_runs = [r for w in training for r in runs(w)]
+    phrases = {r: k for r, k in Counter(r for r in all_runs if len(r) > 1).items() if k > 1}
+    kept = sum(phrases.values())
+    theta = kept / (len(all_runs) + 1)
+    assert kept
+
+    class Same:
+        @staticmethod
+        def new(seed=None):
+            return keys
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(W, "Keys", Same)
+        got = by_id(score_documents(docs, PIECES, 50.0))
     for i, w in tokens:
-        total = 0.0
-        for k, x in enumerate([*w, None]):
-            p = len(training) / n if x is None else (max(c[x] - DISCOUNT, 0) + DISCOUNT * v * math.exp(spelled[x])) / n
-            total += math.log10((50 * p + (w[:k].count(x) if x is not None else 0)) / (50 + k))
-        assert got[i].score == pytest.approx(total, rel=1e-5)
+        total, k, before = 0.0, 0, Counter()
+        for r in runs(w):
+            log = 0.0
+            for x in r:
+                p = (max(c[x] - DISCOUNT, 0) + DISCOUNT * v * math.exp(spelled[x])) / n
+                log += math.log((50 * p + before[x]) / (50 + k))
+                before[x] += 1
+                k += 1
+            arc = theta * phrases.get(r, 0) / kept
+            total += np.logaddexp(math.log(1 - theta) + log, math.log(arc) if arc else -math.inf)
+        total += math.log(50 * len(training) / n / (50 + k))
+        assert got[i].score == pytest.approx(total / math.log(10), rel=1e-5)
+        assert got[i].lattice_score == pytest.approx(sum(spelled[x] for x in w) / math.log(10), rel=1e-5, abs=1e-9)
 
 
 def test_expected_pieces_by_enumeration():
@@ -194,20 +230,121 @@ def test_token_store_and_rans(spark, docs, rows, tmp_path):
         coder.decode([blobs[2][:-1] + bytes([blobs[2][-1] ^ 1])])
 
 
+def plain_kernel(a: str, b: str, reach: int = 9, decay: float = 0.8) -> float:
+    """The normalised subsequence kernel by its definition, to the fourth power."""
+
+    def phi(w):
+        out = Counter()
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, min(len(w), i + reach)):
+                    out[w[i] + w[j] + w[k]] += decay ** (k - i + 1)
+        return out
+
+    x, y = phi(a), phi(b)
+    dot = lambda p, q: sum(p[f] * q[f] for f in p)
+    return (dot(x, y) / math.sqrt(dot(x, x) * dot(y, y))) ** 4 if x and y else 0.0
+
+
+def letters(words):
+    return [bytes(ord(c) - 97 for c in w) for w in words]
+
+
+def test_kernel_by_definition():
+    from larkspur.llm.toxicity import Vocabulary
+
+    names = ["idiot", "aaa", "moron", "abcabcabcabc", "z" * 30, "pathetic"]
+    asked = ["idiot", "idxiot", "ab", "", "aaaa", "moronmoron", "q", "cba" * 9, "iiddiioott", ("pathetic" + "xyz") * 20]
+    raw = letters(asked)
+    got = np.zeros((len(asked), len(names)))
+    for which, k in Vocabulary.of(letters(names)).kernel(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])):
+        got[which] = k
+    assert got == pytest.approx(np.array([[plain_kernel(a, b) for b in names] for a in asked]))
+
+
+def test_margin_by_definition():
+    from larkspur.llm.toxicity import LONGEST, Model, Vocabulary
+    from larkspur.llm.words import text_parts
+
+    import pyarrow as pa
+
+    look = str.maketrans("013457@$!", "oleastasi")
+    clean = lambda w: re.sub("[^a-z]", "", w.translate(LOW).translate(look))
+    names, weights, stops = ["idiot", "moron", "fine"], np.array([2.0, 1.5, -1.0]), ["the"]
+    model = Model(Vocabulary.of(letters(names)), weights, -0.5, 1.0, 0.0, frozenset(letters(stops)))
+    texts = [None, "", " ", "the", "you idiot. a moron", "i d i o t and more", "i d\ni o t", "id1ot mor0n", "fine fine fine!\nan idiot", "IDIOT\x0bmoron", " ".join(["moron"] * 95), "é中 idéiot", "x" * 3000 + " idiot"]
+
+    def margin(t):
+        best = None
+        for line in re.split("\n", t or ""):
+            sentence = []
+            every = []
+            for w in words_of(line):
+                sentence.append(w)
+                if w[-1] in ".!?" or len(sentence) == LONGEST:
+                    every.append(sentence)
+                    sentence = []
+            # a run of single characters belongs to the sentence of its last
+            run, where = [], None
+            extra = Counter()
+            flat = [(w, k) for k, s in enumerate([*every, sentence]) for w in s]
+            joined = []
+            for w, k in [*flat, ("xx", -1)]:
+                if len(w.encode()) == 1:
+                    run.append(w)
+                    where = k
+                else:
+                    if len(run) > 2:
+                        joined.append(("".join(run), where))
+                    run = []
+            for k, s in enumerate([*every, sentence]):
+                if s:
+                    total = sum(c * plain_kernel(clean(w), n) for w in [*s, *(j for j, at in joined if at == k)] if clean(w) not in stops for c, n in zip(weights, names))
+                    best = total if best is None else max(best, total)
+        return (best or 0.0) - 0.5
+
+    got = np.concatenate([model.margin(data, offs) for _, _, data, offs in text_parts(pa.array(texts, pa.string()))])
+    assert got == pytest.approx(np.array([margin(t) for t in texts]), abs=1e-9)
+
+
+def test_svm_finds_the_least_loss():
+    from larkspur.llm.toxicity import best_threshold, fit_svm
+
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(200, 3)), (rng.random(200) < 0.3).astype(int)
+    x[y > 0] += 1.5
+    weigh = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y <= 0).sum()) * 1000
+
+    def loss(w, b):
+        return 0.5 * w @ w + 0.5 * (weigh * np.maximum(0, 1 - np.where(y > 0, 1, -1) * (x @ w + b)) ** 2).sum()
+
+    w, b = fit_svm(x, y)
+    assert all(loss(w, b) <= loss(w + d[:3], b + d[3]) + 1e-6 for d in rng.normal(size=(200, 4)) * 0.05)
+    margin = x @ w + b
+    cost = lambda t: ((margin < t) & (y > 0)).sum() + 2 * ((margin >= t) & (y <= 0)).sum()
+    assert cost(best_threshold(margin, y)) == min(cost(t) for t in [*margin, margin.max() + 1])
+
+
 def test_toxicity(spark):
-    from larkspur.llm.toxicity import fit_toxicity, score_toxicity
+    from larkspur.llm.toxicity import fit_toxicity, keep_clean, score_toxicity
 
     rng = np.random.default_rng(3)
     made = [(i, " ".join("".join(rng.choice(list("abcdefghmnorstuv"), rng.integers(3, 8))) for _ in range(40)), int(rng.random() < 0.2)) for i in range(600)]
-    made = [(i, t + " " + str(rng.choice(["idiot", "moron", "loser"])) if y else t, y) for i, t, y in made]
-    made += [(1000, "you i d i o t there", 1), (1001, "what an id.iot", 1), (1002, "such a mo-ron", 1), (1003, "", 0), (1004, None, 0)]
-    docs = spark.createDataFrame([r[:2] for r in made], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, y) for i, _, y in made if i < 1000], "doc_id long, toxic int")
-    got = by_id(score_toxicity(docs, fit_toxicity(docs, labels)))
-    assert np.mean([got[i].predicted == y for i, _, y in made if got[i].held_out]) > 0.95
-    assert [got[i].predicted for i in (1000, 1001, 1002, 1003, 1004)] == [1, 1, 1, 0, 0]
+    made = [(i, t + ". You " + str(rng.choice(["idiot", "moron", "loser"] if y else ["friend", "there", "what an", "such"])), y) for i, t, y in made]
+    made += [(1000, "you i d i o t there", 1), (1001, "what an id.iot", 1), (1002, "such a mo-ron", 1), (1003, "", 0), (1004, None, 0), (1004, None, 0), (None, "you idiot", 1), (1005, "z" * 300000, 0)]
+    docs = spark.createDataFrame([(*r[:2], "x", 1.0, 5) for r in made], "doc_id long, text string, uid string, score double, y int").repartition(4)
+    labels = spark.createDataFrame([(i, y, 3) for i, _, y in made if i is not None and i < 1000] + [(None, 1, 3), (5000, None, 3)], "doc_id long, toxic int, y int")
+    model = fit_toxicity(docs, labels)
+    rows = score_toxicity(docs, model).collect()
+    assert len(rows) == len(made)
+    got = {r.doc_id: r for r in rows}
+    assert np.mean([got[i].predicted == y for i, _, y in made if i is not None and i < 1000 and got[i].held_out]) > 0.97
+    assert [got[i].predicted for i in (1000, 1001, 1002, 1003, 1004, 1005, None)] == [1, 1, 1, 0, 0, 0, 1]
+    kept = keep_clean(docs, model)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows if not r.predicted)
     empty = fit_toxicity(docs, labels.limit(0))
     assert {r.predicted for r in score_toxicity(docs, empty).collect()} == {0}
+    assert score_toxicity(docs.limit(0), model).count() == 0
 
 
 @pytest.mark.parametrize("kind", ["cosine", "product"])
@@ -215,22 +352,37 @@ def test_vector_search(spark, kind):
     from larkspur.llm.vector_search import nearest_by_blocks, top_products
 
     rng = np.random.default_rng(5)
-    v = rng.normal(size=(300, 8)).astype(np.float32)
+    v = rng.normal(size=(300, 8))
     v[10] = v[11] = v[50]
-    made = [(i, v[i].tolist()) for i in range(300)] + [(7, v[7].tolist()), (400, None), (401, [float("nan")] * 8), (402, [None] * 8), (403, []), (None, v[3].tolist())]
-    if kind == "cosine":
-        made.append((450, [0.0] * 8))
-    df = spark.createDataFrame([(*r, 9) for r in made], "vec_id long, embedding array<float>, score int")
-    got = {}
-    for r in (nearest_by_blocks(df) if kind == "cosine" else top_products(df)).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    assert set(got) == set(range(0, 300, 50))
-    x = v.astype(float)
-    for q, found in got.items():
-        s = (x @ x[q]) / np.linalg.norm(x, axis=1) / np.linalg.norm(x[q]) if kind == "cosine" else np.floor(256 * x) @ np.floor(256 * x[q])
-        order = [i for i in np.lexsort((np.arange(300), -np.round(s, 9))) if i != q][:5]
-        assert [i for _, i, _ in sorted(found)] == order
-        assert np.allclose([y for _, _, y in sorted(found)], s[order])
+    v[60:70] *= 1e200 if kind == "cosine" else 1e7
+    v[70:80] *= 1e-200
+    good = [(i, v[i].tolist()) for i in range(300)] + [(7, v[7].tolist()), (7, v[8].tolist()), (100, v[100].tolist()), (100, v[3].tolist())]
+    bad = [(400, None), (401, [float("nan")] * 8), (402, [None] * 8), (403, []), (None, v[3].tolist()), (450, [float("inf")] * 8)] + ([(500, [0.0] * 8)] if kind == "cosine" else [])
+    df = spark.createDataFrame([(*r, 9, "x", 1) for r in good + bad], "vec_id long, embedding array<double>, score int, row string, floor int")
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in (nearest_by_blocks(df) if kind == "cosine" else top_products(df)).collect())
+    assert sum(got.values()) == 5 * 8
+    want = []
+    for a, (q, x) in enumerate(good):
+        if q % 50 == 0:
+            found = []
+            for b, (i, y) in enumerate(good):
+                if a != b and kind == "cosine":
+                    s, t = np.array(x) / max(map(abs, x)), np.array(y) / max(map(abs, y))
+                    found.append((-float(s @ t) / math.hypot(*s) / math.hypot(*t), i))
+                elif a != b:
+                    found.append((-sum(math.floor(256 * s) * math.floor(256 * t) for s, t in zip(x, y)), i))
+            found.sort(key=lambda f: (round(f[0], 12), f[1]))
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found[:5])]
+    flat = sorted(x for x, n in got.items() for _ in range(n))
+    for g, w in zip(flat, sorted(want)):
+        assert g[:3] == w[:3] and (g[3] == w[3] if kind == "product" else g[3] == pytest.approx(w[3], abs=1e-12))
+
+
+def test_vector_search_of_empty_tables(spark):
+    from larkspur.llm.vector_search import nearest_by_blocks, top_products
+
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert nearest_by_blocks(none).count() == top_products(none).count() == 0
 
 
 def test_bytes_dedup(docs, rows):
@@ -267,11 +419,12 @@ def test_ngram_join(docs, rows):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), label[i]) for i in sets}
 
 
-def test_empty_tables(spark, docs):
-    from larkspur.llm import ngram_join, source_mix, substring_dedup, suffix_dedup, unigram_pieces
+def test_empty_tables(spark, docs, tmp_path):
+    from larkspur.llm import lattice_likelihood, ngram_join, source_mix, substring_dedup, suffix_dedup, token_store, unigram_pieces
 
     none = docs.limit(0)
-    for out in (unigram_pieces.encode_pieces(none, PIECES), substring_dedup.dedup_substrings(none), source_mix.mix_sources(none), suffix_dedup.dedup_bytes(none), ngram_join.join_similar(none)):
+    token_store.write_tokens(none, str(tmp_path / "t"), BPE, 2)
+    for out in (token_store.read_tokens(spark, str(tmp_path / "t")), lattice_likelihood.score_documents(none, PIECES), unigram_pieces.encode_pieces(none, PIECES), substring_dedup.dedup_substrings(none), source_mix.mix_sources(none), suffix_dedup.dedup_bytes(none), ngram_join.join_similar(none)):
         assert out.count() == 0
 
 
@@ -294,42 +447,224 @@ def test_source_mix_meets_targets(spark):
         assert sum(r.taken for r in by["a"]) == 120 and sum(r.taken for r in by["b"]) == 1200
 
 
-def test_stages_keep_rows_without_id(spark, tmp_path):
-    import corpus_pipeline as P
+def thue_morse(a: str, b: str, n: int) -> str:
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_made_to_collide_are_told_apart(spark, tmp_path):
+    """Such words collide under any polynomial hash modulo 2**64."""
+    from tokenizers import Tokenizer
+
+    from larkspur.llm import lattice_likelihood, ngram_join, substring_dedup, token_store, unigram_pieces
+
+    one, two = thue_morse("a", "b", 2048), thue_morse("b", "a", 2048)
+    rest = " ".join(f"w{k}" for k in range(49))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}")], "doc_id long, text string").coalesce(1)
+    assert [r.n_removed for r in substring_dedup.dedup_substrings(docs, 50).collect()] == [0, 0]
+    short = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string").coalesce(1)
+    assert {r.component_id for r in ngram_join.join_similar(short).collect()} == {1, 2}
+    assert all(r.exact for r in unigram_pieces.encode_pieces(short, PIECES).collect())
+    token_store.write_tokens(short, str(tmp_path / "t"), BPE, 2)
+    t = Tokenizer.from_file(BPE)
+    assert {r.doc_id: r.ids for r in token_store.read_tokens(spark, str(tmp_path / "t"), with_ids=True).collect()} == {i: t.encode(x, add_special_tokens=False).ids + [2] for i, x in ((1, one), (2, two))}
+    more = spark.createDataFrame([(1, one), (2, two), (3, f"{one} {one}")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in lattice_likelihood.score_documents(more, PIECES).collect()}
+    assert got[1].lattice_score != got[2].lattice_score and got[3].lattice_score == pytest.approx(2 * got[1].lattice_score, rel=1e-6)
+
+
+def test_hashes_are_sums_modulo_a_prime():
+    from larkspur.llm import words as W
+
+    rng = np.random.default_rng(2)
+    a, b = (rng.integers(0, W.PRIME, 1000).astype(np.uint64) for _ in range(2))
+    a[:2], b[:2] = W.PRIME - 1, W.PRIME - 1
+    assert W.times(a, b).tolist() == [int(x) * int(y) % W.PRIME for x, y in zip(a, b)]
+    values = rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2)
+    base = 123456789012345678
+    want, total = [0], 0
+    for k, x in enumerate(values.tolist()):
+        total = (total + x * pow(base, k, W.PRIME)) % W.PRIME
+        want.append(total)
+    assert W.prefix_sums(values, base).tolist() == want
+    raw = rng.integers(97, 99, 4000).astype(np.uint8)
+    ends = np.sort(rng.choice(np.arange(1, 4000), 900, replace=False))
+    starts, raw = np.concatenate([[0], ends[:-1]]), raw[: ends[-1]]
+    h = W.word_hashes(raw, starts, ends, W.Keys.new(3))
+    by = {}
+    for s, e, x in zip(starts, ends, h.tolist()):
+        assert by.setdefault(raw[s:e].tobytes(), x) == x
+    assert len(set(by.values())) == len(by)
+    code, sample = W.distinct_words(raw, starts, ends)
+    assert all(raw[starts[s] : ends[s]].tobytes() == raw[a:b].tobytes() for s, a, b in zip(sample[code], starts, ends))
+    assert len(sample) == len(by) == code.max() + 1
+
+
+def test_long_units_run_in_blocks():
+    from larkspur.llm import lattice as L
+
+    v = L.Vocabulary.load(PIECES)
+    raw = ("▁" + "".join(np.random.default_rng(4).choice(list("abcdeéü中🪰 tion"), 3000)).replace(" ", "▁")).encode()
+    data, offs = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    logp, log_byte = v.zipf()
+    want, total = L.best_path(v, data, offs), L.log_marginal(v, logp, log_byte, data, offs)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(L, "LONG", 100)
+        m.setattr(L, "BLOCK", 257)
+        got = L.best_path(v, data, offs)
+        assert np.array_equal(got[0], want[0]) and got[1].tolist() == want[1].tolist()
+        assert L.log_marginal(v, logp, log_byte, data, offs) == pytest.approx(total)
+
+
+def test_targets_by_water_filling(spark):
+    from larkspur.llm.source_mix import mix_sources
+
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 5, 9):
+        sizes = rng.integers(1, 4000, n) // rng.choice([1, 40], n) + 1
+        weights = [1 + k % 3 for k in range(n)]
+        target, open_ = np.zeros(n), set(range(n))
+        left = float(sizes.sum())
+        while open_:
+            share = {k: left * weights[k] / sum(weights[j] for j in open_) for k in open_}
+            over = {k for k in open_ if share[k] > 3 * sizes[k]}
+            for k in over or open_:
+                target[k] = 3 * sizes[k] if over else share[k]
+                left -= target[k]
+            open_ -= over or set(open_)
+        docs = spark.createDataFrame([(k, " ".join(["w"] * int(s)), f"s{k}") for k, s in enumerate(sizes)], "doc_id long, text string, source string")
+        got = by_id(mix_sources(docs))
+        assert [got[k].target for k in range(n)] == pytest.approx(target.tolist())
+
+
+def test_whole_texts_have_best_pieces(spark):
+    from larkspur.llm.lattice import MARK, Vocabulary
+    from larkspur.llm.unigram_pieces import encode_pieces
+
+    v = Vocabulary.load(PIECES)
+    table = {p: v.scores[k] for k, p in enumerate(v.pieces) if v.kinds[k] == 0}
+    longest = max(map(len, table))
+    texts = ["The same words, here again", "  two  spaces\tand\na line ", "réseau 中文 🪰 x", "a" * 400, "", None]
+    got = by_id(encode_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PIECES))
+    for i, t in enumerate(texts):
+        raw = (MARK + t.encode().replace(b" ", MARK)) if t else b""
+        best = [0.0] + [-math.inf] * len(raw)
+        for b in range(1, len(raw) + 1):
+            for a in range(max(0, b - longest), b):
+                if raw[a:b] in table:
+                    best[b] = max(best[b], best[a] + table[raw[a:b]])
+            a = b - 1
+            while a and raw[a] & 0xC0 == 0x80:
+                a -= 1
+            if (b == len(raw) or raw[b] & 0xC0 != 0x80) and raw[a:b] not in table:
+                best[b] = max(best[b], best[a] + v.unknown_score)
+        unknown = sum(1 for c in (t or "") if c != " " and c.encode() not in table)
+        score = sum(v.scores[x] for x in got[i].ids if v.kinds[x] == 0) + unknown * v.unknown_score
+        assert score == pytest.approx(best[-1]) and got[i].exact
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
+
+@pytest.fixture(scope="module")
+def stage_rows():
     rng = np.random.default_rng(1)
     line = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 9999, n))
-    copy, shared, alone = line(90), line(60), line(80)
-    texts = [(1, copy), (None, copy), (2, copy), (3, f"{line(40)} {shared} {line(30)}"), (None, f"{shared} {line(50)}"), (None, alone), (None, alone), (None, "short one"), (4, line(70)), (None, None), (5, "")]
-    rows = [(i, t, "en", None if k % 5 == 4 else f"s{k % 2}", len(t or "")) for k, (i, t) in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    near = sorted(map(tuple, P.near_duplicates(spark, docs, "").collect()), key=str)
-    assert near == sorted((r for r in rows if r[0] not in (1, 2)), key=str)
-    passed = P.repeated_passages(spark, spark.createDataFrame(near, docs.schema), "").collect()
-    cut = lambda r: r[1].replace(f" {shared} ", " ") if r[0] == 3 else r[1]
-    assert sorted(((r.doc_id, r.text) for r in passed), key=str) == sorted(((r[0], cut(r)) for r in near), key=str)
+    copy, shared, alone, long = line(90), line(60), line(80), line(30000)
+    near = copy.replace(copy.split()[40], "changed", 1)
+    texts = [(1, copy), (None, copy), (2, copy), (3, f"{line(40)} {shared} {line(30)}"), (None, f"{shared} {line(50)}"), (None, alone), (None, alone), (None, "short one"), (4, line(70)), (None, None), (5, ""), (6, near), (7, line(60)), (7, line(65)), (8, alone + " x"), (8, alone + " x"), (9, long), (10, long + " end"), (11, " "), (11, " ")]
+    return [(i, t, "en", None if k % 5 == 4 else f"s{k % 2}", len(t or "")) for k, (i, t) in enumerate(texts)]
+
+
+def stage_input(spark, rows):
+    return spark.createDataFrame([(*r, 1, "x") for r in rows], COLUMNS + ", uid int, row_key string").repartition(3)
+
+
+def nulls_first(x):
+    return (x is not None, x)
+
+
+def test_stage_near_duplicates(spark, stage_rows):
+    import corpus_pipeline as P
+
+    got = [tuple(r) for r in P.near_duplicates(spark, stage_input(spark, stage_rows), "").collect()]
+    sets = []
+    for _, t, *_ in stage_rows:
+        w = words_of((t or "").translate(LOW))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()})
+    group = list(range(len(sets)))
+    for _ in sets:
+        for a in range(len(sets)):
+            for b in range(len(sets)):
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    group[a] = group[b] = min(group[a], group[b])
+    # one of the smallest id of each group, rows without words all
+    assert Counter(r[0] for r in got) == Counter(min((stage_rows[k][0] for k in range(len(sets)) if group[k] == g), key=nulls_first) for g in set(group) if sets[g]) + Counter(r[0] for r, s in zip(stage_rows, sets) if not s)
+    assert not Counter(got) - Counter(stage_rows)
+    assert P.near_duplicates(spark, stage_input(spark, stage_rows).limit(0), "").count() == 0
+
+
+def test_stage_repeated_passages(spark, stage_rows):
+    import corpus_pipeline as P
+
+    first = {}
+    for r in sorted(stage_rows, key=lambda r: key(r[0])):
+        w = words_of(r[1])
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), key(r[0]))
+    want = []
+    for i, t, lang, source, n in stage_rows:
+        w = words_of(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if first[tuple(w[k : k + 50])] < key(i):
+                gone[k : k + 50] = [True] * 50
+        text = " ".join(x for x, g in zip(w, gone) if not g) if any(gone) else t
+        want.append((i, text, lang, source, len(text) if any(gone) else n))
+    got = [tuple(r) for r in P.repeated_passages(spark, stage_input(spark, stage_rows), "").collect()]
+    assert Counter(got) == Counter(want) and any(r[1] != w[1] for r, w in zip(stage_rows, want))
+    assert P.repeated_passages(spark, stage_input(spark, stage_rows).limit(0), "").count() == 0
+
+
+def test_stage_source_mix(spark, stage_rows):
+    import corpus_pipeline as P
 
     from larkspur.llm.source_mix import mix_sources
 
-    kept = spark.createDataFrame(passed, docs.schema)
-    mixed = P.source_mix(spark, kept, "").collect()
-    want, got = Counter(), Counter()
-    for r in mix_sources(kept).groupBy("source").agg({"taken": "sum"}).collect():
-        want[r[0]] += r[1]
+    rows = [r for r in stage_rows if r[0] not in (9, 10)] + [stage_rows[3]] * 2
+    mixed = [tuple(r) for r in P.source_mix(spark, stage_input(spark, rows), "").collect()]
+    want, got, sizes = Counter(), Counter(), Counter()
+    for r in mix_sources(stage_input(spark, rows)).groupBy("source").agg({"target": "max"}).collect():
+        want[r[0]] = round(r[1])
     for r in mixed:
-        got[r.source] += len(words_of(r.text))
-    assert got == want
-    # all words of a source whose target is its size or more come through, those without an id too
-    sizes = Counter()
-    for r in passed:
-        sizes[r.source] += len(words_of(r.text))
-    full = {s for s in sizes if want[s] >= sizes[s]}
-    assert any(r.doc_id is None and r.text for r in passed if r.source in full)
+        assert words_of(r[1]) and r[4] == len(r[1])
+        got[r[3]] += len(words_of(r[1]))
+    for r in rows:
+        sizes[r[3]] += len(words_of(r[1]))
+    assert {s: n for s, n in got.items() if n} == {s: n for s, n in want.items() if n}
     before, after = Counter(), Counter()
-    for r in passed:
-        if r.source in full:
-            before.update((r.doc_id, r.source, w) for w in words_of(r.text))
-    for r in mixed:
-        after.update((r.doc_id, r.source, w) for w in words_of(r.text))
-    assert not before - after
-    assert P.encode_pieces(spark.createDataFrame(mixed, docs.schema), PIECES).count() == len(mixed)
+    for i, t, _, s, _ in rows:
+        before.update((i, s, w) for w in words_of(t))
+    for i, t, _, s, _ in mixed:
+        after.update((i, s, w) for w in words_of(t))
+    # all words of a source whose target is its size or more come through, repeated rows each, and none more than 3 times
+    assert not Counter({k: n for k, n in before.items() if want[k[1]] >= sizes[k[1]]}) - after
+    assert all(after[k] <= 3 * before[k] for k in after)
+    assert P.source_mix(spark, stage_input(spark, rows).limit(0), "").count() == 0
+
+
+def test_stages_toxicity_and_pieces(spark, stage_rows, tmp_path):
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghmnorstuv"), rng.integers(3, 8)))
+    made = [(100 + i, " ".join([*(word() for _ in range(20)), *(["idiot"] if i % 4 == 0 else [])]), int(i % 4 == 0)) for i in range(300)]
+    spark.createDataFrame([(i, 1, y) for i, _, y in made], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = stage_rows + [(i, t, "en", "s", len(t)) for i, t, _ in made]
+    kept = [tuple(r) for r in P.toxicity(spark, stage_input(spark, rows), str(tmp_path)).collect()]
+    toxic = {i for i, _, y in made if y}
+    gone = Counter(r[0] for r in rows) - Counter(r[0] for r in kept)
+    assert not Counter(kept) - Counter(rows) and set(gone) <= toxic and sum(gone.values()) >= 0.95 * len(toxic)
+    pieces = P.pieces(spark, spark.createDataFrame(kept, COLUMNS), "")
+    assert Counter(r.doc_id for r in pieces.collect()) == Counter(r[0] for r in kept) and pieces.where("not exact").count() == 0
+    assert P.toxicity(spark, stage_input(spark, rows).limit(0), str(tmp_path)).count() == P.pieces(spark, spark.createDataFrame([], COLUMNS), "").count() == 0
