@@ -10,6 +10,7 @@ BLOCK ids; each is read alone, so reading is as parallel as there are blocks.
 
 from __future__ import annotations
 
+import itertools
 import json
 import zlib
 
@@ -23,6 +24,8 @@ from larkspur.llm import cluster, words
 from larkspur.llm.rans import Coder, Table
 
 BLOCK = 1 << 16
+SHARD_BYTES = 64 << 20  # of text, for each run of documents that is sorted and written together
+SLICE_BYTES = 4 << 20
 TOGETHER = 8  # blocks that are coded side by side
 
 
@@ -41,10 +44,11 @@ def splits_at_letters(tokenizer_json: str) -> bool:
     return lower and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and made["model"].get("end_of_word_suffix") == "</w>"
 
 
-LETTER = np.zeros(256, bool)
-LETTER[[*range(65, 91), *range(97, 123)]] = True
-SIGN = ~LETTER
-SIGN[128:] = False
+LETTER, SIGN, OTHER = 1, 2, 3
+KIND = np.full(256, OTHER, np.uint8)  # 0 for separators
+KIND[:128] = SIGN
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+KIND[words.SEPARATOR] = 0
 
 
 def letter_units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -52,14 +56,13 @@ def letter_units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
     Words with an apostrophe or "<" stay whole and as they are, for contractions and special tokens.
     """
-    odd = np.concatenate([[0], np.cumsum((data == 39) | (data == 60))])
-    whole = odd[ends] > odd[starts]
     low = words.LOWER[data]
+    kind = KIND[data]
     cut = np.zeros(len(data) + 1, bool)
-    cut[1:-1] = (LETTER[data[1:]] & SIGN[data[:-1]]) | (SIGN[data[1:]] & LETTER[data[:-1]])
-    cut[:-1] &= ~words.SEPARATOR[data]
-    cut[1:-1] &= ~words.SEPARATOR[data[:-1]]
-    if whole.any():
+    cut[1:-1] = kind[1:] * kind[:-1] == LETTER * SIGN
+    odd = np.flatnonzero((data == 39) | (data == 60))
+    if len(odd):
+        whole = np.unique(np.searchsorted(starts, odd, "right") - 1)
         size = (ends - starts)[whole]
         at = np.repeat(starts[whole] - np.cumsum(size) + size, size) + np.arange(size.sum())
         low[at] = data[at]
@@ -70,64 +73,83 @@ def letter_units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return low, begin, np.minimum(close, ends[np.searchsorted(starts, begin, "right") - 1]) if len(begin) else close[:0]
 
 
-def _tokenize(shared, end_id: int):
-    def run(batches):
+class BatchTokenizer:
+    """Encodes slices of texts with a tokenizer; keeps the ids of word parts it has met, if ids go by words."""
+
+    MOST = 1_000_000
+
+    def __init__(self, tokenizer_json: str):
         import os
 
-        import pandas as pd
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_str(shared.value)
-        by_word = drops_white_space(shared.value)
-        by_letters = by_word and splits_at_letters(shared.value)
-        closes = np.zeros(tokenizer.get_vocab_size() + 1, bool)
-        closes[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-
-        def encode(texts):
-            ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for one in ids for x in one), np.int64, size.sum())
-            return flat, np.concatenate([[0], np.cumsum(size)])
-
-        def of_spans(spans):
-            data, offs = spans
-            texts = words.strings(data, offs).to_pylist()
-            plain = np.concatenate([[0], np.cumsum(~LETTER[data])])
-            plain = (plain[offs[1:]] == plain[offs[:-1]]) & by_letters
-            easy, hard = np.flatnonzero(plain), np.flatnonzero(~plain)
-            joined = [texts[k] for k in easy]  # runs of letters: each ends with the one token that closes a word
-            flat, _ = encode([" ".join(joined[k : k + 400]) for k in range(0, len(joined), 400)])
-            edge = np.concatenate([[0], np.flatnonzero(closes[flat]) + 1])
-            if len(edge) != len(easy) + 1:
-                return encode(texts)
-            other, other_edge = encode([texts[k] for k in hard])
-            begin, size = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
-            begin[easy], size[easy] = edge[:-1], np.diff(edge)
-            begin[hard], size[hard] = other_edge[:-1] + len(flat), np.diff(other_edge)
-            return words.gather(np.concatenate([flat, other]), begin, size)
-
-        cache = words.RaggedCache(of_spans, 1_000_000)
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.by_word = drops_white_space(tokenizer_json)
+        self.by_letters = self.by_word and splits_at_letters(tokenizer_json)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.cache = words.RaggedCache(self.of_parts, self.MOST)
+
+    def of_texts(self, texts: list[str]):
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, size.sum())
+        return flat, np.concatenate([[0], np.cumsum(size)])
+
+    def of_parts(self, data: np.ndarray, offs: np.ndarray):
+        texts = words.strings(data, offs).to_pylist()
+        bare = np.concatenate([[0], np.cumsum(KIND[data] != LETTER)])
+        bare = (bare[offs[1:]] == bare[offs[:-1]]) & self.by_letters
+        easy, hard = np.flatnonzero(bare), np.flatnonzero(~bare)
+        joined = [texts[k] for k in easy]  # runs of letters: each ends with the one token that closes a word
+        flat, _ = self.of_texts([" ".join(joined[k : k + 400]) for k in range(0, len(joined), 400)])
+        edge = np.concatenate([[0], np.flatnonzero(self.closes[flat]) + 1])
+        if len(edge) != len(easy) + 1:
+            return self.of_texts(texts)
+        other, other_edge = self.of_texts([texts[k] for k in hard])
+        begin, size = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+        begin[easy], size[easy] = edge[:-1], np.diff(edge)
+        begin[hard], size[hard] = other_edge[:-1] + len(flat), np.diff(other_edge)
+        return words.gather(np.concatenate([flat, other]), begin, size)
+
+    def encode(self, data: np.ndarray, offs: np.ndarray):
+        """(ids, offsets) of the texts of a slice."""
+        if not self.by_word:
+            return self.of_texts(words.strings(data, offs).to_pylist())
+        starts, ends, _ = words.word_spans(data, offs)
+        if self.by_letters:
+            data, starts, ends = letter_units(data, starts, ends)
+        code, sample = words.distinct_words(data, starts, ends)
+        at, size = self.cache.lookup(*words.gather(data, starts[sample], (ends - starts)[sample]))
+        ids, edge = words.gather(self.cache.flat, at[code], size[code])
+        return ids, edge[np.searchsorted(starts, offs)]
+
+
+IDS, COUNT = 0, 1
+
+
+def _tokenize(shared, end_id: int):
+    """Rows (IDS, doc_id, number of ids, ids, their width), and at a task's end (COUNT, id, n) for each id it met."""
+
+    def run(batches):
+        tokenizer = words.of_worker(("tokenizer", shared.value), lambda: BatchTokenizer(shared.value))
+        names = ["kind", "doc_id", "n_tokens", "ids", "width"]
+        counts = np.zeros(1, np.int64)
         for batch in batches:
-            for lo, hi, data, offs in words.text_parts(batch.column(1)):
-                if by_word:
-                    starts, ends, _ = words.word_spans(data, offs)
-                    if by_letters:
-                        data, starts, ends = letter_units(data, starts, ends)
-                    first = np.searchsorted(starts, offs)
-                    code, keys = pd.factorize(words.word_hashes(data, starts, ends))
-                    sample = np.zeros(len(keys), np.int64)
-                    sample[code[::-1]] = np.arange(len(code))[::-1]
-                    at, size = cache.lookup(keys, lambda new: words.gather(data, starts[sample[new]], ends[sample[new]] - starts[sample[new]]))
-                    ids, edge = words.gather(cache.flat, at[code], size[code])
-                    edge = edge[first]
-                else:
-                    ids, edge = encode(words.strings(data, offs).to_pylist())
+            for lo, hi, data, offs in words.text_parts(batch.column(1), SLICE_BYTES):
+                ids, edge = tokenizer.encode(data, offs)
                 full = np.insert(ids, edge[1:], end_id).astype("<u4")
+                got = np.bincount(full, minlength=len(counts))
+                got[: len(counts)] += counts
+                counts = got
                 edge = (edge + np.arange(len(edge))) * 2
                 small = full.astype("<u2") if full.max(initial=0) < 1 << 16 else full
                 edge = edge * (small.itemsize // 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(edge) // small.itemsize, pa.int64()), words.strings(np.frombuffer(small.tobytes(), np.uint8), edge, pa.binary()), pa.array(np.full(hi - lo, small.itemsize, np.int32))], ["doc_id", "n_tokens", "ids", "width"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, IDS, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(np.diff(edge) // small.itemsize, pa.int64()), words.strings(np.frombuffer(small.tobytes(), np.uint8), edge, pa.binary()), pa.array(np.full(hi - lo, small.itemsize, np.int32))], names)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), COUNT, np.int32)), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64()), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int32())], names)
+        cluster.release()
 
     return run
 
@@ -136,17 +158,6 @@ def _ids(table) -> list[np.ndarray]:
     return [np.frombuffer(b, "<u2" if w == 2 else "<u4") for b, w in zip(table.column("ids").to_pylist(), table.column("width").to_pylist())]
 
 
-def _histogram(batches):
-    counts = np.zeros(1, np.int64)
-    for batch in batches:
-        for ids in _ids(batch):
-            got = np.bincount(ids, minlength=len(counts))
-            got[: len(counts)] += counts
-            counts = got
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["id", "n"])
-
-
 def _blocks(shared):
     def run(batches):
         coder = Coder(Table(*shared.value))
@@ -189,19 +200,21 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     """Encode every text, end each with end_id and write the store; null and empty texts are their end id alone.
 
     Documents come in ascending order of id, null ids first; rows that share an id
-    follow each other by content.  An empty table makes an empty store.  Other columns are not read.
+    follow each other by a hash of their content.  An empty table makes an empty store.  Other columns are not read.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     temp = cluster.shared_folder(spark)
+    size = cluster.text_bytes(docs, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    coded = cluster.written(rows.mapInArrow(_tokenize(shared, end_id), "doc_id long, n_tokens long, ids binary, width int"), temp, "coded")
-    counts = coded.select("ids", "width").mapInArrow(_histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    table = Table.of(counts["id"].to_numpy(), counts["n"].to_numpy())
+    coded = cluster.written(rows.mapInArrow(_tokenize(shared, end_id), "kind int, doc_id long, n_tokens long, ids binary, width int"), temp, "coded")
+    counts = coded.where(F.col("kind") == COUNT).groupBy(F.col("doc_id").alias("id")).agg(F.sum("n_tokens").alias("n")).toArrow()
+    table = Table.of(counts.column("id").to_numpy(), counts.column("n").to_numpy())
     spark.createDataFrame([(int(s), int(f)) for s, f in zip(table.symbols, table.freq)], "id long, freq long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/symbols")
     frequencies = spark.sparkContext.broadcast((table.symbols, table.freq))
-    ordered = coded.repartitionByRange(cluster.partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), F.col("ids")]  # rows without an id are dealt out too
+    ordered = coded.where(F.col("kind") == IDS).drop("kind").repartitionByRange(cluster.parts(spark, size, SHARD_BYTES), *order[:2]).sortWithinPartitions(*order)
     blocks = ordered.mapInArrow(_blocks(frequencies), "shard int, block long, first long, n_tokens long, payload binary")
     blocks.write.mode("overwrite").option("compression", "none").parquet(f"{folder}/blocks")
     sums = spark.read.parquet(f"{folder}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
@@ -235,8 +248,8 @@ def _decode(shared, starts, with_ids: bool):
 
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """One row per document of a store: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids."""
-    table = spark.read.parquet(f"{folder}/symbols").orderBy("id").toPandas()
-    shared = spark.sparkContext.broadcast((table["id"].to_numpy(), table["freq"].to_numpy()))
+    table = spark.read.parquet(f"{folder}/symbols").orderBy("id").toArrow()
+    shared = spark.sparkContext.broadcast((table.column("id").to_numpy(), table.column("freq").to_numpy()))
     starts = [(r.shard, r.start) for r in spark.read.parquet(f"{folder}/shards").collect()]  # a row for each shuffle partition
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     return spark.read.parquet(f"{folder}/blocks").select("shard", "first", "payload").mapInArrow(_decode(shared, starts, with_ids), schema)
