@@ -2,11 +2,14 @@
 
 Candidates are dealt by hash to blocks of about BLOCK vectors, queries likewise;
 each pair of a query block and a candidate block is a tile, one task's work, of
-bounded size whatever the data.  A tile returns at most k rows a query.
-
-Rows with the same id count once (the smallest vector stands).  Null ids, null,
-empty, or not all finite vectors take no part; vectors of different dimensions
-never meet.
+bounded size whatever the data.  An exact search meets each query with each candidate,
+so the number of tiles grows with queries times candidates.  A tile returns at most k
+rows a query.
+
+Every row is a candidate, those that repeat an id too, and every row whose id is
+divisible by ``every`` is a query of all rows but itself.  Null ids, null, empty, or not
+all finite vectors take no part; vectors of different dimensions never meet.  An empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,46 +26,64 @@ TILES = 32  # candidate blocks at least, so that small tables are shared out too
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """(vec_id, v, d) of the rows that take part."""
     v = F.col(embedding)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size("v") > 0) & ~bad)
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
+    return rows.withColumn("d", F.size("v"))
+
+
+def blocks(rows: DataFrame, every: int) -> tuple[int, int]:
+    """How many blocks of candidates and of queries there are."""
+    n, asked = rows.agg(F.count("*"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0)).first()
+    return max(TILES, -(-n // BLOCK)), max(1, -(-asked // BLOCK))
+
 
+def tiles(rows: DataFrame, every: int, n_c: int, n_q: int, floor: DataFrame | None = None) -> DataFrame:
+    """Rows (cblock, qblock, d, query, row, vec_id, v, floor): each candidate once per query block, each query once per candidate block.
 
-def tiles(rows: DataFrame, every: int, floor: DataFrame | None = None) -> DataFrame:
-    """Rows (cblock, qblock, d, query, vec_id, v, floor): each candidate once per query block, each query once per candidate block."""
-    n = rows.count()
-    n_c, n_q = max(TILES, -(-n // BLOCK)), max(1, -(-n // (every * BLOCK)))
-    block = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(m)).cast("int")
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    queries = queries.join(floor, "vec_id", "left") if floor is not None else queries.withColumn("floor", F.lit(None).cast("double"))
-    candidates = rows.select(block(1, n_c).alias("cblock"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qblock"), "d", F.lit(False).alias("query"), "vec_id", "v", F.lit(None).cast("double").alias("floor"))
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cblock"), block(2, n_q).alias("qblock"), "d", F.lit(True).alias("query"), "vec_id", "v", "floor")
-    return candidates.unionByName(asked)
+    row names a row, the same one as candidate and as query: both come from one pass.
+    """
+    rows = rows.withColumn("row", F.xxhash64("vec_id", "v", F.monotonically_increasing_id()))
+    rows = rows.withColumn("floor", F.lit(None).cast("long")) if floor is None else rows.join(floor, "vec_id", "left")
+    cblock, qblock = (F.pmod(F.xxhash64(F.lit(salt), "vec_id", "v"), F.lit(n)).cast("int") for salt, n in ((1, n_c), (2, n_q)))
+    tile = lambda c, q, query: F.struct(c.alias("cblock"), q.alias("qblock"), F.lit(query).alias("query"))
+    as_candidate = F.transform(F.sequence(F.lit(0), F.lit(n_q - 1)), lambda q: tile(cblock, q, False))
+    as_query = F.transform(F.sequence(F.lit(0), F.lit(n_c - 1)), lambda c: tile(c, qblock, True))
+    both = F.when(F.pmod("vec_id", F.lit(every)) == 0, F.concat(as_candidate, as_query)).otherwise(as_candidate)
+    return rows.select(F.explode(both).alias("t"), "d", "row", "vec_id", "v", "floor").select("t.cblock", "t.qblock", "d", "t.query", "row", "vec_id", "v", "floor")
 
 
 def _split(table):
-    table = table.sort_by([("query", "ascending"), ("vec_id", "ascending")])
+    """(ids, matrix, rows) of candidates and of queries, ascending, and the queries' floors."""
+    table = table.sort_by([("query", "ascending"), ("vec_id", "ascending"), ("row", "ascending")])
     v = table.column("v").combine_chunks()
     d = table.column("d")[0].as_py()
     matrix = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
-    ids = table.column("vec_id").to_numpy()
+    ids, rows = table.column("vec_id").to_numpy(), table.column("row").to_numpy()
     query = table.column("query").to_numpy().astype(bool)
-    floor = table.column("floor").to_numpy()[query]
-    return ids[~query], matrix[~query], ids[query], matrix[query], floor
+    floor = table.column("floor").filter(pa.array(query)).to_pylist()
+    return ids[~query], matrix[~query], rows[~query], ids[query], matrix[query], rows[query], floor
 
 
 def _found(rows, kind):
-    q, c, s = zip(*rows) if rows else ((), (), ())
-    return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(c, pa.int64()), "score": pa.array(s, kind)})
+    q, r, c, s = zip(*rows) if rows else ((), (), (), ())
+    return pa.table({"query_id": pa.array(q, pa.int64()), "row": pa.array(r, pa.int64()), "vec_id": pa.array(c, pa.int64()), "score": pa.array(s, kind)})
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query, ties to the smaller id, with their rank."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, their largest component between 0.5 and 1: nothing overflows or vanishes in their norms."""
+    _, exponent = np.frexp(np.abs(v).max(axis=1, initial=0.0))
+    half = exponent // 2  # in two steps, as 2 ** 1074 is no double
+    return np.ldexp(np.ldexp(v, -half[:, None]), (half - exponent)[:, None])
+
+
 def quantised(unit: np.ndarray):
     """(int8 matrix, scale, length of the error) of each row."""
     scale = np.abs(unit).max(axis=1, keepdims=True) / 127.0
@@ -72,19 +93,20 @@ def quantised(unit: np.ndarray):
 
 def _cosine_tile(k: int):
     def run(key, table):
-        ids, c, asked, q, _ = _split(table)
+        ids, c, c_rows, asked, q, q_rows, _ = _split(table)
         rows = []
         if len(ids) and len(asked):
+            c, q = scaled(c), scaled(q)
             c_norm, q_norm = np.linalg.norm(c, axis=1), np.linalg.norm(q, axis=1)
             qc, sc, ec = quantised(c / c_norm[:, None])
             qq, sq, eq = quantised(q / q_norm[:, None])
-            whole = qc.astype(np.float32)  # products of int8 sum to less than 2**24 up to 1040 dimensions, so float32 holds them
             wide = np.float64 if c.shape[1] > 1000 else np.float32
+            whole = qc.astype(wide)  # products of int8 sum to less than 2**24 up to 1040 dimensions, so float32 holds them
             for lo in range(0, len(asked), 256):
                 hi = min(lo + 256, len(asked))
-                near = (qq[lo:hi].astype(wide) @ whole.T.astype(wide)).astype(np.float64) * sq[lo:hi, None] * sc[None, :]
+                near = (qq[lo:hi].astype(wide) @ whole.T).astype(np.float64) * sq[lo:hi, None] * sc[None, :]
                 err = eq[lo:hi, None] + (1 + eq[lo:hi, None]) * ec[None, :] + 1e-12
-                near[asked[lo:hi, None] == ids[None, :]] = -np.inf
+                near[q_rows[lo:hi, None] == c_rows[None, :]] = -np.inf
                 kth = np.partition(near - err, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
                 who, at = np.nonzero((near + err >= kth[:, None]) & np.isfinite(near))
                 exact = np.einsum("ij,ij->i", q[lo + who], c[at]) / (q_norm[lo + who] * c_norm[at])
@@ -92,22 +114,26 @@ def _cosine_tile(k: int):
                 for i in range(hi - lo):
                     part = range(edge[i], edge[i + 1])
                     for j in heapq.nsmallest(k, part, key=lambda j: (-exact[j], ids[at[j]])):
-                        rows.append((int(asked[lo + i]), int(ids[at[j]]), float(exact[j])))
+                        rows.append((int(asked[lo + i]), int(q_rows[lo + i]), int(ids[at[j]]), float(exact[j])))
         return _found(rows, pa.float64())
 
     return run
 
 
+FOUND = "query_id long, row long, vec_id long, score "
+
+
 def nearest_by_blocks(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k largest cosines for each id divisible by ``every``.
+    """(query_id, rank, vec_id, score): the k largest cosines for each row whose id is divisible by ``every``.
 
     int8 product tiles bound every cosine: |uv - u'v'| <= |u-u'| + (1 + |u-u'|) |v-v'|.
     Pairs whose upper bound reaches the query's k-th lower bound are recomputed in
     double precision and go through a heap; the tiles' heaps merge by query.  The
-    result is exact.  Zero vectors take no part either.
+    result is exact, also for very large and very small components.  Zero vectors take
+    no part either.
     """
     rows = usable(vectors, vec_id, embedding).where(F.exists("v", lambda x: x != 0))
-    found = tiles(rows, every).groupBy("cblock", "qblock", "d").applyInArrow(_cosine_tile(k), "query_id long, vec_id long, score double")
+    found = tiles(rows, every, *blocks(rows, every)).groupBy("cblock", "qblock", "d").applyInArrow(_cosine_tile(k), FOUND + "double")
     return best_of(found, k)
 
 
@@ -137,39 +163,59 @@ class BallTree:
         return me
 
     def upper(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bounds of the inner products of each query with each node's points."""
-        return queries @ self.centre.T + np.linalg.norm(queries, axis=1)[:, None] * self.radius[None, :] + 1e-3
+        """Upper bounds of the inner products of each query with each node's points, rounding included."""
+        length, reach = np.linalg.norm(queries, axis=1)[:, None], self.radius[None, :]
+        slack = 1e-9 * length * (np.linalg.norm(self.centre, axis=1)[None, :] + reach)
+        return queries @ self.centre.T + length * reach + slack
+
+
+MOST, LEAST = (1 << 63) - 1, -(1 << 63)
+
+
+def exact_products(points: np.ndarray, query: np.ndarray) -> list[int]:
+    """Inner products of vectors of whole numbers, exact also where doubles would round; kept within 64 bits."""
+    if points.shape[1] * np.abs(points).max(initial=0.0) * np.abs(query).max(initial=0.0) < 1 << 53:
+        return (points @ query).astype(np.int64).tolist()
+    whole = [int(x) for x in query.tolist()]
+    return [min(max(sum(int(x) * y for x, y in zip(p, whole)), LEAST), MOST) for p in points.tolist()]
 
 
 def _product_tile(k: int, scale: float, probe: bool):
     """Of one tile: each query's k best; with probe only those of the first leaf, as a first bound."""
 
     def run(key, table):
-        ids, c, asked, q, floor = _split(table)
+        ids, c, c_rows, asked, q, q_rows, floor = _split(table)
         rows = []
         if len(ids) and len(asked):
-            c, q = np.floor(scale * c), np.floor(scale * q)
-            tree = BallTree(c)
-            upper = tree.upper(q)
+            with np.errstate(over="ignore"):
+                largest = np.finfo(np.float64).max
+                c, q = (np.clip(np.floor(scale * x), -largest, largest) for x in (c, q))
+            # bounds are taken at a scale at which nothing overflows
+            _, unit = np.frexp(max(np.abs(c).max(), np.abs(q).max()))
+            unit = max(0, int(unit) - 400)
+            tree = BallTree(np.ldexp(c, -unit))
+            upper = tree.upper(np.ldexp(q, -unit))
+            bound_of = lambda score: float("-inf") if score is None else _shrunk(score, 2 * unit)
             for i, query in enumerate(q):
-                least = -np.inf if np.isnan(floor[i]) else floor[i]
-                best: list[tuple[float, int]] = []  # a heap of (score, -id), the worst on top
+                least = floor[i]
+                best: list[tuple[int, int]] = []  # a heap of (score, -id), the worst on top
                 queue = [(-upper[i, 0], 0)]
                 while queue:
                     bound, node = heapq.heappop(queue)
-                    kth = max(least, best[0][0]) if len(best) == k else least
-                    if -bound < kth:
+                    kth = best[0][0] if len(best) == k and (least is None or best[0][0] > least) else least
+                    edge = bound_of(kth)
+                    if -bound < edge:
                         break
                     for kid in tree.kids[node]:
-                        if upper[i, kid] >= kth:
+                        if upper[i, kid] >= edge:
                             heapq.heappush(queue, (-upper[i, kid], kid))
                     if tree.kids[node]:
                         continue
                     at = tree.members[node]
-                    score = c[at] @ query
-                    for j in np.flatnonzero(score >= kth):
-                        one = (float(score[j]), -int(ids[at[j]]))
-                        if -one[1] == asked[i]:
+                    at = at[c_rows[at] != q_rows[i]]
+                    for j, score in zip(at.tolist(), exact_products(c[at], query)):
+                        one = (score, -int(ids[j]))
+                        if least is not None and score < least:
                             continue
                         if len(best) < k:
                             heapq.heappush(best, one)
@@ -177,24 +223,29 @@ def _product_tile(k: int, scale: float, probe: bool):
                             heapq.heapreplace(best, one)
                     if probe and len(best) == k:
                         break
-                rows += [(int(asked[i]), -b, int(s)) for s, b in best]
+                rows += [(int(asked[i]), int(q_rows[i]), -b, s) for s, b in best]
         return _found(rows, pa.int64())
 
     return run
 
 
+def _shrunk(score: int, bits: int) -> float:
+    """score / 2**bits, at most its true value."""
+    return float(np.nextafter(np.ldexp(float(score), -bits), -np.inf)) if bits else float(np.nextafter(float(score), -np.inf)) if abs(score) >= 1 << 53 else float(score)
+
+
 def top_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k largest inner products of floor(scale * x) for each id divisible by ``every``.
+    """(query_id, rank, vec_id, score): the k largest inner products of floor(scale * x) for each row whose id is divisible by ``every``.
 
     Each shard has a ball tree, searched best bound first: a node's points have at
     most q . centre + |q| * radius.  A first round takes each shard's best leaf; the
     k-th best of all shards is then the score every shard starts from in the second,
-    so a shard without near points stops at its root.  Exact while sums of products
-    stay below 2**53.
+    so a shard without near points stops at its root.  Scores are exact integers; those
+    beyond 64 bits count as the largest or smallest of these.
     """
     rows = usable(vectors, vec_id, embedding)
-    schema = "query_id long, vec_id long, score long"
-    first = tiles(rows, every).groupBy("cblock", "qblock", "d").applyInArrow(_product_tile(k, scale, True), schema)
-    kth = best_of(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-    found = tiles(rows, every, kth).groupBy("cblock", "qblock", "d").applyInArrow(_product_tile(k, scale, False), schema)
+    n = blocks(rows, every)
+    first = tiles(rows, every, *n).groupBy("cblock", "qblock", "d").applyInArrow(_product_tile(k, scale, True), FOUND + "long")
+    kth = best_of(first, k).where(F.col("rank") == k).groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("floor"))  # of rows that repeat an id, the lowest
+    found = tiles(rows, every, *n, kth).groupBy("cblock", "qblock", "d").applyInArrow(_product_tile(k, scale, False), FOUND + "long")
     return best_of(found, k)
