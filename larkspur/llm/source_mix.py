@@ -9,7 +9,9 @@ source's documents in shuffled order; the last one of a source may be shorter.
 any stretch of the schedule is close to the targets, and the whole meets them.
 
 Only built-in functions run.  Ranks and running sums go in two steps, within a
-range and over the ranges, so a source with a third of all rows is spread out.
+range and over the ranges, so a source with a third of all rows is spread out.  A slot
+finds its source by the cell of 0..1 that its point lies in.  The table of sources has
+a row for each source; ranking them is the one step that a single task does.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from larkspur.llm import cluster
 
 GOLDEN = 0.6180339887498949
-RANGES = 256
+RANGES = 256  # and as many more as there are millions of words or slots
+CELLS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -55,6 +58,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return ranked.select("source", "rank", "source_size", "weight", "target", "upto", "total")
 
 
+def ranges(n: int) -> int:
+    """Stretches in which n slots or documents of any source are ranked side by side."""
+    return max(RANGES, -(-n // 1_000_000))
+
+
 def schedule(spark, shares: DataFrame, block: int, total: int) -> DataFrame:
     """(rank, block_no, times, part): how often each block of a source is taken whole, and the words of it taken once more.
 
@@ -62,13 +70,13 @@ def schedule(spark, shares: DataFrame, block: int, total: int) -> DataFrame:
     meets its target, rounded; turns that the slots leave it short of follow at the end.
     """
     n_slots = max(0, round(total / block))
-    per = max(1, -(-n_slots // RANGES))
+    per = max(1, -(-n_slots // ranges(n_slots)))
+    cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS - 1))
     bounds = shares.select("rank", "upto", F.lag("upto", 1, 0.0).over(Window.orderBy("rank")).alias("after")).where("upto > after")
-    # a slot's source: the point meets the sorted bounds in one array of some entries per source
-    table = bounds.agg(F.array_sort(F.collect_list(F.struct("upto", "rank"))).alias("bounds"))
+    last = F.row_number().over(Window.orderBy(F.desc("rank"))) == 1  # its share ends at 1, however the sums are rounded
+    bounds = bounds.withColumn("upto", F.when(last, 2.0).otherwise(F.col("upto"))).withColumn("cell", F.explode(F.sequence(cell(F.col("after")), cell(F.col("upto")))))
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("point"))
-    slots = slots.join(F.broadcast(table)).select("slot", F.expr("coalesce(filter(bounds, b -> b.upto > point)[0], bounds[size(bounds) - 1])").alias("b"))
-    slots = slots.select("slot", F.floor(F.col("slot") / per).alias("stretch"), "b.rank").where("rank is not null")
+    slots = slots.withColumn("cell", cell(F.col("point"))).join(bounds, "cell").where("point >= after and point < upto").select("slot", F.floor(F.col("slot") / per).alias("stretch"), "rank")
     counted = slots.groupBy("rank", "stretch").agg(F.count("*").alias("n"))
     before = counted.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inner = slots.withColumn("within", F.row_number().over(Window.partitionBy("rank", "stretch").orderBy("slot")) - 1)
@@ -86,10 +94,11 @@ def schedule(spark, shares: DataFrame, block: int, total: int) -> DataFrame:
     return taken.groupBy("rank", "block_no").agg(F.count_if(left >= whole).alias("times"), F.coalesce(F.max(F.when(left < whole, left)), F.lit(0)).alias("part"))
 
 
-def laid_out(sized: DataFrame, seed: int = 0) -> DataFrame:
-    """Each document's first word in the shuffled run of its source: adds begin."""
+def laid_out(sized: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """Each document's first word in the shuffled run of its source: adds begin; n is the number of documents."""
+    bits = max(1, (ranges(n) - 1).bit_length())
     key = F.xxhash64(F.lit(seed), "row_key")
-    sized = sized.withColumn("shuffle", key).withColumn("stretch", F.shiftright("shuffle", 56))
+    sized = sized.withColumn("shuffle", key).withColumn("stretch", F.shiftright("shuffle", 64 - bits))
     by = Window.partitionBy("rank").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     before = sized.groupBy("rank", "stretch").agg(F.sum("size").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(by), F.lit(0))).drop("n")
     inner = Window.partitionBy("rank", "stretch").orderBy("shuffle", "row_key", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,23 +111,24 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
 
     A block has ``block`` words, whatever the size of the input.  The words taken of a
     source are its target, rounded to a word.  A string column named as ``row_key`` is
-    passed on as row_key and orders the rows in place of the id.  Null texts have size 0 and nothing taken; a null source is a
-    source of its own; null ids and repeated rows are rows like others (rows with
-    equal id and size follow each other in an arbitrary order, which changes
-    neither's total).  An empty table gives an empty result.
+    passed on as row_key and orders the rows in place of the id and a hash of the text.
+    Null texts have size 0 and nothing taken; a null source is a source of its own; null
+    ids and repeated rows are rows like others (rows that agree in id and text follow
+    each other in an arbitrary order).  An empty table gives an empty result.  Other
+    columns are not read.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), *([F.col(row_key).alias("row_key")] if row_key else []))
+    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.col(text).cast("string")).alias("mark"), *([F.col(row_key).alias("row_key")] if row_key else []))
     folder = cluster.shared_folder(spark)
     sized = cluster.written(sized, folder, "sizes")
     # a row for each source, read by all plans that follow
     shares = cluster.written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), folder, "shares")
-    total = int(sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    total, n = map(int, sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first())
     taken = schedule(spark, shares, block, total)
-    order = F.col("row_key") if row_key else F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    order = F.col("row_key") if row_key else F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mark").cast("string"))
     # the table of sources has a row for each source; null equals null here
     known = sized.join(shares, sized["source"].eqNullSafe(shares["source"])).drop(shares["source"])
-    placed = laid_out(known.withColumn("row_key", order))
+    placed = laid_out(known.withColumn("row_key", order), n)
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)
     parts = placed.where("size > 0").withColumn("block_no", F.explode(F.sequence(first, last)))
     parts = parts.join(taken, ["rank", "block_no"])
