@@ -104,6 +104,7 @@ def _measure(n: int, percent: int, keys: words.Keys, n_buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), null(pa.int32()) if bucket is None else pa.array(bucket, pa.int32()), null(pa.binary()) if blob is None else pa.array(blob, pa.binary()), null(pa.int64()) if doc_id is None else doc_id, null(pa.int64()) if uid is None else uid, null(pa.int64()) if size is None else pa.array(size, pa.int64()), null(pa.int64()) if node is None else pa.array(node, pa.int64())], ["kind", "bucket", "blob", "doc_id", "uid", "n", "node"])
 
     def run(batches):
+        words.forget()
         held, total = [], 0
         for batch in batches:
             for lo, hi, data, offs in words.text_parts(batch.column(2), SLICE):

@@ -59,6 +59,7 @@ def _as_batch(rows):
 
 def _hash_windows(width: int, keys: words.Keys, n_buckets: int, n_shards: int, chunk: int = CHUNK):
     def run(batches):
+        words.forget()
         held, n, salt = [], 0, 0
 
         def flush():

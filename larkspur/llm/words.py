@@ -222,6 +222,11 @@ def of_worker(name, make):
     return _KEPT[name]
 
 
+def forget() -> None:
+    """Drops what of_worker keeps; operators that keep nothing call it before they use memory of their own."""
+    _KEPT.clear()
+
+
 class RaggedCache:
     """Byte string -> list of ids, for as many strings as ``most`` and some 64 MB of them; it starts anew beyond that.
 
