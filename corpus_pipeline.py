@@ -7,7 +7,7 @@ of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import cluster
@@ -22,28 +22,44 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the subsequence-kernel SVM predicts as toxic go; all others stay as they are."""
+    """Documents that the subsequence-kernel SVM predicts as toxic go; all others stay as they are.
+
+    Null and empty texts are scored like others, repeated rows and null ids are rows like
+    others, a score of exactly 0.5 is toxic, an empty table gives an empty one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_clean(docs.select(COLUMNS), fit_toxicity(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by Jaccard >= 0.8 of 5-word shingles, that with the smallest id stays.
+    """Of each group of rows linked by Jaccard >= 0.8 of 5-word shingles, one with the smallest id stays.
 
-    Rows that repeat an id are one document; rows without an id all stay.  A null id
-    is the smallest: of a group with such a row only its rows without an id stay.
+    A null id is the smallest; of rows with equal ids that with the smallest hash of id
+    and text stays, of equal ones that with the least other columns.  Rows without a word
+    are linked with nothing and all stay.  An empty table gives an empty one.
     """
-    key = F.coalesce("doc_id", F.lit(int(cluster.NULL_ID)))
-    kept = join_similar(docs, n=5, percent=80).where(F.col("component_id").eqNullSafe(F.col("doc_id")) | F.col("doc_id").isNull()).select(key.alias("key"))
-    rows = docs.select(COLUMNS).withColumn("key", key).join(kept, "key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    return rows.withColumn("turn", first).where((F.col("turn") == 1) | F.col("doc_id").isNull()).select(COLUMNS)
+    folder = cluster.shared_folder(spark)
+    found = cluster.written(join_similar(docs, n=5, percent=80).where("n_shingles > 0").select("root", "doc_id", "uid"), folder, "found")
+    least = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "uid")
+    groups = found.groupBy("root").agg(F.min(least).alias("first")).select("root", "first.doc_id", "first.uid")
+    same = found.groupBy("root", "uid").agg(F.count("*").alias("copies"))
+    firsts = cluster.written(groups.join(same, ["root", "uid"]).select("uid", F.col("doc_id").alias("first_id"), "copies"), folder, "firsts")
+    rows = cluster.with_uid(docs.select(COLUMNS))
+    kept = rows.join(firsts, (rows["uid"] == firsts["uid"]) & rows["doc_id"].eqNullSafe(firsts["first_id"])).select(*COLUMNS, rows["uid"], "copies")
+    wordless = rows.where(F.coalesce(~F.col("text").rlike(WORD), F.lit(True))).select(COLUMNS)
+    if not firsts.where("copies > 1").head(1):
+        return kept.select(COLUMNS).unionByName(wordless)
+    # rows that agree in id and text need a choice
+    rest = F.struct("lang", "source", "n_chars", "text", "doc_id")
+    several = kept.where("copies > 1").groupBy("uid").agg(F.min(rest).alias("r")).select("r.doc_id", "r.text", "r.lang", "r.source", "r.n_chars")
+    return kept.where("copies = 1").select(COLUMNS).unionByName(several).unionByName(wordless)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words covered by 50-word windows that a document with a smaller id has too are cut out; other texts stay unchanged.
 
-    A null id counts as the smallest, so rows without an id lose nothing.
+    A null id counts as the smallest, so rows without an id lose nothing; rows with one id
+    do not cut each other.  Null, empty and short texts stay as they are; every row stays.
     """
     rest = F.struct("lang", "source", "n_chars")
     out = dedup_substrings(docs.withColumn("rest", rest), 50, rest="rest", verbatim=True)
@@ -54,14 +70,18 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document, with the words taken; whole texts stay unchanged.
 
-    Ids are unique, as near_duplicates leaves them.  Rows without an id are told apart
-    by their contents; those that agree in all columns have one text, so each of their
-    shares of the mix can be cut from any of them.
+    Rows are told apart by the hash of all their columns.  Those that agree in all have
+    one text, so each of their shares of the mix can be cut from any of them.  Null ids
+    and sources are values like others; null, empty and wordless texts have no words to
+    take and go.  An empty table gives an empty one.
     """
-    contents = F.sha2(F.to_json(F.struct("text", "lang", "source", "n_chars")), 256)
-    keyed = docs.select(COLUMNS).withColumn("row_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), contents)))
+    keyed = docs.select(COLUMNS).withColumn("row_key", F.sha2(F.to_json(F.struct(*COLUMNS)), 256))
     taken = mix_sources(keyed, row_key="row_key").where("taken > 0").select("row_key", F.col("size").alias("mix_size"), F.col("pieces").alias("mix_pieces"))
-    rows = keyed.where("doc_id is not null").union(keyed.where("doc_id is null").dropDuplicates(["row_key"])).join(taken, "row_key")
+    twice = cluster.written(keyed.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"), cluster.shared_folder(spark), "twice")
+    rows = keyed
+    if twice.head(1):
+        rows = keyed.join(twice, "row_key", "left_anti").unionByName(keyed.join(twice, "row_key", "left_semi").dropDuplicates(["row_key"]))
+    rows = rows.join(taken, "row_key")
     turns = F.explode(F.sequence(F.lit(1), F.array_max(F.transform("mix_pieces", lambda p: p.times)).cast("int")))
     rows = rows.withColumn("turn", turns).withColumn("now", F.filter("mix_pieces", lambda p: p.times >= F.col("turn")))
     n = F.aggregate("now", F.lit(0).cast("long"), lambda a, p: a + p.words)
@@ -72,7 +92,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Unigram pieces of every row's text, checked by decoding."""
+    """Unigram pieces of every row's text, checked by decoding; null and empty texts have none, every row stays."""
     return encode_pieces(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
