@@ -266,28 +266,45 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * self.margin(data, offs) + self.shift, -500, 500)))
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 60):
-    """Weights and bias of a squared-hinge SVM, by Newton steps; classes weigh the same in total."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 60, block: int = 1024):
+    """Weights and bias of a squared-hinge SVM, by Newton steps; classes weigh the same in total.
+
+    Rows are taken a block at a time, so that no copy of x is made.
+    """
+    n, m = x.shape
     sign = np.where(y > 0, 1.0, -1.0)
     weigh = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y <= 0).sum(), 1)) * cost * 100
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-6
+    w = np.zeros(m + 1)
+    ridge = np.ones(m + 1)
+    ridge[-1] = 1e-6
+
+    def blocks():
+        for lo in range(0, n, block):
+            part = np.ones((min(block, n - lo), m + 1))
+            part[:, :-1] = x[lo : lo + block]
+            yield slice(lo, lo + block), part
 
-    def loss(v):
-        return 0.5 * v @ ridge @ v + 0.5 * (weigh * np.maximum(0, 1 - sign * (x @ v)) ** 2).sum()
+    def slack_of(v):
+        return np.maximum(0, 1 - sign * np.concatenate([part @ v for _, part in blocks()]))
 
+    def loss(v, slack):
+        return 0.5 * (ridge * v * v).sum() + 0.5 * (weigh * slack * slack).sum()
+
+    slack = slack_of(w)
     for _ in range(steps):
-        slack = 1 - sign * (x @ w)
-        on = slack > 0
-        gradient = ridge @ w - (x[on] * (weigh[on] * sign[on] * slack[on])[:, None]).sum(axis=0)
-        step = np.linalg.solve(ridge + (x[on] * weigh[on, None]).T @ x[on], gradient)
+        gradient, hessian = ridge * w, np.diag(ridge)
+        for at, part in blocks():
+            gradient -= (weigh[at] * sign[at] * slack[at]) @ part
+            some = part[slack[at] > 0]
+            hessian += (some * weigh[at][slack[at] > 0, None]).T @ some
+        step = np.linalg.solve(hessian, gradient)
         if np.abs(step).max() < 1e-8:
             break
-        size, now = 1.0, loss(w)
-        while size > 1e-4 and loss(w - size * step) > now:
+        size, now = 1.0, loss(w, slack)
+        slack = slack_of(w - step)
+        while size > 1e-4 and loss(w - size * step, slack) > now:
             size /= 2
+            slack = slack_of(w - size * step)
         w = w - size * step
     return w[:-1], w[-1]
 
@@ -456,14 +473,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000, toxic_l
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(Model(vocabulary, a @ beta, bias, 1.0, 0.0, stops))
         got = texts.mapInArrow(_picked(shared, coordinates), "doc_id long, uid long, y int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("uid", "ascending")])
-        picks.append(np.array([np.frombuffer(b, np.float32) for b in got.column("x").to_pylist()]).reshape(len(got), -1) @ nystrom)
-        y = got.column("y").to_numpy()
-        x = np.concatenate([picks[-1][y > 0], *(p[y <= 0] for p in picks)])
+        y, ids = got.column("y").to_numpy(), got.column("doc_id").to_pylist()
+        pick = np.empty((len(got), len(marks)), np.float32)
+        for k, b in enumerate(got.column("x")):
+            pick[k] = np.frombuffer(b.as_py(), np.float32) @ nystrom
+        picks.append(pick)
+        del got
+        x = np.concatenate([pick[y > 0], *(p[y <= 0] for p in picks)])
         w, bias = fit_svm(x, np.repeat([1, 0], [(y > 0).sum(), len(x) - (y > 0).sum()]))
         beta = nystrom @ w
         shared.destroy()
+        del x
+        cluster.release()
     coordinates.destroy()
-    fold = np.array([zlib.crc32(str(d).encode()) // 5 % 4 for d in got.column("doc_id").to_pylist()])
+    fold = np.array([zlib.crc32(str(d).encode()) // 5 % 4 for d in ids])
     margin = np.empty(len(y))
     for f in range(4):  # margins of texts that the fit has not seen
         held = fold == f
