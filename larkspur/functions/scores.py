@@ -60,3 +60,19 @@ def hamming(a: Column, b: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """0 if either set is empty."""
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+
+def age_days(stamp: Column, now: Column) -> Column:
+    """Whole days from a time stamp to now, 0 at least; null if it is none.  Without a zone it counts as UTC."""
+    text = F.trim(stamp)
+    zoned = F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), text).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z"))).otherwise(F.concat(text, F.lit("Z")))
+    return F.greatest(F.lit(0), F.floor((F.unix_timestamp(now) - F.unix_timestamp(F.try_to_timestamp(zoned))) / 86400)).cast("long")
+
+
+def within(x: Column, y: Column, box: Column, pad: float = 3.0) -> Column:
+    """Whether a point lies in a box (x0, top, x1, bottom) or at most pad beside it."""
+    return (x >= box["x0"] - pad) & (x <= box["x1"] + pad) & (y >= box["top"] - pad) & (y <= box["bottom"] + pad)
+
+
+def invocation_hash(payload: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(payload.cast("binary"), 256))

@@ -74,7 +74,7 @@ def test_rare_terms_and_salience_and_ties(spark):
 def test_hops_decay_and_end(spark):
     docs = corpus(spark, [(x, "kryptonite" if x == "s" else "other", None, 0.5) for x in "sabc"])
     edges = spark.createDataFrame([(x, y) for x, y in ("sa", "as", "ab", "ba", "bc", "cb")], "src string, dst string")
-    got = {r.id: r.graph for r in retrieval.graph_scores(retrieval.normalised(retrieval.bm25(docs, ["kryptonite"]), "lex"), edges).collect()}
+    got = {r.id: r.graph for r in retrieval.graph_scores(retrieval.seeds(retrieval.normalised(retrieval.bm25(docs, ["kryptonite"]), "lex")), edges).collect()}
     assert got == {"a": 0.5, "b": 0.25}
 
 
