@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.scores import access_recency, note_action, utility
-from larkspur.functions.text import secrets
+from larkspur.functions.text import escape_cell, lines_of, offsets, secret_hits, secrets
 
 # What an audited note may hold.
 CONFIDENCE = ["VERIFIED", "HIGH", "MEDIUM", "LOW"]
@@ -71,11 +71,12 @@ def audit_notes(notes: DataFrame, today: Column) -> DataFrame:
 
 
 def score_notes(notes: DataFrame, today: Column) -> DataFrame:
-    """(id, recency, utility, score, action) from id, last_access, created, freq, importance, stub; best first."""
+    """(id, recency, utility, score, action) from id, last_access, created, freq, importance, stub; best first, ties by pos or id."""
     r = access_recency(F.col("last_access"), today)
     u = utility(F.col("freq"), F.col("importance"), F.greatest(F.lit(0), F.datediff(today, F.col("last_access"))))
     out = notes.withColumn("recency", r).withColumn("utility", u).withColumn("score", 0.25 * F.col("recency") + 0.35 * F.col("importance") + 0.40 * 0.5)
-    return out.withColumn("action", note_action(F.col("stub"), F.col("utility"), F.col("importance")))
+    out = out.withColumn("action", note_action(F.col("stub"), F.col("utility"), F.col("importance")))
+    return out.orderBy(F.desc(F.round("score", 12)), "pos" if "pos" in notes.columns else "id")
 
 
 def tag_index(notes: DataFrame) -> DataFrame:
@@ -100,8 +101,6 @@ def inspect_evidence(lines: DataFrame, today: Column) -> DataFrame:
     p = labelled.withColumn("payload", payload).withColumn("j", F.from_json("payload", "date string, stance string, source string, quote string"))
     p = p.withColumn("canonical", canonical(F.trim("j.date"), F.trim("j.stance"), F.trim("j.source"), F.trim("j.quote")))
     p = p.withColumn("day", date_of(F.trim("j.date"))).withColumn("fingerprint", F.sha2("canonical", 256))
-    from pyspark.sql import Window
-
     p = p.withColumn("turn", F.row_number().over(Window.partitionBy("note_id", "fingerprint").orderBy("line_no"))).withColumn("number", F.row_number().over(Window.partitionBy("note_id").orderBy("line_no")))
     fault = (
         F.when(F.col("payload").isNull() | F.col("j").isNull() | F.col("j.stance").isNull() | F.col("j.source").isNull() | F.col("j.quote").isNull(), "malformed")
@@ -121,3 +120,69 @@ def evidence_report(inspected: DataFrame) -> DataFrame:
     """Per note: support, challenge, contested; only lines without fault count."""
     good = F.col("fault").isNull()
     return inspected.groupBy("note_id").agg(F.count_if(good & (F.col("stance") == "SUPPORT")).alias("support"), F.count_if(good & (F.col("stance") == "CHALLENGE")).alias("challenge"), F.count_if(~good).alias("faults")).withColumn("contested", F.col("challenge") > 0)
+
+
+def note_spans(files: DataFrame) -> DataFrame:
+    """(path, id, pos, start, body_start, stop) of each note of (path, text), in characters.
+
+    A note starts at its heading and stops at the next one, or at a second-level heading
+    in its body before that.
+    """
+    heads = files.select("path", "text", F.posexplode(offsets(F.col("text"), rf"(?m)^### \[{ID}\][ \t]+\S[^\n]*$")).alias("pos", "h")).select("path", "text", "pos", F.col("h.start").alias("start"), F.col("h.match").alias("head"))
+    after = F.lead("start").over(Window.partitionBy("path").orderBy("start"))
+    spans = heads.withColumn("body_start", F.col("start") + F.length("head")).withColumn("end", F.coalesce(after, F.length("text")))
+    body = F.substring(F.col("text"), F.col("body_start") + 1, F.col("end") - F.col("body_start"))
+    cut = F.instr(body, "\n## ")
+    stop = F.when(cut > 0, F.col("body_start") + cut - 1).otherwise(F.col("end"))
+    return spans.select("path", F.regexp_extract("head", f"({ID})", 1).alias("id"), "pos", "start", "body_start", stop.alias("stop"))
+
+
+def attributed_secrets(files: DataFrame) -> DataFrame:
+    """(path, subject, label, fingerprint): each different credential in (path, text), under the note whose span holds it or else the file."""
+    hits = files.select("path", F.explode(secret_hits(F.col("text"))).alias("h")).select("path", "h.label", "h.start", F.sha2("h.match", 256).alias("fingerprint"))
+    spans = note_spans(files).select(F.col("path").alias("in"), "id", F.col("start").alias("from"), "stop")
+    held = hits.join(spans, (hits["path"] == spans["in"]) & (hits["start"] >= spans["from"]) & (hits["start"] < spans["stop"]), "left")
+    return held.select("path", F.coalesce("id", "path").alias("subject"), "label", "fingerprint").distinct()
+
+
+def file_caps(files: DataFrame, lines: int, size: int) -> DataFrame:
+    """(path, lines, bytes, level): FAIL where a file has more lines or bytes than it may."""
+    out = files.select("path", F.size(lines_of(F.col("text"))).cast("long").alias("lines"), F.octet_length("text").cast("long").alias("bytes"))
+    return out.withColumn("level", F.when((F.col("lines") > lines) | (F.col("bytes") > size), "FAIL").otherwise("PASS"))
+
+
+def counters(notes: DataFrame, year: int) -> DataFrame:
+    """One row of (id, action): the next id, how many notes there are, and how many may go."""
+    most = F.coalesce(F.max(F.right("id", F.lit(4)).cast("int")), F.lit(0))
+    return notes.agg(F.concat(F.lit(f"MEM-{year}-"), F.lpad((most + 1).cast("string"), 4, "0")).alias("next_id"), F.count("*").alias("occupancy"), F.count_if(~F.col("action").isin("KEEP", "STUB")).alias("prune"))
+
+
+def index_lines(notes: DataFrame) -> DataFrame:
+    """(pos, line): the registry's table row of each note (pos, id, title, type, confidence, importance, score, utility, action, support, challenge, links)."""
+    cell = lambda c: F.coalesce(F.nullif(escape_cell(F.col(c)), F.lit("")), F.lit("?"))
+    counts = F.coalesce(F.concat_ws("/", F.col("support").cast("string"), F.when(F.col("support").isNotNull(), F.col("challenge").cast("string"))), F.lit("-"))
+    links = F.coalesce(F.nullif(F.array_join(F.transform("links", lambda x: F.right(x, F.lit(4))), ", "), F.lit("")), F.lit("-"))
+    cells = [F.col("id"), escape_cell(F.col("title")), cell("type"), cell("confidence"), F.format_string("%.2f", "importance"), F.format_string("%.3f", "score"), F.format_string("%.3f", "utility"), F.col("action"), F.coalesce(F.nullif(counts, F.lit("")), F.lit("-")), links]
+    return notes.select("pos", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def appended(notes: DataFrame, today: Column) -> DataFrame:
+    """(note_id, updated, reject) of (note_id, body, date, stance, source, quote): the body with one more evidence line, or why not."""
+    trimmed = {c: F.trim(c) for c in ("date", "stance", "source", "quote")}
+    line = F.concat(F.lit("- **Evidence:** "), canonical(*trimmed.values()), F.lit("\n"))
+    day = date_of(trimmed["date"])
+    broken = F.lit(False)
+    for c in trimmed:
+        broken = broken | F.col(c).rlike(r"[\r\n]")
+    reject = (
+        F.when(F.col("date").isNull() | F.col("stance").isNull() | F.col("source").isNull() | F.col("quote").isNull(), "keys")
+        .when(broken, "newline").when(day.isNull(), "date").when(day > today, "future date").when(~trimmed["stance"].isin(STANCES), "stance")
+        .when((trimmed["source"] == "") | (F.length(trimmed["source"]) > MOST_SOURCE), "source")
+        .when((trimmed["quote"] == "") | (F.length(trimmed["quote"]) > MOST_QUOTE), "quote")
+        .when((F.size(secrets(trimmed["source"])) > 0) | (F.size(secrets(trimmed["quote"])) > 0), "secret")
+        .when(F.contains("body", F.rtrim(line, F.lit("\n"))), "duplicate")
+        .when(F.regexp_count("body", F.lit(r"(?m)^[ \t]*-[ \t]*\*\*Evidence:\*\*")) >= MOST_EVIDENCE, "too many")
+        .when((trimmed["stance"] != "SUPPORT") & ~F.contains("body", F.lit('"stance":"SUPPORT"')), "no support")
+    )
+    glue = F.when(F.endswith("body", F.lit("\n")), "").otherwise("\n")
+    return notes.withColumn("reject", reject).select("note_id", F.when(F.col("reject").isNull(), F.concat("body", glue, line)).alias("updated"), "reject")

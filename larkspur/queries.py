@@ -7,12 +7,14 @@ neighbours by doc_id within a source, vectors = embeddings, queue and log = even
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import scores as S
 from larkspur.functions import text as X
-from larkspur.operators import changes, library, links, notes, profile, retrieval, vectors, verify
+from larkspur.operators import changes, library, links, notes, order, profile, retrieval, vectors, verify
 from larkspur.streaming import dispatch
 
 QUERIES: dict = {}
@@ -45,14 +47,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def corpus(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
-    quality = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality")
-    docs = docs.join(quality, "id", "left").withColumn("salience", F.coalesce(F.col("quality") * 0.9, F.lit(0.5)))
     return retrieval.with_tokens(docs.withColumn("created", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("id", F.lit(365)).cast("int"))))
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    before = docs.select("id", F.lag("id").over(Window.partitionBy("source").orderBy("id")).alias("to")).where("to is not null")
-    return retrieval.build_edges(before.select("id", F.col("to").cast("string").alias("mention")), docs.select("id", F.col("id").cast("string").alias("key")))
+def salience(spark, sf) -> DataFrame:
+    return table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") * 0.9).alias("salience"))
+
+
+def before(spark, sf) -> DataFrame:
+    """(id, previous): documents by id within a source."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
+    return order.previous(docs, "source", "id").where("previous is not null").select("id", "previous")
+
+
+def neighbours(spark, sf) -> DataFrame:
+    """Symmetric (src, dst)."""
+    hop = before(spark, sf)
+    return hop.select(F.col("id").alias("src"), F.col("previous").alias("dst")).union(hop.select("previous", "id"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP) + "]"
@@ -87,13 +98,13 @@ def ret_tf(spark, sf):
     return retrieval.term_counts(corpus(spark, sf)).where("tf > 2")
 
 
-@query()
+@query(f"WITH {TOK} SELECT id, CAST(len(tokens) AS BIGINT) AS n, sha256(array_to_string(tokens, ' ')) AS tokens_sha256 FROM tok")
 def ret_tokens_whole(spark, sf):
     """Number and digest of all tokens, joined by a space; ret_tokens has the first five, as its SQL does."""
     return corpus(spark, sf).select("id", F.size("tokens").cast("long").alias("n"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens_sha256"))
 
 
-@query()
+@query(f"WITH {TOK} SELECT id, t AS term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS t FROM tok) GROUP BY ALL")
 def ret_tf_whole(spark, sf):
     """Counts of all terms; ret_tf has those above 2, as its SQL does."""
     return retrieval.term_counts(corpus(spark, sf))
@@ -126,20 +137,18 @@ def ret_seeds(spark, sf):
 
 @query(f"WITH {GRAPH} SELECT id, round(graph, 6) AS graph FROM gs")
 def ret_graph_hops(spark, sf):
-    docs = corpus(spark, sf)
-    return retrieval.graph_scores(retrieval.normalised(retrieval.bm25(docs, ASKED), "lex"), neighbours(docs)).select("id", F.round("graph", 6).alias("graph"))
+    lex = retrieval.normalised(retrieval.bm25(corpus(spark, sf), ASKED), "lex")
+    return retrieval.graph_scores(links.checkpointed(retrieval.seeds(lex)), neighbours(spark, sf)).select("id", F.round("graph", 6).alias("graph"))
 
 
 @query(FUSED + " SELECT id, round(score, 6) AS score, route FROM sc ORDER BY round(score, 9) DESC, id LIMIT 10")
 def ret_fused_top10(spark, sf):
-    docs = corpus(spark, sf)
-    return retrieval.search(docs, neighbours(docs), ASKED, 10).select("id", F.round("score", 6).alias("score"), "route")
+    return retrieval.search(corpus(spark, sf), neighbours(spark, sf), ASKED, 10, salience=salience(spark, sf)).select("id", F.round("score", 6).alias("score"), "route")
 
 
 @query(FUSED + " SELECT route, count(*) AS n FROM sc GROUP BY route")
 def ret_route(spark, sf):
-    docs = corpus(spark, sf)
-    return retrieval.search(docs, neighbours(docs), ASKED, 1 << 30).groupBy("route").agg(F.count("*").alias("n"))
+    return retrieval.search(corpus(spark, sf), neighbours(spark, sf), ASKED, None, salience=salience(spark, sf)).groupBy("route").agg(F.count("*").alias("n"))
 
 
 @query(rf"WITH ln AS (SELECT doc_id AS id, list_filter(string_split(text, chr(10)), lambda x: list_has_any(list_filter(list_transform(regexp_extract_all(lower(x), '[a-z0-9][a-z0-9_.\-]*'), lambda y: trim(y, '.-_')), lambda y: length(y) >= 2), ['onesen', 'whou'])) AS l FROM documents) SELECT id, left(trim(regexp_replace(l[1], '[ \t]+', ' ', 'g')), 110) AS snippet FROM ln WHERE len(l) > 0")
@@ -186,9 +195,9 @@ def vec_two_pass(spark, sf):
 
 @query(f"WITH {GRAPH}, {REC}, {COS}, vc AS (SELECT id, cosine, greatest(cosine, 0) / max(greatest(cosine, 0)) OVER () AS vec FROM cs WHERE cosine >= 0.35), fu AS (SELECT lx.id, 0.3 * lex + 0.25 * coalesce(vec, 0) + 0.25 * coalesce(graph, 0) + 0.05 * recency + 0.15 * coalesce(quality * 0.9, 0.5) AS score, CASE WHEN lex > 0 THEN 'lexical' WHEN graph > 0 THEN 'graph' ELSE 'vector' END AS route FROM lx LEFT JOIN gs USING (id) JOIN rc USING (id) LEFT JOIN vc USING (id) LEFT JOIN labels ON labels.doc_id = lx.id WHERE lex > 0 OR graph > 0 OR cosine >= 0.35) SELECT id, round(score, 6) AS score, route FROM fu ORDER BY round(score, 9) DESC, id LIMIT 10")
 def vec_hybrid(spark, sf):
-    docs, v = corpus(spark, sf), _vectors(spark, sf)
+    v = _vectors(spark, sf)
     near = vectors.against(v, _first(v)).select("id", S.dot(F.col("v"), F.col("q")).alias("cosine"))
-    return retrieval.search(docs, neighbours(docs), ASKED, 10, near).select("id", F.round("score", 6).alias("score"), "route")
+    return retrieval.search(corpus(spark, sf), neighbours(spark, sf), ASKED, 10, near, salience=salience(spark, sf)).select("id", F.round("score", 6).alias("score"), "route")
 
 
 @query("WITH n AS (SELECT doc_id AS id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0), o AS (SELECT doc_id AS id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) SELECT CASE WHEN n.id IS NULL THEN 'pruned' WHEN n.h = o.h THEN 'reused' ELSE 'built' END AS status, count(*) AS n FROM n FULL JOIN o USING (id) GROUP BY 1")
@@ -203,21 +212,24 @@ def vec_index_delta(spark, sf):
 # ---- duplicates
 
 
-@query()
+TOKENSETS = """ts AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{4,}')) AS s FROM documents), tn AS (SELECT id, len(s) AS n FROM ts WHERE len(s) > 0), tk AS (SELECT id, unnest(s) AS t FROM ts), tp AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM tk a JOIN tk b ON a.t = b.t AND a.id < b.id GROUP BY ALL), pr AS (SELECT a, b, c / (x.n + y.n - c) AS similarity FROM tp JOIN tn x ON x.id = a JOIN tn y ON y.id = b WHERE c / (x.n + y.n - c) >= 0.55)"""
+
+
+@query(f"WITH {TOKENSETS} SELECT a, b, round(similarity, 6) AS similarity FROM pr")
 def dup_jaccard(spark, sf):
     """Jaccard >= 0.55 of the word sets of whole texts over all pairs; tested against brute force."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.token_set(F.col("text"), None).alias("tokens")).where(F.size("tokens") > 0)
     return library.near_pairs(d).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"WITH {TOKENSETS}, ag AS (SELECT doc_id AS id, n_chars % 8 AS craft, n_chars AS uses FROM documents), wk AS (SELECT similarity, (x.craft, x.uses, a) < (y.craft, y.uses, b) AS weak, a, b FROM pr JOIN ag x ON x.id = a JOIN ag y ON y.id = b), nm AS (SELECT CASE WHEN weak THEN a ELSE b END AS retire, CASE WHEN weak THEN b ELSE a END AS keep, similarity FROM wk) SELECT retire, keep FROM nm QUALIFY row_number() OVER (PARTITION BY retire ORDER BY similarity DESC, keep DESC) = 1")
 def dup_resolve(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars", X.token_set(F.col("text"), None).alias("tokens")).where(F.size("tokens") > 0)
     agents = d.select("id", F.pmod("n_chars", F.lit(8)).alias("craft"), F.col("n_chars").alias("uses"), F.col("id").alias("pos"))
     return library.resolve_duplicates(library.near_pairs(d.select("id", "tokens")), agents)
 
 
-@query("WITH g AS (SELECT sha256(text) AS profile, count(*) AS members, min(doc_id) AS f FROM documents GROUP BY 1), t AS (SELECT sum(members) AS a, max_by(profile, members * 1000000000 - f) AS top FROM g) SELECT profile, members, round(members / a, 4) AS mass, profile = top AS dominant FROM g, t WHERE members > 1")
+@query("WITH g AS (SELECT sha256(text) AS profile, count(*) AS members, min(doc_id) AS f FROM documents GROUP BY 1), t AS (SELECT sum(members) AS a, max_by(profile, members * 1000000000 - f) AS top FROM g) SELECT profile, members, round(members / a, 4) AS mass, profile = top AS dominant, (SELECT count(*) FROM g) = 1 AS unanimous FROM g, t WHERE members > 1")
 def dup_exact_hash(spark, sf):
     return verify.clusters(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("behaviour"))).where("members > 1")
 
@@ -270,7 +282,7 @@ def evd_canonical(spark, sf):
     return e.select("note_id", "line_no", F.sha2(notes.canonical(F.col("date"), F.col("stance"), F.col("source"), F.col("quote")), 256).alias("fingerprint"))
 
 
-@query()
+@query("SELECT conv_id AS note_id, turn AS line_no, sha256('{\"date\":\"2024-05-01\",\"stance\":\"' || CASE WHEN role = 'user' THEN 'SUPPORT' ELSE 'CHALLENGE' END || '\",\"source\":' || to_json(coalesce(role, '')) || ',\"quote\":' || to_json(text) || '}') AS fingerprint FROM conversations")
 def evd_canonical_whole(spark, sf):
     """Fingerprints of whole quotes, all characters kept; evd_canonical has the quotes that its SQL gives."""
     e = _evidence(spark, sf)
@@ -289,7 +301,8 @@ def evd_dedup(spark, sf):
 
 @query(f"WITH {EDGE} SELECT src, dst FROM ed")
 def gra_edges(spark, sf):
-    return neighbours(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source"))
+    keys = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("key"))
+    return retrieval.build_edges(before(spark, sf).select("id", F.col("previous").cast("string").alias("mention")), keys)
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
@@ -332,12 +345,31 @@ def _log(spark, sf):
     return e.select(F.col("event_id").alias("pos"), F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "event_type", F.concat(F.lit("user="), "user_id"), F.concat(F.lit("took "), F.round("value", 2), F.lit("ms"))).alias("line"))
 
 
-@query()
+def _templated(line: str) -> str:
+    """SQL that templates a line; the signs before a match stand in for looking behind it."""
+    for pattern, kind in X.LOG_SUBSTITUTIONS:
+        behind = re.match(r"\(\?<([=!])(\[[^\]]*\]|\\w)\)", pattern)
+        if behind and behind[1] == "=":
+            pattern, kind = f"({behind[2]})" + pattern[behind.end() :], "\\1" + kind
+        elif behind:
+            other = "[^" + behind[2].strip("[]") + "]"
+            pattern, kind = f"(^|{other})" + pattern[behind.end() :], "\\1" + kind
+        line = f"regexp_replace({line}, '{pattern}', '{kind}', 'g')"
+    return line
+
+
+LOG_LINE = "strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ' user=' || user_id || ' took ' || round(value, 2) || 'ms'"
+
+
+@query(f"WITH lg AS (SELECT event_id AS pos, {_templated(LOG_LINE)} AS template FROM events), gr AS (SELECT template, count(*) AS n, min(pos) AS first, max(pos) AS last FROM lg GROUP BY 1), rk AS (SELECT *, row_number() OVER (ORDER BY n DESC, first) AS r FROM gr) SELECT CASE WHEN r <= 40 THEN template ELSE '(others)' END AS template, CAST(sum(n) AS BIGINT) AS n, min(first) AS first, max(last) AS last FROM rk GROUP BY 1")
 def log_templates(spark, sf):
     return profile.log_templates(_log(spark, sf))
 
 
-@query()
+LINES = "list_filter(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]'), lambda x, i: i < len(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]')) OR x <> '')"
+
+
+@query(f"WITH ls AS (SELECT doc_id, list_filter({LINES}, lambda x: trim(x) <> '')[1:400] AS l FROM documents) SELECT doc_id, len(l) >= 20 AND len(list_distinct(list_transform(l, lambda x: {_templated('x')}))) <= 0.6 * len(l) AS is_log FROM ls")
 def log_detector(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.looks_like_log(F.col("text")).alias("is_log"))
 
@@ -369,7 +401,38 @@ def lib_rubric(spark, sf):
     return a.select("id", *[bits[k].alias(k.lower()) for k in "ABCEFG"])
 
 
-@query()
+PROMPT = "AG AS (SELECT documents.doc_id AS id, 'Helper v' || documents.doc_id % 9 AS name, text AS description, CASE WHEN documents.doc_id % 3 = 0 THEN 'never invent facts. out of scope: all. output format below. tool policy. ' ELSE '' END || CASE WHEN documents.doc_id % 4 = 0 THEN 'You are the Clerk. self-check before delivery: verify. gap table. ' ELSE '' END || text AS prompt FROM documents)"
+_BLANK = " || ".join(f"chr({ord(c)})" for c in library.BLANK)
+# \b beside letters: RE2 knows only ASCII words
+_OPEN, _CLOSE = r"(?:^|[^\pL\pN_])", r"(?:[^\pL\pN_]|$)"
+HYGIENE = f"""list_filter([
+CASE WHEN regexp_matches(description, '(?i)</?(p|div|span|strong|em|h[1-6]|ul|ol|li|br|a|table){_CLOSE}') OR regexp_matches(description, '&(amp|nbsp|lt|gt|quot|#\\d+);') THEN 'html-in-description' END,
+CASE WHEN length(trim(regexp_replace(description, '<[^>]+>', '', 'g'), {_BLANK})) < 80 THEN 'description-too-short' END,
+CASE WHEN length(description) > 2000 THEN 'description-too-long' END,
+CASE WHEN regexp_matches(description, '(?i){_OPEN}(role|warehouse|password|token|api[_ ]?key|credential)s?\\s*[:=]\\s*\\S') THEN 'credentials-in-description' END,
+CASE WHEN regexp_matches(description, '(?i){_OPEN}(claude|opus|sonnet|haiku|gpt-?[45o]|o[13]|gemini|llama|mistral){_CLOSE}') THEN 'model-name-in-description' END,
+CASE WHEN regexp_matches(description, '(?im){_OPEN}copy the below prompt{_CLOSE}|{_OPEN}copy this prompt{_CLOSE}|^\\s*"I am analyzing') THEN 'description-used-as-manual' END,
+CASE WHEN regexp_matches(description, '{_OPEN}(feedback|suggestions?|questions?)\\s+to\\s+[A-Z][a-z]+ [A-Z][a-z]+') THEN 'person-name-in-description' END,
+CASE WHEN regexp_matches(name, '(?i){_OPEN}v?\\d+\\.\\d+{_CLOSE}|{_OPEN}v\\d+{_CLOSE}') THEN 'version-in-name' END,
+CASE WHEN length(name) > 55 THEN 'name-too-long' END,
+CASE WHEN trim(prompt, {_BLANK}) = '' THEN 'empty-system-prompt' END], lambda x: x IS NOT NULL)"""
+
+
+def _any(patterns, *texts) -> str:
+    """SQL that tells whether a pattern of the rubric matches one of the texts."""
+    shown = [p.replace("'", "''") for p in patterns]
+    return "(" + " OR ".join(f"regexp_matches({t}, '(?im){p}')" for p in shown for t in texts) + ")"
+
+
+BITS = ", ".join(f"CASE WHEN {_any(ps, 'prompt', 'description')} THEN 1 ELSE 0 END AS {k.lower()}" for k, ps in library.CRAFT.items())
+DIRTY = "[" + ", ".join(f"'{f}'" for f in library.DIRTY) + "]"
+_HIT = lambda p: "CASE WHEN regexp_matches(prompt, '(?is)" + p.replace("'", "''") + "') THEN 1 ELSE 0 END"
+_AXES = ", ".join("CASE WHEN {0} >= 4 THEN 2 WHEN {0} >= 2 THEN 1 ELSE 0 END AS {1}".format("(" + " + ".join(map(_HIT, ps)) + ")", axis) for axis, ps in library.AXES.items())
+AXES_SQL = f"ax AS (SELECT AG.id, {_AXES}, least(2, CASE WHEN AG.id % 7 >= 5 THEN 2 WHEN AG.id % 7 >= 1 THEN 1 ELSE 0 END + CASE WHEN length(prompt) > 8000 THEN 1 ELSE 0 END) AS depth, log10(n_chars % 600 + 1) / log10(600) * 6 + least(n_chars % 50, 40) / 40 * 4 AS adoption FROM AG JOIN documents ON doc_id = AG.id), ev AS (SELECT id, CAST(ground AS BIGINT) AS ground, CAST(scope AS BIGINT) AS scope, CAST(struct AS BIGINT) AS struct, CAST(tools AS BIGINT) AS tools, CAST(depth AS BIGINT) AS depth, adoption FROM ax)"
+AUDITED = f"{PROMPT}, FL AS (SELECT *, {HYGIENE} AS flags FROM AG), BT AS (SELECT *, {BITS}, CASE WHEN list_has_any(flags, {DIRTY}) THEN 0 ELSE 1 END AS h FROM FL), CR AS (SELECT *, a + b + c + d + e + f + g + h AS craft FROM BT)"
+
+
+@query(f"WITH {PROMPT} SELECT id, {HYGIENE} AS flags FROM AG")
 def lib_hygiene(spark, sf):
     return _agents(spark, sf).select("id", library.hygiene(F.col("name"), F.col("description"), F.col("systemPrompt")).alias("flags"))
 
@@ -388,13 +451,17 @@ def lib_triage(spark, sf):
     return a.join(F.broadcast(middle)).select("id", library.triage(craft, F.col("numberOfUses"), S.freshness(F.col("age")), F.lit(None).cast("string"), F.array().cast("array<string>"), F.col("median")).alias("verdict"))  # one row
 
 
-@query()
+@query(f"WITH {AUDITED} SELECT id, " + ", ".join(f"CAST({k} AS BIGINT) AS {k}" for k in [*"abcdefgh", "craft"]) + " FROM CR")
 def lib_rubric_whole(spark, sf):
     """All eight criteria of the rubric, H from the hygiene flags, and their sum; lib_rubric has the six that its SQL gives."""
     return _audited(spark, sf).select("id", *[k.lower() for k in "ABCDEFGH"], "craft")
 
 
-@query()
+_SETS = "ts AS (SELECT id, list_distinct(regexp_extract_all(lower(name || ' ' || description || ' ' || prompt), '[a-z0-9]{4,}')) AS s FROM AG), " + TOKENSETS[TOKENSETS.index("tn AS") :]
+_USES = AGENT.replace("ag AS (", "us AS (")
+
+
+@query(f"WITH {AUDITED}, {_USES}, {_SETS}, wk AS (SELECT (x.craft, ux.uses, pr.a) < (y.craft, uy.uses, pr.b) AS weak, pr.a, pr.b FROM pr JOIN CR x ON x.id = pr.a JOIN CR y ON y.id = pr.b JOIN us ux ON ux.id = pr.a JOIN us uy ON uy.id = pr.b), gone AS (SELECT DISTINCT CASE WHEN weak THEN wk.a ELSE wk.b END AS id FROM wk), md AS (SELECT uses AS median FROM (SELECT uses, row_number() OVER (ORDER BY uses) AS r, count(*) OVER () AS n FROM us) WHERE r = n // 2 + 1) SELECT CR.id, CASE WHEN gone.id IS NOT NULL THEN 'RETIRE' WHEN uses = 0 AND fresh IN ('Stale', 'Abandoned') THEN 'RETIRE' WHEN craft <= 3 AND fresh = 'Abandoned' THEN 'RETIRE' WHEN craft >= 6 AND uses > 0 AND fresh IN ('Fresh', 'Aging') THEN 'ENDORSE' WHEN craft <= 4 AND uses >= greatest(median, 1) THEN 'FIX' WHEN len(flags) > 0 THEN 'FIX' ELSE 'KEEP' END AS verdict FROM CR JOIN us ON us.id = CR.id CROSS JOIN md LEFT JOIN gone ON gone.id = CR.id")
 def lib_triage_whole(spark, sf):
     """Verdicts with the sum of all eight criteria, hygiene flags and duplicates; lib_triage has the rules that its SQL gives."""
     a = _audited(spark, sf)
@@ -411,7 +478,7 @@ def lib_adoption(spark, sf):
     return library.evaluate(_agents(spark, sf)).select("id", F.round("adoption", 6).alias("adoption"))
 
 
-@query(f"WITH {AGENT} SELECT count(*) AS n, CAST(sum(uses) AS BIGINT) AS uses, CAST(sum(upvotes) AS BIGINT) AS upvotes, count(*) FILTER (verified) AS verified, round(sum(uses) / greatest(sum(upvotes), 1), 6) AS uses_per_upvote FROM ag")
+@query(f"WITH {AGENT} SELECT count(*) AS n, CAST(sum(uses) AS BIGINT) AS uses, CAST(sum(upvotes) AS BIGINT) AS upvotes, count(*) FILTER (verified) AS verified, count(*) FILTER (verified) || '/' || count(*) AS verified_share, round(sum(uses) / greatest(sum(upvotes), 1), 6) AS uses_per_upvote FROM ag")
 def lib_summary(spark, sf):
     return library.summary(_agents(spark, sf).withColumnRenamed("numberOfUses", "uses"))
 
@@ -425,20 +492,21 @@ def ver_levenshtein(spark, sf):
     return c.join(c.select((F.col("id") - 1).alias("id"), F.col("x").alias("y")), "id").select("id", F.levenshtein("x", "y").cast("long").alias("distance"))
 
 
-@query("WITH n AS (SELECT count(*) AS n, CAST(ceil((count(*) + 1) * 0.95) AS BIGINT) AS rank FROM customer), r AS (SELECT c_acctbal, row_number() OVER (ORDER BY c_acctbal) AS r FROM customer) SELECT n, rank, c_acctbal AS quantile FROM n LEFT JOIN r ON r = rank")
+@query("WITH n AS (SELECT count(*) AS n, CAST(ceil((count(*) + 1) * 0.95) AS BIGINT) AS rank FROM customer), r AS (SELECT c_acctbal, row_number() OVER (ORDER BY c_acctbal) AS r FROM customer) SELECT n, rank, c_acctbal AS quantile, c_acctbal IS NOT NULL AS valid FROM n LEFT JOIN r ON r = rank")
 def ver_conformal(spark, sf):
     return verify.conformal_threshold(table(spark, sf, "customer").select(F.col("c_acctbal").alias("score")))
 
 
-@query("WITH g AS (SELECT sha256(event_type) AS profile, count(*) AS members, min(event_id) AS f FROM events GROUP BY 1), t AS (SELECT sum(members) AS a, max_by(profile, members * 1000000000 - f) AS top FROM g) SELECT profile, members, round(members / a, 4) AS mass, profile = top AS dominant FROM g, t")
+@query("WITH g AS (SELECT sha256(event_type) AS profile, count(*) AS members, min(event_id) AS f FROM events GROUP BY 1), t AS (SELECT sum(members) AS a, max_by(profile, members * 1000000000 - f) AS top FROM g) SELECT profile, members, round(members / a, 4) AS mass, profile = top AS dominant, (SELECT count(*) FROM g) = 1 AS unanimous FROM g, t")
 def ver_cluster(spark, sf):
     return verify.clusters(table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("behaviour")))
 
 
-@query("WITH h AS (SELECT user_id AS run, event_id AS step, event_type AS text, lag(event_type) OVER w AS a, lag(event_type, 2) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT run, step, CAST(coalesce(levenshtein(text, a), -1) AS BIGINT) AS distance, coalesce(text = b, false) AS repeats FROM h")
+@query("WITH h AS (SELECT user_id AS run, event_id AS step, event_type || CASE WHEN event_id % 3 = 0 THEN ' again and again' ELSE '' END AS text FROM events), d AS (SELECT *, levenshtein(text, lag(text) OVER w) AS d, coalesce(trim(text) = trim(lag(text, 2) OVER w), false) AS repeats FROM h WINDOW w AS (PARTITION BY run ORDER BY step)) SELECT run, step, CAST(coalesce(d, -1) AS BIGINT) AS distance, coalesce(d < 5, false) AS stalled, repeats, CASE WHEN d IS NULL THEN 'insufficient history' WHEN d < 5 THEN 'near-identical resubmission' WHEN repeats THEN 'A-B-A alternation' ELSE 'progressing' END AS reason, coalesce(d < 5, false) OR repeats AS halt FROM d")
 def ver_oscillation(spark, sf):
-    e = table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("event_type").alias("text"))
-    return verify.oscillation(e).select("run", "step", F.coalesce("distance", F.lit(-1)).cast("long").alias("distance"), "repeats")  # -1: no step before
+    text = F.concat("event_type", F.when(F.pmod("event_id", F.lit(3)) == 0, " again and again").otherwise(""))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), text.alias("text"))
+    return verify.oscillation(e).select("run", "step", F.coalesce("distance", F.lit(-1)).cast("long").alias("distance"), "stalled", "repeats", "reason", "halt")  # -1: no step before
 
 
 # ---- changes
@@ -497,7 +565,7 @@ def que_retry_circuit(spark, sf):
     return dispatch.retry_circuit(e).select("key", "seq", "retries", "circuit_open")
 
 
-@query()
+@query("WITH RECURSIVE o AS (SELECT CAST(user_id % 500 AS VARCHAR) AS resource, CAST(event_id AS DOUBLE) AS moment, event_type AS owner, row_number() OVER (PARTITION BY user_id % 500 ORDER BY event_id) AS k FROM events), f AS (SELECT resource, k, moment, owner, owner AS holder, moment + 300 AS until, true AS granted FROM o WHERE k = 1 UNION ALL SELECT o.resource, o.k, o.moment, o.owner, CASE WHEN o.moment >= f.until OR o.owner = f.holder THEN o.owner ELSE f.holder END, CASE WHEN o.moment >= f.until OR o.owner = f.holder THEN o.moment + 300 ELSE f.until END, o.moment >= f.until OR o.owner = f.holder FROM f JOIN o ON o.resource = f.resource AND o.k = f.k + 1) SELECT resource, moment AS \"at\", owner, granted FROM f")
 def que_lease(spark, sf):
     e = table(spark, sf, "events").select(F.pmod("user_id", F.lit(500)).cast("string").alias("resource"), F.col("event_id").cast("double").alias("at"), F.col("event_type").alias("owner"), F.lit(300.0).alias("ttl"))
     return dispatch.leases_batch(e)
@@ -518,14 +586,19 @@ def que_windowed(spark, sf):
 # ---- text and secrets
 
 
-@query()
+def _labels(text: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({text}, '{p}') THEN '{label}' END" for label, p in X.SECRETS) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, {_labels('text')} AS labels FROM documents")
 def sec_scan(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.secrets(F.col("text")).alias("labels"))
 
 
-@query("SELECT doc_id, CASE WHEN len(l) > 50 THEN array_to_string(list_concat(list_concat(l[1:40], ['... ' || (len(l) - 50) || ' lines ...']), l[-10:]), chr(10)) ELSE text END AS shown FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN len(l) > 50 THEN array_to_string(l[1:40], chr(10)) || chr(10) || chr(10) || '... [' || (len(l) - 50) || ' lines elided, ref=T1] ...' || chr(10) || chr(10) || array_to_string(l[-10:], chr(10)) || chr(10) ELSE text END AS shown FROM (SELECT doc_id, text, {LINES} AS l FROM (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE '' END AS text FROM documents))")
 def txt_head_tail(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.head_tail(F.col("text")).alias("shown"))
+    text = F.concat("text", F.when(F.pmod("doc_id", F.lit(2)) == 0, "\n").otherwise(""))
+    return table(spark, sf, "documents").select("doc_id", X.head_tail(text).alias("shown"))
 
 
 @query("SELECT doc_id, left(text, 20) AS title FROM documents")
@@ -538,7 +611,7 @@ def txt_slug(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.slug(F.left("text", F.lit(40))).alias("slug"))
 
 
-@query()
+@query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def txt_slug_whole(spark, sf):
     """The slug of the whole text; txt_slug has that of its first 40 characters, as its SQL does."""
     return table(spark, sf, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
@@ -547,3 +620,6 @@ def txt_slug_whole(spark, sf):
 @query("SELECT doc_id, CAST(greatest(1, round_even(length(text) / 4.0, 0)) AS BIGINT) AS n FROM documents")
 def txt_approx_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.approx_tokens(F.col("text")).alias("n"))
+
+
+from larkspur import record_queries  # noqa: E402,F401  adds its queries
