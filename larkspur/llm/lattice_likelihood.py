@@ -13,7 +13,8 @@ recursion in log space.  Its lattice has four kinds of arcs:
 * words again that the text had before: token i, whose word came j times before, has
   (a * P(word) + j) / (a + i), a being ``concentration``;
 * phrases that the training part has twice or more.  A phrase is the run of words between
-  two anchors, words whose hash is divisible by ANCHOR; at such a place a phrase arc is
+  two anchors, words whose hash under fixed keys is divisible by ANCHOR (so that reruns
+  agree); at such a place a phrase arc is
   taken with theta * c / C, or words with 1 - theta (C: phrases on arcs, counted each time;
   theta: C over all runs between anchors and one more).
 
@@ -55,6 +56,7 @@ WORDS, PHRASES, TEXTS, ANSWER, COUNTS, TOTALS = range(6)
 DISCOUNT = 0.75
 PRIOR, ROUNDS = (1000.0, 100.0, 100.0), 3  # pieces that the first scores count for, in each round
 ANCHOR = 8
+ANCHOR_KEYS = words.Keys.new(1)
 HELD_OUT = 10
 
 
@@ -98,7 +100,7 @@ def _chunks(keys: words.Keys, n_buckets: int, chunk_bytes: int = CHUNK_BYTES):
             body, offs = words.gather(data, starts[sample[at]], ends[sample[at]] - starts[sample[at]])
             rows.append((b, chunk, WORDS, 0, 0, cluster.pack(np.array([i], np.int64), np.diff(offs).astype(np.uint32), trained[at].astype(np.uint32), body)))
         token = h[code]
-        start, stop = runs_of(token, per_doc)
+        start, stop = runs_of(words.word_hashes(data, starts[sample], ends[sample], ANCHOR_KEYS)[code], per_doc)
         long = np.flatnonzero(stop - start > 1)
         phrase, number = np.unique(words.span_hash(words.prefix_sums(token, keys.base), start[long], stop[long], keys), return_inverse=True)
         counts = np.bincount(number[learnt[start[long]]], minlength=len(phrase))

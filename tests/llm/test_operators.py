@@ -158,6 +158,16 @@ def test_likelihood_by_brute_force(spark, docs, rows):
         assert got[i].lattice_score == pytest.approx(sum(spelled[x] for x in w) / math.log(10), rel=1e-5, abs=1e-9)
 
 
+def test_lattice_scores_agree_between_runs(spark):
+    from larkspur.llm.lattice_likelihood import score_documents
+
+    rng = np.random.default_rng(5)
+    lines = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta"], 12)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, lines[i % 20] + " " + lines[i * 7 % 20]) for i in range(120)], "doc_id long, text string")
+    one, two = (by_id(score_documents(docs, PIECES, 50.0)) for _ in range(2))
+    assert one.keys() == two.keys() and all(one[i].score == pytest.approx(two[i].score, rel=1e-9) for i in one)
+
+
 def test_expected_pieces_by_enumeration():
     from larkspur.llm.lattice import Vocabulary, expected_pieces
 
