@@ -88,25 +88,14 @@ sc AS (SELECT *, 0.45 * lex + 0.25 * graph + 0.1 * recency + 0.2 * salience AS s
 # ---- retrieval
 
 
-@query(f"WITH {TOK} SELECT id, CAST(len(tokens) AS BIGINT) AS n, array_to_string(tokens[1:5], ' ') AS first FROM tok")
-def ret_tokens(spark, sf):
-    return corpus(spark, sf).select("id", F.size("tokens").cast("long").alias("n"), F.array_join(F.slice("tokens", 1, 5), " ").alias("first"))
-
-
-@query(f"WITH {TOK} SELECT id, t AS term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS t FROM tok) GROUP BY ALL HAVING count(*) > 2")
-def ret_tf(spark, sf):
-    return retrieval.term_counts(corpus(spark, sf)).where("tf > 2")
-
-
 @query(f"WITH {TOK} SELECT id, CAST(len(tokens) AS BIGINT) AS n, sha256(array_to_string(tokens, ' ')) AS tokens_sha256 FROM tok")
 def ret_tokens_whole(spark, sf):
-    """Number and digest of all tokens, joined by a space; ret_tokens has the first five, as its SQL does."""
+    """Number and digest of all tokens, joined by a space."""
     return corpus(spark, sf).select("id", F.size("tokens").cast("long").alias("n"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens_sha256"))
 
 
 @query(f"WITH {TOK} SELECT id, t AS term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS t FROM tok) GROUP BY ALL")
 def ret_tf_whole(spark, sf):
-    """Counts of all terms; ret_tf has those above 2, as its SQL does."""
     return retrieval.term_counts(corpus(spark, sf))
 
 
@@ -177,9 +166,9 @@ def vec_cosine_topk(spark, sf):
     return vectors.cosine_topk(_vectors(spark, sf), _first(_vectors(spark, sf)), 10).select("id", F.round("cosine", 6).alias("cosine"))
 
 
-@query(f"WITH {COS} SELECT id, round(cosine, 6) AS cosine FROM cs WHERE cosine >= 0.35 ORDER BY round(cosine, 9) DESC, id LIMIT 1000")
+@query(f"WITH {COS} SELECT id, round(cosine, 6) AS cosine FROM cs WHERE cosine >= 0.35")
 def vec_floor(spark, sf):
-    """All vectors at or above the floor; its SQL stops at 1000, more than the tables it is compared on reach."""
+    """All vectors at or above the floor."""
     return vectors.above_floor(_vectors(spark, sf), _first(_vectors(spark, sf)), 0.35).orderBy(F.desc(F.round("cosine", 9)), "id").select("id", F.round("cosine", 6).alias("cosine"))
 
 
@@ -229,9 +218,9 @@ def dup_resolve(spark, sf):
     return library.resolve_duplicates(library.near_pairs(d.select("id", "tokens")), agents)
 
 
-@query("WITH g AS (SELECT sha256(text) AS profile, count(*) AS members, min(doc_id) AS f FROM documents GROUP BY 1), t AS (SELECT sum(members) AS a, max_by(profile, members * 1000000000 - f) AS top FROM g) SELECT profile, members, round(members / a, 4) AS mass, profile = top AS dominant, (SELECT count(*) FROM g) = 1 AS unanimous FROM g, t WHERE members > 1")
+@query("WITH g AS (SELECT sha256(text) AS profile, count(*) AS members, min(doc_id) AS f FROM documents GROUP BY 1), t AS (SELECT sum(members) AS a, max_by(profile, members * 1000000000 - f) AS top FROM g) SELECT profile, members, round(members / a, 4) AS mass, profile = top AS dominant, (SELECT count(*) FROM g) = 1 AS unanimous FROM g, t")
 def dup_exact_hash(spark, sf):
-    return verify.clusters(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("behaviour"))).where("members > 1")
+    return verify.clusters(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("behaviour")))
 
 
 # ---- notes and evidence
@@ -260,14 +249,13 @@ def note_tag_index(spark, sf):
     return notes.tag_index(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.array("source").alias("tags")))
 
 
-def _evidence(spark, sf, whole=True):
-    """Turns as evidence; without ``whole`` a quote is the first 60 letters and spaces of a turn, as some SQL has it."""
-    quote = F.col("text") if whole else F.left(F.regexp_replace("text", r"[^A-Za-z ]", ""), F.lit(60))
+def _evidence(spark, sf):
+    """Turns as evidence."""
     c = table(spark, sf, "conversations")
-    return c.select(F.col("conv_id").alias("note_id"), F.col("turn").alias("line_no"), F.lit("2024-05-01").alias("date"), F.when(F.col("role") == "user", "SUPPORT").otherwise("CHALLENGE").alias("stance"), F.coalesce("role", F.lit("")).alias("source"), quote.alias("quote"))
+    return c.select(F.col("conv_id").alias("note_id"), F.col("turn").alias("line_no"), F.lit("2024-05-01").alias("date"), F.when(F.col("role") == "user", "SUPPORT").otherwise("CHALLENGE").alias("stance"), F.coalesce("role", F.lit("")).alias("source"), F.col("text").alias("quote"))
 
 
-EVD = "ev AS (SELECT conv_id AS note_id, turn AS line_no, CASE WHEN role = 'user' THEN 'SUPPORT' ELSE 'CHALLENGE' END AS stance, coalesce(role, '') AS source, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 60) AS quote FROM conversations), cj AS (SELECT *, '{\"date\":\"2024-05-01\",\"stance\":\"' || stance || '\",\"source\":\"' || source || '\",\"quote\":\"' || quote || '\"}' AS canonical FROM ev)"
+EVD = "cj AS (SELECT conv_id AS note_id, turn AS line_no, '{\"date\":\"2024-05-01\",\"stance\":\"' || CASE WHEN role = 'user' THEN 'SUPPORT' ELSE 'CHALLENGE' END || '\",\"source\":' || to_json(coalesce(role, '')) || ',\"quote\":' || to_json(text) || '}' AS canonical FROM conversations)"
 
 
 @query("WITH ev AS (SELECT conv_id AS note_id, count(*) FILTER (role = 'user') AS support, count(*) FILTER (role IS DISTINCT FROM 'user') AS challenge FROM conversations GROUP BY 1) SELECT *, challenge > 0 AS contested FROM ev")
@@ -277,14 +265,8 @@ def evd_counts(spark, sf):
 
 
 @query(f"WITH {EVD} SELECT note_id, line_no, sha256(canonical) AS fingerprint FROM cj")
-def evd_canonical(spark, sf):
-    e = _evidence(spark, sf, whole=False)
-    return e.select("note_id", "line_no", F.sha2(notes.canonical(F.col("date"), F.col("stance"), F.col("source"), F.col("quote")), 256).alias("fingerprint"))
-
-
-@query("SELECT conv_id AS note_id, turn AS line_no, sha256('{\"date\":\"2024-05-01\",\"stance\":\"' || CASE WHEN role = 'user' THEN 'SUPPORT' ELSE 'CHALLENGE' END || '\",\"source\":' || to_json(coalesce(role, '')) || ',\"quote\":' || to_json(text) || '}') AS fingerprint FROM conversations")
 def evd_canonical_whole(spark, sf):
-    """Fingerprints of whole quotes, all characters kept; evd_canonical has the quotes that its SQL gives."""
+    """Fingerprints of whole quotes, all characters kept."""
     e = _evidence(spark, sf)
     return e.select("note_id", "line_no", F.sha2(notes.canonical(F.col("date"), F.col("stance"), F.col("source"), F.col("quote")), 256).alias("fingerprint"))
 
@@ -394,13 +376,6 @@ def _audited(spark, sf):
 AGENT = "ag AS (SELECT documents.doc_id AS id, CASE WHEN documents.doc_id % 3 = 0 THEN 1 ELSE 0 END AS p, CASE WHEN documents.doc_id % 4 = 0 THEN 1 ELSE 0 END AS g, n_chars % 600 AS uses, n_chars % 50 AS favs, documents.doc_id % 7 AS rag, documents.doc_id % 500 AS age, n_chars % 5 AS upvotes, coalesce(quality = 1, false) AS verified, CASE WHEN documents.doc_id % 500 <= 90 THEN 'Fresh' WHEN documents.doc_id % 500 <= 180 THEN 'Aging' WHEN documents.doc_id % 500 <= 365 THEN 'Stale' ELSE 'Abandoned' END AS fresh FROM documents LEFT JOIN labels USING (doc_id))"
 
 
-@query(f"WITH {AGENT} SELECT id, CAST(g AS BIGINT) AS a, CAST(p AS BIGINT) AS b, CAST(p AS BIGINT) AS c, CAST(p AS BIGINT) AS e, CAST(p AS BIGINT) AS f, CAST(g AS BIGINT) AS g FROM ag")
-def lib_rubric(spark, sf):
-    a = _agents(spark, sf)
-    bits = library.craft_bits(F.col("systemPrompt"), F.col("description"))
-    return a.select("id", *[bits[k].alias(k.lower()) for k in "ABCEFG"])
-
-
 PROMPT = "AG AS (SELECT documents.doc_id AS id, 'Helper v' || documents.doc_id % 9 AS name, text AS description, CASE WHEN documents.doc_id % 3 = 0 THEN 'never invent facts. out of scope: all. output format below. tool policy. ' ELSE '' END || CASE WHEN documents.doc_id % 4 = 0 THEN 'You are the Clerk. self-check before delivery: verify. gap table. ' ELSE '' END || text AS prompt FROM documents)"
 _BLANK = " || ".join(f"chr({ord(c)})" for c in library.BLANK)
 # \b beside letters: RE2 knows only ASCII words
@@ -442,18 +417,9 @@ def lib_freshness(spark, sf):
     return _agents(spark, sf).select("id", S.freshness(F.col("age")).alias("freshness"))
 
 
-@query(f"WITH {AGENT}, md AS (SELECT uses AS median FROM (SELECT uses, row_number() OVER (ORDER BY uses) AS r, count(*) OVER () AS n FROM ag) WHERE r = n // 2 + 1), c AS (SELECT *, 4 * p + 2 * g AS craft FROM ag) SELECT id, CASE WHEN uses = 0 AND fresh IN ('Stale', 'Abandoned') THEN 'RETIRE' WHEN craft <= 3 AND fresh = 'Abandoned' THEN 'RETIRE' WHEN craft >= 6 AND uses > 0 AND fresh IN ('Fresh', 'Aging') THEN 'ENDORSE' WHEN craft <= 4 AND uses >= greatest(median, 1) THEN 'FIX' ELSE 'KEEP' END AS verdict FROM c, md")
-def lib_triage(spark, sf):
-    a = _agents(spark, sf)
-    bits = library.craft_bits(F.col("systemPrompt"), F.lit(""))
-    craft = sum((bits[k] for k in "ABCEFG"), F.lit(0))
-    middle = library.upper_median(a.select("numberOfUses"), "numberOfUses")
-    return a.join(F.broadcast(middle)).select("id", library.triage(craft, F.col("numberOfUses"), S.freshness(F.col("age")), F.lit(None).cast("string"), F.array().cast("array<string>"), F.col("median")).alias("verdict"))  # one row
-
-
 @query(f"WITH {AUDITED} SELECT id, " + ", ".join(f"CAST({k} AS BIGINT) AS {k}" for k in [*"abcdefgh", "craft"]) + " FROM CR")
 def lib_rubric_whole(spark, sf):
-    """All eight criteria of the rubric, H from the hygiene flags, and their sum; lib_rubric has the six that its SQL gives."""
+    """All eight criteria of the rubric, H from the hygiene flags, and their sum."""
     return _audited(spark, sf).select("id", *[k.lower() for k in "ABCDEFGH"], "craft")
 
 
@@ -463,7 +429,7 @@ _USES = AGENT.replace("ag AS (", "us AS (")
 
 @query(f"WITH {AUDITED}, {_USES}, {_SETS}, wk AS (SELECT (x.craft, ux.uses, pr.a) < (y.craft, uy.uses, pr.b) AS weak, pr.a, pr.b FROM pr JOIN CR x ON x.id = pr.a JOIN CR y ON y.id = pr.b JOIN us ux ON ux.id = pr.a JOIN us uy ON uy.id = pr.b), gone AS (SELECT DISTINCT CASE WHEN weak THEN wk.a ELSE wk.b END AS id FROM wk), md AS (SELECT uses AS median FROM (SELECT uses, row_number() OVER (ORDER BY uses) AS r, count(*) OVER () AS n FROM us) WHERE r = n // 2 + 1) SELECT CR.id, CASE WHEN gone.id IS NOT NULL THEN 'RETIRE' WHEN uses = 0 AND fresh IN ('Stale', 'Abandoned') THEN 'RETIRE' WHEN craft <= 3 AND fresh = 'Abandoned' THEN 'RETIRE' WHEN craft >= 6 AND uses > 0 AND fresh IN ('Fresh', 'Aging') THEN 'ENDORSE' WHEN craft <= 4 AND uses >= greatest(median, 1) THEN 'FIX' WHEN len(flags) > 0 THEN 'FIX' ELSE 'KEEP' END AS verdict FROM CR JOIN us ON us.id = CR.id CROSS JOIN md LEFT JOIN gone ON gone.id = CR.id")
 def lib_triage_whole(spark, sf):
-    """Verdicts with the sum of all eight criteria, hygiene flags and duplicates; lib_triage has the rules that its SQL gives."""
+    """Verdicts with the sum of all eight criteria, hygiene flags and duplicates."""
     a = _audited(spark, sf)
     sets = a.select("id", X.token_set(F.concat_ws(" ", "name", "description", "systemPrompt"), None).alias("tokens")).where(F.size("tokens") > 0)
     ranked = a.select("id", "craft", F.col("numberOfUses").alias("uses"), F.col("id").alias("pos"))
@@ -606,14 +572,8 @@ def txt_title(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.title_of(F.col("text"), F.left("text", F.lit(20))).alias("title"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
-def txt_slug(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.slug(F.left("text", F.lit(40))).alias("slug"))
-
-
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def txt_slug_whole(spark, sf):
-    """The slug of the whole text; txt_slug has that of its first 40 characters, as its SQL does."""
     return table(spark, sf, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 

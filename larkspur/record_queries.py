@@ -154,17 +154,31 @@ def gra_blocked(spark, sf):
     return links.blocked(_nation_reach(spark, sf)[1], spark.createDataFrame([(7,), (11,)], "id long"))
 
 
-@query("WITH RECURSIVE c AS (SELECT s_suppkey AS id, unnest([s_suppkey * 2, s_suppkey + 1]) AS target FROM supplier WHERE s_suppkey < 40), n AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey < 40), e AS (SELECT target AS src, id AS dst FROM c WHERE target IN (SELECT id FROM n)), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT (SELECT count(*) = 0 FROM r WHERE src = dst) AS acyclic, (SELECT string_agg(DISTINCT CAST(src AS VARCHAR), ',') FROM r WHERE src = dst) AS cyclic, (SELECT count(*) FROM (SELECT DISTINCT id, target FROM c WHERE target NOT IN (SELECT id FROM n))) AS dangling")
+@query("WITH RECURSIVE n AS (SELECT s_suppkey AS id, s_suppkey % 40 AS m FROM supplier), c AS (SELECT id, unnest([CASE WHEN m >= 20 THEN -id WHEN id = (SELECT min(id) FROM n) THEN id ELSE id + greatest(m, 1) END, CASE WHEN m = 39 THEN -id ELSE id + 1 END]) AS target FROM n), e AS (SELECT target AS src, id AS dst FROM c WHERE target IN (SELECT id FROM n)), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT (SELECT count(*) = 0 FROM r WHERE src = dst) AS acyclic, (SELECT string_agg(DISTINCT CAST(src AS VARCHAR), ',') FROM r WHERE src = dst) AS cyclic, (SELECT count(*) FROM (SELECT DISTINCT id, target FROM c WHERE target NOT IN (SELECT id FROM n))) AS dangling")
 def gra_report(spark, sf):
-    """Claims that depend on twice their number and the next one: zero depends on itself."""
-    claims = table(spark, sf, "supplier").where("s_suppkey < 40").select(F.col("s_suppkey").alias("id"), F.array(F.col("s_suppkey") * 2, F.col("s_suppkey") + 1).alias("dependencies"))
+    """Suppliers as claims in chains of forty, with links that skip some and links to none; the first depends on itself."""
+    s, m = F.col("s_suppkey"), F.col("s_suppkey") % 40
+    rows = table(spark, sf, "supplier").select("s_suppkey")
+    least = rows.agg(F.min("s_suppkey").alias("least"))
+    skip = F.when(m >= 20, -s).when(s == F.col("least"), s).otherwise(s + F.greatest(m, F.lit(1)))
+    claims = rows.join(F.broadcast(least)).select(s.alias("id"), F.array(skip, F.when(m == 39, -s).otherwise(s + 1)).alias("dependencies"))  # one row
     return links.graph_report(claims).select("acyclic", F.array_join(F.transform("cyclic", lambda x: x.cast("string")), ",").alias("cyclic"), F.size("dangling").cast("long").alias("dangling"))
 
 
-_TIER = """nt AS (SELECT DISTINCT 'MEM-2024-' || lpad(CAST(doc_id AS VARCHAR), 4, '0') AS id, doc_id, doc_id % 2 = 0 AS stub, CASE WHEN doc_id % 6 = 0 THEN [] WHEN doc_id % 2 = 0 THEN ['Memory/lessons/d' || doc_id || '.md'] WHEN doc_id % 5 = 0 THEN ['Memory/lost/d' || doc_id || '.md'] ELSE [] END AS l3 FROM documents WHERE doc_id < 9000),
-fl AS (SELECT '/Memory/' || CASE WHEN doc_id % 2 = 0 THEN 'lessons/d' || doc_id WHEN doc_id % 3 = 0 THEN 'context/MEM-2024-' || lpad(CAST(doc_id + 1 AS VARCHAR), 4, '0') WHEN doc_id % 11 = 0 THEN 'daily/d' || doc_id ELSE 'notes/d' || doc_id END || '.md' AS path, '# MEM-2024-' || lpad(CAST(doc_id AS VARCHAR), 4, '0') || chr(10) || CASE WHEN doc_id % 7 = 0 THEN '[[MEM-2024-' || lpad(CAST(doc_id + 7 AS VARCHAR), 4, '0') || ']]' ELSE '' END || coalesce(text, '') AS text FROM documents WHERE doc_id < 9000 AND doc_id % 10 <> 4
+def _mem(k: str) -> str:
+    """SQL of the note id with a number; each year has ten thousand."""
+    return f"'MEM-' || lpad(CAST(2000 + ({k}) // 10000 AS VARCHAR), 4, '0') || '-' || lpad(CAST(({k}) % 10000 AS VARCHAR), 4, '0')"
+
+
+def mem(k):
+    """The same as a column."""
+    return F.concat(F.lit("MEM-"), pad(F.floor(k / 10_000) + 2000), F.lit("-"), pad(F.pmod(k, F.lit(10_000))))
+
+
+_TIER = f"""nt AS (SELECT DISTINCT {_mem('doc_id')} AS id, doc_id, doc_id % 2 = 0 AS stub, CASE WHEN doc_id % 6 = 0 THEN [] WHEN doc_id % 2 = 0 THEN ['Memory/lessons/d' || doc_id || '.md'] WHEN doc_id % 5 = 0 THEN ['Memory/lost/d' || doc_id || '.md'] ELSE [] END AS l3 FROM documents),
+fl AS (SELECT '/Memory/' || CASE WHEN doc_id % 2 = 0 THEN 'lessons/d' || doc_id WHEN doc_id % 3 = 0 THEN 'context/' || {_mem('doc_id + 1')} WHEN doc_id % 11 = 0 THEN 'daily/d' || doc_id ELSE 'notes/d' || doc_id END || '.md' AS path, '# ' || {_mem('doc_id')} || chr(10) || CASE WHEN doc_id % 7 = 0 THEN '[[' || {_mem('doc_id + 7')} || ']]' ELSE '' END || coalesce(text, '') AS text FROM documents WHERE doc_id % 10 <> 4
 UNION ALL SELECT '/Memory/INDEX.md', 'see Memory/notes/d1.md'),
-ti AS (SELECT * FROM fl WHERE path <> '/Memory/INDEX.md'), nm AS (SELECT id, unnest(l3) AS named FROM nt), ln AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '\\[\\[(MEM-\\d{4}-\\d{4})\\]\\]', 1)) AS id FROM ti), cx AS (SELECT path, unnest(regexp_extract_all(regexp_extract(path, '[^/]*$'), 'MEM-\\d{4}-\\d{4}')) AS id FROM ti WHERE path LIKE '%/context/%'),
+ti AS (SELECT * FROM fl WHERE path <> '/Memory/INDEX.md'), nm AS (SELECT id, unnest(l3) AS named FROM nt), ln AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '\\[\\[(MEM-\\d{{4}}-\\d{{4}})\\]\\]', 1)) AS id FROM ti), cx AS (SELECT path, unnest(regexp_extract_all(regexp_extract(path, '[^/]*$'), 'MEM-\\d{{4}}-\\d{{4}}')) AS id FROM ti WHERE path LIKE '%/context/%'),
 rd AS (SELECT '/' || named AS path, id AS who FROM nm WHERE '/' || named IN (SELECT path FROM ti) UNION SELECT path, id FROM ln WHERE id IN (SELECT id FROM nt) UNION SELECT path, id FROM cx WHERE id IN (SELECT id FROM nt)),
 fd AS (SELECT 'C1' AS rule, 'FAIL' AS level, id AS subject, NULL AS target FROM nt WHERE stub AND len(l3) = 0 UNION ALL SELECT 'C1', CASE WHEN '/' || named IN (SELECT path FROM ti) THEN 'PASS' ELSE 'FAIL' END, id, named FROM nm
 UNION ALL SELECT 'C2', CASE WHEN id IN (SELECT id FROM nt) THEN 'PASS' ELSE 'FAIL' END, path, id FROM ln UNION ALL SELECT 'C3', CASE WHEN id IN (SELECT id FROM nt) THEN 'PASS' ELSE 'FAIL' END, path, id FROM cx
@@ -174,8 +188,7 @@ UNION ALL SELECT 'C5', 'FAIL', id, named FROM nm JOIN ti ON '/' || named = path
 
 def _tiers(spark, sf):
     """Notes by doc_id, and a file for most of them; some names are lost, some files link or lie in other folders."""
-    d = docs(spark, sf).where("doc_id < 9000")
-    i, mem = F.col("doc_id"), lambda k: F.concat(F.lit("MEM-2024-"), pad(k))
+    d, i = docs(spark, sf), F.col("doc_id")
     none = F.array().cast("array<string>")
     l3 = F.when(i % 6 == 0, none).when(i % 2 == 0, F.array(F.concat(F.lit("Memory/lessons/d"), i, F.lit(".md")))).when(i % 5 == 0, F.array(F.concat(F.lit("Memory/lost/d"), i, F.lit(".md")))).otherwise(none)
     n = d.select(mem(i).alias("id"), (i % 2 == 0).alias("stub"), l3.alias("l3"))
@@ -210,12 +223,12 @@ def gra_own_note(spark, sf):
 # ---- migration
 
 
-@query(f"WITH {_TIER}, src AS (SELECT path AS s, regexp_extract(text, 'MEM-\\d{{4}}-\\d{{4}}') AS own, id FROM ln JOIN ti USING (path) UNION ALL SELECT id, id, 'MEM-2024-' || lpad(CAST(doc_id // 2 AS VARCHAR), 4, '0') FROM nt) SELECT id, list_sort(list(DISTINCT s)) AS sources FROM src WHERE id <> own GROUP BY 1")
+@query(f"WITH {_TIER}, src AS (SELECT path AS s, regexp_extract(text, 'MEM-\\d{{4}}-\\d{{4}}') AS own, id FROM ln JOIN ti USING (path) UNION ALL SELECT id, id, {_mem('doc_id // 2')} FROM nt) SELECT id, list_sort(list(DISTINCT s)) AS sources FROM src WHERE id <> own GROUP BY 1")
 def mig_links(spark, sf):
     """Links of files, and of each note to the one of half its number."""
     n, f = _tiers(spark, sf)
-    half = F.floor(F.right("id", F.lit(4)).cast("int") / 2)
-    body = n.select("id", F.concat(F.lit("x [[MEM-2024-"), pad(half), F.lit("]]")).alias("body"))
+    number = (F.substring("id", 5, 4).cast("long") - 2000) * 10_000 + F.right("id", F.lit(4)).cast("long")
+    body = n.select("id", F.concat(F.lit("x [["), mem(F.floor(number / 2)), F.lit("]]")).alias("body"))
     return migration.incoming_links(body, links.archival(f))
 
 
@@ -380,10 +393,10 @@ def chg_blobs(spark, sf):
     return b.agg(F.count("*").alias("blobs"), F.count_distinct(F.left("sha256", F.lit(2))).alias("prefixes"))
 
 
-@query("WITH f AS (SELECT user_id AS run, CASE WHEN max(CASE WHEN event_type = 'error' THEN 2 WHEN event_type = 'click' THEN 1 ELSE 0 END) = 2 THEN 'RED' WHEN max(CASE WHEN event_type = 'error' THEN 2 WHEN event_type = 'click' THEN 1 ELSE 0 END) = 1 THEN 'AMBER' ELSE 'GREEN' END AS v FROM events WHERE user_id = 8 GROUP BY 1) SELECT v AS verdict FROM f")
+@query("SELECT ['GREEN', 'AMBER', 'RED'][max(CASE WHEN event_type = 'error' THEN 2 WHEN event_type = 'click' THEN 1 ELSE 0 END) + 1] AS verdict FROM events")
 def chg_worst(spark, sf):
-    """A user's events as findings."""
-    e = table(spark, sf, "events").where("user_id = 8")
+    """All events as findings."""
+    e = table(spark, sf, "events")
     return changes.worst(e.select(F.when(F.col("event_type") == "error", "RED").when(F.col("event_type") == "click", "AMBER").otherwise("GREEN").alias("state")))
 
 
