@@ -72,10 +72,12 @@ def levels(nodes: DataFrame, reach: DataFrame) -> DataFrame:
 
 def graph_report(claims: DataFrame) -> DataFrame:
     """One row of (id, dependencies): acyclic, cyclic ids, dangling (id, dependency), duplicate ids, and whether all is well."""
+    from larkspur.operators.graphs import topology
+
     deps = claims.select("id", F.explode("dependencies").alias("target"))
     loose = dangling(deps, claims).distinct()
     edges = deps.join(claims.select(F.col("id").alias("target")).distinct(), "target", "left_semi").select(F.col("target").alias("src"), F.col("id").alias("dst"))
-    rings = cyclic(closure(edges))
+    rings = topology(claims, edges).where("ring is not null")
     twice = claims.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
     parts = [rings.agg(F.array_sort(F.collect_set("id")).alias("cyclic")), loose.agg(F.array_sort(F.collect_set(F.struct("id", "target"))).alias("dangling")), twice.agg(F.array_sort(F.collect_set("id")).alias("duplicates"))]
     out = parts[0].join(F.broadcast(parts[1])).join(F.broadcast(parts[2]))  # one row each, findings of a faulty graph

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import scores as S
 from larkspur.functions import text as X
-from larkspur.operators import changes, digest, handoffs, health, layout, library, links, migration, notes, order, profile, vectors, verify
+from larkspur.operators import changes, digest, graphs, handoffs, health, layout, library, links, migration, notes, order, profile, vectors, verify
 from larkspur.queries import AXES_SQL, DAY, LINES, NOTE, PROMPT, SQL, _agents, _notes, _vectors, query, table
 from larkspur.streaming import dispatch
 
@@ -137,21 +137,22 @@ def vec_unit(spark, sf):
 _EDGES = "e AS (SELECT n_nationkey AS src, n_nationkey + step AS dst FROM nation, (VALUES (3), (5)) s(step) WHERE n_nationkey + step IN (SELECT n_nationkey FROM nation)), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)"
 
 
-def _nation_reach(spark, sf):
+def _nation_edges(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
     e = n.select(F.col("id").alias("src"), F.explode(F.array(F.col("id") + 3, F.col("id") + 5)).alias("dst"))
-    return n, links.closure(e.join(n.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    return n, e.join(n.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
 @query(f"WITH RECURSIVE {_EDGES} SELECT CAST(n_nationkey AS BIGINT) AS id, count(DISTINCT src) AS ancestors FROM nation LEFT JOIN r ON dst = n_nationkey GROUP BY 1")
 def gra_levels(spark, sf):
     """Nations that lead to those 3 and 5 numbers on."""
-    return links.levels(*_nation_reach(spark, sf))
+    n, e = _nation_edges(spark, sf)
+    return links.levels(n, links.closure(e))
 
 
 @query(f"WITH RECURSIVE {_EDGES} SELECT DISTINCT CAST(dst AS BIGINT) AS id FROM r WHERE src IN (7, 11) AND dst NOT IN (7, 11)")
 def gra_blocked(spark, sf):
-    return links.blocked(_nation_reach(spark, sf)[1], spark.createDataFrame([(7,), (11,)], "id long"))
+    return graphs.blocked_by(_nation_edges(spark, sf)[1], spark.createDataFrame([(7,), (11,)], "id long"))
 
 
 @query("WITH RECURSIVE n AS (SELECT s_suppkey AS id, s_suppkey % 40 AS m FROM supplier), c AS (SELECT id, unnest([CASE WHEN m >= 20 THEN -id WHEN id = (SELECT min(id) FROM n) THEN id ELSE id + greatest(m, 1) END, CASE WHEN m = 39 THEN -id ELSE id + 1 END]) AS target FROM n), e AS (SELECT target AS src, id AS dst FROM c WHERE target IN (SELECT id FROM n)), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT (SELECT count(*) = 0 FROM r WHERE src = dst) AS acyclic, (SELECT string_agg(DISTINCT CAST(src AS VARCHAR), ',') FROM r WHERE src = dst) AS cyclic, (SELECT count(*) FROM (SELECT DISTINCT id, target FROM c WHERE target NOT IN (SELECT id FROM n))) AS dangling")
@@ -659,3 +660,30 @@ def hand_validate(spark, sf):
 @query(f"SELECT c_custkey AS path, CASE WHEN k = 18 THEN -1 ELSE date_diff('day', DATE '2024-01-01', {DAY}) END AS age_days, CASE k WHEN 5 THEN 'EXPIRED' WHEN 6 THEN 'EXPIRED' WHEN 2 THEN 'DRAFT' WHEN 3 THEN 'DONE' WHEN 18 THEN '?' ELSE 'REVIEWED' END AS state FROM (SELECT c_custkey, c_custkey % {len(_DEFECTS)} AS k FROM customer)")
 def hand_inventory(spark, sf):
     return handoffs.inventory(_snapshots(spark, sf), F.expr(DAY)).select("path", F.coalesce("age_days", F.lit(-1)).alias("age_days"), "state")
+
+
+# ---- graphs without closure
+
+_CLAIMS = "n AS (SELECT s_suppkey AS id, s_suppkey % 40 AS m FROM supplier), c AS (SELECT id, unnest([CASE WHEN m >= 20 THEN -id WHEN id = (SELECT min(id) FROM n) OR m = 13 THEN id - m % 2 * 2 ELSE id + greatest(m, 1) END, CASE WHEN m = 39 THEN -id ELSE id + 1 END]) AS target FROM n), e AS (SELECT DISTINCT target AS src, id AS dst FROM c WHERE target IN (SELECT id FROM n)), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), cy AS (SELECT a.src AS id, min(a.dst) AS ring FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)"
+
+
+def _claims(spark, sf):
+    """Suppliers as claims in chains of forty with links that skip some, links to none, and links that close cycles."""
+    s, m = F.col("s_suppkey"), F.col("s_suppkey") % 40
+    rows = table(spark, sf, "supplier").select("s_suppkey")
+    least = rows.agg(F.min("s_suppkey").alias("least"))
+    skip = F.when(m >= 20, -s).when((s == F.col("least")) | (m == 13), s - m % 2 * 2).otherwise(s + F.greatest(m, F.lit(1)))
+    return rows.join(F.broadcast(least)).select(s.alias("id"), F.array(skip, F.when(m == 39, -s).otherwise(s + 1)).alias("dependencies"))  # one row
+
+
+@query(f"WITH RECURSIVE {_CLAIMS}, st AS (SELECT id FROM cy UNION SELECT dst FROM r WHERE src IN (SELECT id FROM cy)), lv AS (SELECT id, 0 AS level FROM n WHERE id NOT IN (SELECT dst FROM e) UNION SELECT e.dst, lv.level + 1 FROM lv JOIN e ON e.src = lv.id WHERE e.dst NOT IN (SELECT id FROM st)) SELECT CAST(n.id AS BIGINT) AS id, coalesce((SELECT max(level) FROM lv WHERE lv.id = n.id), -1) AS level, coalesce(CAST(ring AS BIGINT), -1) AS ring FROM n LEFT JOIN cy ON cy.id = n.id")
+def gra_topology(spark, sf):
+    """Each claim's level in topological order, and its cycle."""
+    claims = _claims(spark, sf)
+    edges = claims.select(F.explode("dependencies").alias("src"), F.col("id").alias("dst")).join(claims.select(F.col("id").alias("src")), "src", "left_semi")
+    return graphs.topology(claims, edges).select(F.col("id").cast("long").alias("id"), F.coalesce("level", F.lit(-1)).cast("int").alias("level"), F.coalesce(F.col("ring").cast("long"), F.lit(-1)).alias("ring"))
+
+
+@query(f"WITH RECURSIVE {_CLAIMS} SELECT 'cyclic' AS rule, CAST(id AS BIGINT) AS id, CAST(ring AS BIGINT) AS target FROM cy UNION ALL SELECT DISTINCT 'dangling', id, target FROM c WHERE target NOT IN (SELECT id FROM n)")
+def gra_findings(spark, sf):
+    return graphs.graph_findings(_claims(spark, sf)).select("rule", F.col("id").cast("long").alias("id"), F.col("target").cast("long").alias("target"))
