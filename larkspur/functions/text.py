@@ -160,11 +160,29 @@ def secrets(text: Column) -> Column:
 
 
 def glob_to_regex(pattern: str, crosses: bool = True) -> str:
-    """A regular expression for a glob; with ``crosses`` a star also matches slashes."""
+    """A regular expression for a glob with ``*``, ``?``, ``[abc]`` and ``[!abc]``; a bracket that is not closed stands for itself.
+
+    With ``crosses`` a star also matches slashes.  Without, it stays within a folder, and a step
+    ``**`` stands for any number of folders, none included; as the last step for all below.
+    """
     import re
 
-    some = ".*" if crosses else "[^/]*"
-    return "^" + "".join({"*": some, "?": "." if crosses else "[^/]"}.get(c, re.escape(c)) for c in pattern) + "$"
+    def one(token: str) -> str:
+        if token[0] == "[" and len(token) > 1:
+            body = re.sub(r"([\\\[&^])", r"\\\1", token[2 if token[1] == "!" else 1 : -1])
+            return f"[{'^' if token[1] == '!' else ''}{body.replace(']', chr(92) + ']')}]" if crosses else f"(?!/)[{'^' if token[1] == '!' else ''}{body.replace(']', chr(92) + ']')}]"
+        if token[0] == "*":
+            return ".*" if crosses else "[^/]*"
+        if token == "?":
+            return "." if crosses else "[^/]"
+        return re.escape(token)
+
+    plain = lambda part: "".join(one(t) for t in re.findall(r"\*+|\?|\[!?\]?[^\]]*\]|.", part, re.DOTALL))
+    if crosses:
+        return rf"(?s)\A{plain(pattern)}\z"
+    *steps, last = pattern.split("/")
+    folders = "".join("(?:[^/]+/)*" if s == "**" else plain(s) + "/" for s in steps)
+    return rf"(?s)\A{folders}{'.+' if last == '**' else plain(last)}\z"
 
 
 def file_kind(path: Column, text: Column) -> Column:

@@ -55,10 +55,14 @@ def select_scope(listing: DataFrame, required: list[str], include: list[str], ex
     return rows.where(keep & ~immutable(F.col("path"), exclude)).select("path", F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
-def quarantined(history: DataFrame, last: int = 3) -> DataFrame:
-    """Rules of (run_no, rule) that fired in each of the last runs."""
-    runs = history.select("run_no").distinct().orderBy(F.desc("run_no")).limit(last)
-    counted = history.join(F.broadcast(runs), "run_no").groupBy("rule").agg(F.countDistinct("run_no").alias("n"))  # at most ``last`` rows
+def quarantined(history: DataFrame, last: int = 3, runs: DataFrame | None = None) -> DataFrame:
+    """Rules of (run_no, rule) that fired in each of the last runs; none while there are fewer runs.
+
+    ``runs`` (run_no) tells all runs, those in which nothing fired too; without it they are
+    those of history, where a row without a rule stands for such a run.
+    """
+    runs = (history if runs is None else runs).select("run_no").distinct().orderBy(F.desc("run_no")).limit(last)
+    counted = history.where("rule is not null").join(F.broadcast(runs), "run_no").groupBy("rule").agg(F.countDistinct("run_no").alias("n"))  # at most ``last`` rows
     return counted.where(F.col("n") == last).select("rule")
 
 

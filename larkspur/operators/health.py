@@ -13,13 +13,19 @@ FLOOR = [
     "autonomy/config/invariants.json", "autonomy/config/regression.json", "autonomy/config/evolution.json", "autonomy/state/probation.json",
     "autonomy/state/circuit-breaker.json", "autonomy/snapshots/*", "autonomy/snapshots/**", "Memory/_archive/*", "Memory/_archive/**",
 ]
+# Paths on which no repair may delete.
+HEAL_FLOOR = [
+    "SOUL.md", "IDENTITY.md", "scripts/self_heal.py", "scripts/snapshot.py", "scripts/probation.py", "scripts/tick.py", "scripts/evolution.py", "scripts/test_*.py",
+    "autonomy/config/invariants.json", "autonomy/config/regression.json", "autonomy/config/evolution.json", "autonomy/state/probation.json",
+    "autonomy/snapshots/*", "autonomy/snapshots/**",
+]
 # Caps of the first tier, and the share of them from which it is under pressure.
 BYTE_CAP, LINE_CAP, NOTE_CAP, WARN = 12288, 200, 12, 0.85
 
 
-def immutable_patterns(configured: list[str]) -> list[str]:
-    """The configured patterns and the floor, which they cannot shrink."""
-    return sorted({*FLOOR, *configured})
+def immutable_patterns(configured: list[str], floor: list[str] = FLOOR) -> list[str]:
+    """The configured patterns and the floor, which they cannot shrink: FLOOR for proposals, HEAL_FLOOR for repairs."""
+    return sorted({*floor, *configured})
 
 
 def collisions(paths: DataFrame) -> DataFrame:
@@ -61,8 +67,11 @@ def heal_checks(rules: DataFrame, files: DataFrame, now: Column) -> DataFrame:
     """
     exact = rules.where("check in ('file_exists', 'max_line_count')").join(files, F.col("pattern") == F.col("path"), "left")
     found = exact.where(F.when(F.col("check") == "file_exists", F.col("path").isNull()).otherwise(F.col("lines") > F.col("arg"))).select("id", F.col("pattern").alias("path"))
-    # rules are a list that people write, so each file meets each glob
-    globbed = files.join(F.broadcast(rules.where("check in ('files_older_than', 'glob_nonempty')").limit(10_000)), F.expr("path rlike regex"))
+    # a file meets the globs whose fixed folder it lies in, by an equi-join on its folders
+    globs = rules.where("check in ('files_older_than', 'glob_nonempty')").withColumn("folder", F.regexp_extract("pattern", r"^((?:[^/*?\[]+/)*)", 1))
+    steps = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda n: F.array_join(F.concat(F.slice(steps, 1, n), F.when(n > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/"))
+    globbed = files.withColumn("folder", F.explode(folders)).join(globs, "folder").where(F.expr("path rlike regex"))
     old = F.unix_timestamp("modified") < F.unix_timestamp(now) - F.col("arg")
     return found.unionByName(globbed.where((F.col("check") == "glob_nonempty") | old).select("id", "path"))
 

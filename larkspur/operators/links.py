@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import lines_of
@@ -20,19 +20,27 @@ def orphans(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(links.select(F.col("target").alias("id")), "id", "left_anti")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows without their lineage, in the session's checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share.
 
     Where none is set, a session in one process (as in tests) gets a temporary one; on a
     cluster this is an error, as executors do not share local folders.
     """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="larkspur-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows without their lineage, in the session's checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="larkspur-")
+        folder = checkpoint_folder(df.sparkSession)
         context.setCheckpointDir(folder)
     return df.checkpoint()
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import scores as S
 from larkspur.functions import text as X
-from larkspur.operators import changes, digest, graphs, handoffs, health, layout, library, links, migration, notes, order, profile, vectors, verify
+from larkspur.operators import changes, digest, evolution, graphs, handoffs, health, layout, library, links, migration, notes, order, profile, vectors, verify
 from larkspur.queries import AXES_SQL, DAY, LINES, NOTE, PROMPT, SQL, _agents, _notes, _vectors, query, table
-from larkspur.streaming import dispatch
+from larkspur.streaming import dispatch, stateful
 
 
 def docs(spark, sf):
@@ -687,3 +687,74 @@ def gra_topology(spark, sf):
 @query(f"WITH RECURSIVE {_CLAIMS} SELECT 'cyclic' AS rule, CAST(id AS BIGINT) AS id, CAST(ring AS BIGINT) AS target FROM cy UNION ALL SELECT DISTINCT 'dangling', id, target FROM c WHERE target NOT IN (SELECT id FROM n)")
 def gra_findings(spark, sf):
     return graphs.graph_findings(_claims(spark, sf)).select("rule", F.col("id").cast("long").alias("id"), F.col("target").cast("long").alias("target"))
+
+
+# ---- gated changes and state machines
+
+
+def _store(spark):
+    import uuid
+
+    from larkspur.sources.versioned import Store
+
+    return Store(spark, f"{links.checkpoint_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+
+
+@query("SELECT 'w/' || c_custkey || '.md' AS path, CASE WHEN c_custkey = 3 THEN 'new 3' ELSE c_name END AS content FROM customer")
+def evo_apply(spark, sf):
+    """Customers as files, nations as proposals for one each: the first names a stale hash, the second fails its tests, the third stays."""
+    c, k = table(spark, sf, "customer"), F.col("n_nationkey")
+    files = c.select(F.concat(F.lit("w/"), "c_custkey", F.lit(".md")).alias("path"), F.col("c_name").alias("content"))
+    aim = table(spark, sf, "nation").join(c.select((F.col("c_custkey") - 1).alias("n_nationkey"), "c_name"), "n_nationkey")
+    asked = aim.select(F.lpad(k.cast("string"), 3, "0").alias("name"), F.concat(F.lit("c"), k).alias("change_id"), F.lit("r").alias("reason"), F.lit(0).cast("long").alias("seq"), F.lit("write").alias("op"), F.concat(F.lit("w/"), k + 1, F.lit(".md")).alias("path"), F.when(k % 3 == 0, "stale").otherwise(F.sha2(F.col("c_name").cast("binary"), 256)).alias("expected_sha256"), F.concat(F.lit("new "), k + 1).alias("content"), F.lit("pending").alias("state"), F.lit(None).cast("string").alias("why"))
+    store = _store(spark)
+    evolution.begin_store(store, files, asked)
+    evolution.apply_one(store, ["w/*"], [])
+    evolution.apply_one(store, ["w/*"], [])
+    evolution.evaluate(store, 1, ["t"])
+    evolution.close_circuit(store)
+    evolution.apply_one(store, ["w/*"], [])
+    evolution.evaluate(store, 1, [])
+    return store.table("files")
+
+
+@query("WITH f AS (SELECT 'logs/' || o_orderkey % 10 || CASE WHEN o_orderkey % 3 = 0 THEN '/deep' ELSE '' END || '/' || o_orderkey || CASE WHEN o_orderkey % 4 = 0 THEN '.md' ELSE '.log' END AS path, o_orderstatus AS content, o_orderdate AS m FROM orders) SELECT path, content FROM f WHERE NOT (path LIKE '%.log' AND CAST(m AS TIMESTAMP) < TIMESTAMP '1996-01-01') UNION ALL SELECT 'core.md', c_name FROM customer WHERE c_custkey = (SELECT max(c_custkey) FROM customer)")
+def chg_repair(spark, sf):
+    """Orders as files, old logs among them deleted, and a lost file put back from the newest of the customers' snapshots."""
+    k, o = F.col("o_orderkey"), table(spark, sf, "orders")
+    path = F.concat(F.lit("logs/"), k % 10, F.when(k % 3 == 0, "/deep").otherwise(""), F.lit("/"), k, F.when(k % 4 == 0, ".md").otherwise(".log"))
+    files = o.select(path.alias("path"), F.col("o_orderstatus").alias("content"), F.col("o_orderdate").cast("timestamp").alias("modified"))
+    snapshots = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("snapshot_id"), F.lit("core.md").alias("path"), F.col("c_name").alias("content"))
+    store = _store(spark)
+    store.commit(store.current(), {"files": files, "snapshots": snapshots, "runs": spark.createDataFrame([], "run_no long, rule string")})
+    now = F.lit("1998-01-01").cast("timestamp")
+    made = health.glob_rules([("old", "files_older_than", "logs/**/*.log", 731 * 86_400), ("core", "file_exists", "core.md", 0), ("keep", "glob_nonempty", "logs/1/*.md", 0), ("tell", "glob_nonempty", "logs/*/*", 0)])
+    repairs = {"old": "delete_matching", "core": "restore_from_snapshot", "keep": "delete_matching", "tell": "report_only"}
+    rules = spark.createDataFrame([(*r, repairs[r[0]]) for r in made], "id string, check string, pattern string, regex string, arg double, repair string")
+    evolution.repair(store, rules, now, health.immutable_patterns(["logs/1/*.md"], health.HEAL_FLOOR))
+    return store.table("files").select("path", "content")
+
+
+_LEASE = SQL["que_lease"].rsplit("SELECT resource, moment", 1)[0]
+
+
+@query(f"{_LEASE} SELECT resource, moment AS \"at\", owner, CASE WHEN granted THEN 'granted' ELSE 'refused' END AS event FROM f UNION ALL SELECT resource, until, owner, 'released' FROM (SELECT *, lead(moment) OVER (PARTITION BY resource ORDER BY k) AS after FROM f WHERE granted) WHERE after IS NULL OR after >= until")
+def que_lease_events(spark, sf):
+    e = table(spark, sf, "events").select(F.pmod("user_id", F.lit(500)).cast("string").alias("resource"), F.col("event_id").cast("double").alias("at"), F.col("event_type").alias("owner"), F.lit(300.0).alias("ttl"))
+    return stateful.lease_events(e)
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id % 500 AS base, event_id AS seq, CASE WHEN event_id % 4 < 2 THEN 'begin' WHEN event_id % 8 = 3 THEN 'close' ELSE 'evaluate' END AS kind, 'c' || event_id AS change, event_id % 3 AS executed, CASE WHEN value > 200 THEN event_type END AS failed, row_number() OVER (PARTITION BY user_id % 500 ORDER BY event_id) AS k FROM events),
+f AS (SELECT DISTINCT base, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS active, CAST(NULL AS VARCHAR) AS circuit, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS change_id, CAST(NULL AS VARCHAR) AS reason FROM o UNION ALL SELECT o.base, o.k, o.seq,
+CASE kind WHEN 'begin' THEN CASE WHEN f.circuit IS NOT NULL THEN f.active ELSE coalesce(f.active, change) END WHEN 'close' THEN f.active END,
+CASE WHEN kind = 'close' THEN NULL WHEN kind = 'evaluate' AND f.active IS NOT NULL AND (executed = 0 OR failed IS NOT NULL) THEN 'probation_failed:' || f.active || ':' || coalesce(failed, 'all_skipped') ELSE f.circuit END,
+CASE kind WHEN 'begin' THEN CASE WHEN f.circuit IS NULL AND f.active IS NULL THEN 'probation_started' ELSE 'blocked' END WHEN 'close' THEN 'circuit_closed' ELSE CASE WHEN f.active IS NULL THEN 'no_active_probation' WHEN executed > 0 AND failed IS NULL THEN 'promoted' ELSE 'reverted' END END,
+CASE kind WHEN 'begin' THEN change WHEN 'evaluate' THEN f.active END,
+CASE kind WHEN 'begin' THEN CASE WHEN f.circuit IS NOT NULL THEN 'circuit_open' WHEN f.active IS NOT NULL THEN 'active_probation' END WHEN 'close' THEN f.circuit ELSE CASE WHEN f.active IS NOT NULL AND (executed = 0 OR failed IS NOT NULL) THEN 'probation_failed:' || f.active || ':' || coalesce(failed, 'all_skipped') END END
+FROM f JOIN o ON o.base = f.base AND o.k = f.k + 1) SELECT base, seq, status, coalesce(change_id, '') AS change_id, coalesce(reason, '') AS reason FROM f WHERE k > 0""")
+def que_probation_machine(spark, sf):
+    """Users' events as changes that begin, are judged, and circuits that are closed again."""
+    i = F.col("event_id")
+    kind = F.when(i % 4 < 2, "begin").when(i % 8 == 3, "close").otherwise("evaluate")
+    e = table(spark, sf, "events").select(F.pmod("user_id", F.lit(500)).cast("string").alias("base"), i.alias("seq"), kind.alias("kind"), F.concat(F.lit("c"), i).alias("change_id"), (i % 3).alias("executed"), F.when(F.col("value") > 200, F.col("event_type")).alias("failed"))
+    return stateful.probation_batch(e).select(F.col("base").cast("long").alias("base"), "seq", "status", F.coalesce("change_id", F.lit("")).alias("change_id"), F.coalesce("reason", F.lit("")).alias("reason"))
