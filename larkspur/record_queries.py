@@ -310,8 +310,18 @@ def prof_csv(spark, sf):
 @query()
 def json_digest(spark, sf):
     """Events of a user as one JSON list; tested against a plain version."""
-    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value"))), lambda x: x)).alias("text"))
-    return digest.json_digest(e)
+    return digest.json_digest(_event_lists(spark, sf))
+
+
+def _event_lists(spark, sf):
+    return table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value"))), lambda x: x)).alias("text"))
+
+
+@query("WITH u AS (SELECT user_id AS id, event_id, event_type FROM events), n AS (SELECT id, count(*) AS n FROM u GROUP BY 1 HAVING count(*) >= 5), t AS (SELECT DISTINCT id, event_type FROM u) SELECT id, 'event_id' AS field, 'int' AS types, n AS uniq, CASE WHEN n <= 12 THEN (SELECT string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY CAST(event_id AS VARCHAR)) FROM u WHERE u.id = n.id) ELSE (SELECT min(event_id) || '..' || max(event_id) FROM u WHERE u.id = n.id) END AS shown FROM n UNION ALL SELECT id, 'event_type', 'str', (SELECT count(*) FROM t WHERE t.id = n.id), (SELECT string_agg('\"' || event_type || '\"', ',' ORDER BY event_type) FROM t WHERE t.id = n.id) FROM n")
+def json_fields(spark, sf):
+    """The same lists' fields, values apart: types, distinct values, and these or their range."""
+    f = digest.json_fields(_event_lists(spark, sf)).where("field <> 'value'")
+    return f.select("id", "field", "types", F.col("unique").alias("uniq"), F.coalesce(F.array_join("values", ","), F.concat("low", F.lit(".."), "high")).alias("shown"))
 
 
 # ---- agent library

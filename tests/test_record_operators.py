@@ -28,6 +28,81 @@ def test_digest_keeps_what_it_cuts(spark):
     assert {r.ref for r in parts.collect()} == {"J1", "S1"}
 
 
+def plain_digest(value, kept, depth=0):
+    """A digest by its definition: what each value becomes, with the reference of what is cut."""
+
+    def keep(kind, payload):
+        name = f"{kind}{sum(k[0] == kind for k in kept) + 1}"
+        kept[name] = payload
+        return name
+
+    def name_of(x):
+        return {bool: "bool", int: "int", float: "float", str: "str", list: "array", dict: "object", type(None): "null"}[type(x)]
+
+    def profile(values, n):
+        real = [v for v in values if v is not None]
+        out = {"type": "|".join(sorted({name_of(v) for v in real})) or "null"} | ({"nulls": n - len(real)} if n > len(real) else {})
+        if real and not any(isinstance(v, (dict, list)) for v in real):
+            few = sorted({(name_of(v), json.dumps(v)) for v in real})
+            out["unique"] = len(few)
+            if len(few) <= 12:
+                out["values"] = [json.loads(v) for _, v in few]
+            elif {k for k, _ in few} <= {"int", "float"}:
+                out |= {"min": min(real), "max": max(real)}
+            elif {k for k, _ in few} == {"str"}:
+                out |= {"len": f"{min(map(len, real))}..{max(map(len, real))}", "sample": real[0][:60]}
+        return out
+
+    if depth > 12:
+        return "<depth-limit>"
+    if isinstance(value, str):
+        return value if len(value) <= 240 else f"{value[:240]}... <+{len(value) - 240} chars ref={keep('S', value)}>"
+    if isinstance(value, dict):
+        return {k: plain_digest(value[k], kept, depth + 1) for k in sorted(value)}
+    if not isinstance(value, list):
+        return value
+    if len(value) < 5:
+        return [plain_digest(x, kept, depth + 1) for x in value]
+    kinds, ref = sorted({name_of(x) for x in value}), keep("J", json.dumps(value))
+    if set(kinds) & {"array", "object"}:
+        body = {"types": kinds}
+        if kinds == ["object"]:
+            fields = sorted({k for x in value for k in x})
+            body = {"schema": {k: profile([x[k] for x in value if k in x], len(value)) | ({"missing": sum(k not in x for x in value)} if any(k not in x for x in value) else {}) for k in fields}}
+        return {"__crushed": f"array<{'object' if kinds == ['object'] else 'mixed'}>[{len(value)}]", "ref": ref, **body, "samples": [plain_digest(x, kept, depth + 1) for x in value[:2]]}
+    return {"__crushed": f"array<scalar>[{len(value)}]", "ref": ref, "profile": profile(value, len(value)), "samples": value[:2]}
+
+
+def test_digest_by_brute_force(spark):
+    import random
+
+    from larkspur.operators.digest import json_digest, kept_parts, read_back
+
+    rng = random.Random(4)
+
+    def value(depth):
+        kind = rng.choice("snbwlllooo" if depth < 5 else "snbw")
+        if kind == "l":
+            many = rng.choice([0, 2, 5, 9, 30])
+            same = rng.choice([lambda: rng.randrange(40), lambda: rng.choice("abc") * rng.randrange(9), lambda: {"k": rng.randrange(20), rng.choice("xyz"): rng.choice([None, "é\"\\\n", 1.5, True])}, lambda: value(depth + 1)])
+            return [same() for _ in range(many)]
+        if kind == "o":
+            return {k: value(depth + 1) for k in rng.sample("bca é", rng.randrange(4))}
+        return {"s": "text \" é", "n": rng.randrange(99), "b": rng.choice([True, None, 2.5]), "w": "long é " * 60}[kind]
+
+    values = [value(0) for _ in range(60)] + [[], {}, [[]] * 5, [{}] * 6, [None] * 7, {"a": [{"b": [{"c": ["w" * 300] * 6}] * 5}] * 5}]
+    got = {r.id: r for r in json_digest(spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)] + [(-1, None), (-2, "[1"), (-3, "1 2")], "id long, text string")).collect()}
+    for i, v in enumerate(values):
+        kept = {}
+        assert json.loads(got[i].digest) == plain_digest(v, kept)
+        assert {k: json.loads(p) if k[0] == "J" else p for k, p in got[i].kept.items()} == {k: json.loads(p) if k[0] == "J" else p for k, p in kept.items()}
+    assert [tuple(got[i])[1:] for i in (-1, -2, -3)] == [(None, None, {})] * 3
+    parts = kept_parts(spark.createDataFrame([(1, "json", "x", {"J1": "[1]", "S1": "s"})], "id long, kind string, digest string, kept map<string,string>"))
+    asked = spark.createDataFrame([(1, "J1"), (1, "J1"), (2, "S1")], "id long, ref string")
+    assert sorted(map(tuple, read_back(parts, asked).collect())) == [(1, "J1", 2, "[1]"), (2, "S1", 1, None)]
+    assert json_digest(spark.createDataFrame([], "id long, text string")).count() == 0
+
+
 SOURCE = '''import os, sys
 from a.b import c
 
