@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import scores as S
 from larkspur.functions import text as X
+from larkspur.operators.links import checkpointed
 from larkspur.operators import changes, library, links, notes, order, profile, retrieval, vectors, verify
 from larkspur.streaming import dispatch
 
@@ -365,12 +366,17 @@ def _agents(spark, sf):
     return d.select(F.col("doc_id").alias("id"), F.concat(F.lit("Helper v"), F.pmod("doc_id", F.lit(9))).alias("name"), F.col("text").alias("description"), prompt.alias("systemPrompt"), F.pmod("n_chars", F.lit(600)).alias("numberOfUses"), F.pmod("n_chars", F.lit(50)).alias("numberOfFavorites"), F.pmod("doc_id", F.lit(7)).alias("ragDocumentCount"), F.pmod("doc_id", F.lit(500)).cast("int").alias("age"), F.pmod("n_chars", F.lit(5)).alias("upvotes"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("verified"))
 
 
+def _spread(rows):
+    """The rows over all cores, where they come in fewer partitions, as from one small file."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _audited(spark, sf):
     """Agents with their hygiene flags, the rubric's bits a to h and the sum of these."""
-    a = _agents(spark, sf).withColumn("flags", library.hygiene(F.col("name"), F.col("description"), F.col("systemPrompt")))
-    bits = library.craft_bits(F.col("systemPrompt"), F.col("description")) | {"H": library.clean_bit(F.col("flags"))}
-    a = a.select("*", *[bit.alias(key.lower()) for key, bit in bits.items()])
-    return a.withColumn("craft", sum((F.col(key.lower()) for key in bits), F.lit(0)))
+    a = _spread(_agents(spark, sf)).withColumn("flags", library.hygiene(F.col("name"), F.col("description"), F.col("systemPrompt")))
+    a = library.with_craft(a).withColumn("h", library.clean_bit(F.col("flags")))
+    return a.withColumn("craft", sum((F.col(k) for k in "abcdefgh"), F.lit(0)))
 
 
 AGENT = "ag AS (SELECT documents.doc_id AS id, CASE WHEN documents.doc_id % 3 = 0 THEN 1 ELSE 0 END AS p, CASE WHEN documents.doc_id % 4 = 0 THEN 1 ELSE 0 END AS g, n_chars % 600 AS uses, n_chars % 50 AS favs, documents.doc_id % 7 AS rag, documents.doc_id % 500 AS age, n_chars % 5 AS upvotes, coalesce(quality = 1, false) AS verified, CASE WHEN documents.doc_id % 500 <= 90 THEN 'Fresh' WHEN documents.doc_id % 500 <= 180 THEN 'Aging' WHEN documents.doc_id % 500 <= 365 THEN 'Stale' ELSE 'Abandoned' END AS fresh FROM documents LEFT JOIN labels USING (doc_id))"
@@ -430,8 +436,8 @@ _USES = AGENT.replace("ag AS (", "us AS (")
 @query(f"WITH {AUDITED}, {_USES}, {_SETS}, wk AS (SELECT (x.craft, ux.uses, pr.a) < (y.craft, uy.uses, pr.b) AS weak, pr.a, pr.b FROM pr JOIN CR x ON x.id = pr.a JOIN CR y ON y.id = pr.b JOIN us ux ON ux.id = pr.a JOIN us uy ON uy.id = pr.b), gone AS (SELECT DISTINCT CASE WHEN weak THEN wk.a ELSE wk.b END AS id FROM wk), md AS (SELECT uses AS median FROM (SELECT uses, row_number() OVER (ORDER BY uses) AS r, count(*) OVER () AS n FROM us) WHERE r = n // 2 + 1) SELECT CR.id, CASE WHEN gone.id IS NOT NULL THEN 'RETIRE' WHEN uses = 0 AND fresh IN ('Stale', 'Abandoned') THEN 'RETIRE' WHEN craft <= 3 AND fresh = 'Abandoned' THEN 'RETIRE' WHEN craft >= 6 AND uses > 0 AND fresh IN ('Fresh', 'Aging') THEN 'ENDORSE' WHEN craft <= 4 AND uses >= greatest(median, 1) THEN 'FIX' WHEN len(flags) > 0 THEN 'FIX' ELSE 'KEEP' END AS verdict FROM CR JOIN us ON us.id = CR.id CROSS JOIN md LEFT JOIN gone ON gone.id = CR.id")
 def lib_triage_whole(spark, sf):
     """Verdicts with the sum of all eight criteria, hygiene flags and duplicates."""
-    a = _audited(spark, sf)
-    sets = a.select("id", X.token_set(F.concat_ws(" ", "name", "description", "systemPrompt"), None).alias("tokens")).where(F.size("tokens") > 0)
+    a = checkpointed(_audited(spark, sf).select("id", "craft", "numberOfUses", "age", "flags"))
+    sets = _spread(_agents(spark, sf)).select("id", X.token_set(F.concat_ws(" ", "name", "description", "systemPrompt"), None).alias("tokens")).where(F.size("tokens") > 0)
     ranked = a.select("id", "craft", F.col("numberOfUses").alias("uses"), F.col("id").alias("pos"))
     gone = library.resolve_duplicates(library.near_pairs(sets), ranked).select(F.col("retire").alias("id"), F.col("keep").cast("string").alias("dup_of"))
     middle = library.upper_median(a.select("numberOfUses"), "numberOfUses")
