@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import scores as S
 from larkspur.functions import text as X
-from larkspur.operators import changes, digest, evolution, graphs, handoffs, health, layout, library, links, migration, notes, order, profile, vectors, verify
+from larkspur.operators import changes, codes, digest, evolution, graphs, handoffs, health, layout, library, links, migration, notes, order, profile, vectors, verify
 from larkspur.queries import AXES_SQL, DAY, LINES, NOTE, PROMPT, SQL, _agents, _notes, _vectors, query, table
 from larkspur.streaming import dispatch, stateful
 
@@ -768,3 +768,25 @@ def que_probation_machine(spark, sf):
     kind = F.when(i % 4 < 2, "begin").when(i % 8 == 3, "close").otherwise("evaluate")
     e = table(spark, sf, "events").select(F.pmod("user_id", F.lit(500)).cast("string").alias("base"), i.alias("seq"), kind.alias("kind"), F.concat(F.lit("c"), i).alias("change_id"), (i % 3).alias("executed"), F.when(F.col("value") > 200, F.col("event_type")).alias("failed"))
     return stateful.probation_batch(e).select(F.col("base").cast("long").alias("base"), "seq", "status", F.coalesce("change_id", F.lit("")).alias("change_id"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+_CODES = "s AS (SELECT a.vec_id AS query, b.vec_id AS id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CASE WHEN (z[1] >= 0) <> (z[2] >= 0) THEN 1 ELSE 0 END)) AS distance, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), nr AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, id) <= {k})"
+
+
+def _asked(spark, sf):
+    v = _vectors(spark, sf)
+    return v, v.where("id % 50 = 0").select(F.col("id").alias("query"), "v")
+
+
+@query(f"WITH {_CODES.format(k=10)} SELECT query, id, CAST(distance AS BIGINT) AS distance FROM nr")
+def vec_code_index(spark, sf):
+    """The ten nearest sign codes of every fiftieth vector, by lookups."""
+    v, q = _asked(spark, sf)
+    return codes.nearest_codes(*codes.code_index(v, 64), q.select("query", codes.code_of(F.col("v"), 64).alias("code")), 10, 64)
+
+
+@query(f"WITH {_CODES.format(k=50)} SELECT query, id, round(cosine, 6) AS cosine FROM nr QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(cosine, 9) DESC, id) <= 10")
+def vec_prefiltered(spark, sf):
+    """The ten best cosines among the fifty nearest codes of every fiftieth vector."""
+    v, q = _asked(spark, sf)
+    return codes.indexed_search(v, q, 10, 64).select("query", "id", F.round("cosine", 6).alias("cosine"))
