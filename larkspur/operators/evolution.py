@@ -140,7 +140,8 @@ def repair(store: Store, rules: DataFrame, now: Column, protected: list[str], mo
         told = checkpointed(hit.join(refused, "id", "left").join(held, "id", "left").withColumn("status", status).select("id", "path", "repair", "status"))
         work = told.where("status = 'repaired'")
         gone = work.where("repair = 'delete_matching'").select("path").distinct().join(files.select("path"), "path", "left_semi")
-        newest = snapshots.join(work.where("repair = 'restore_from_snapshot'").select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.max_by("content", "snapshot_id").alias("content"))
+        newest = snapshots.groupBy("path").agg(F.max_by("content", "snapshot_id").alias("content"))  # before the join, so a path with many snapshots meets it once
+        newest = newest.join(work.where("repair = 'restore_from_snapshot'").select("path").distinct(), "path", "left_semi")
         put = newest.join(files.select("path", F.col("content").alias("is")), "path", "left").where(~F.col("content").eqNullSafe(F.col("is"))).select("path", "content")
         moved = checkpointed(gone.withColumn("content", F.lit(None).cast("string")).unionByName(put))
         number = (runs.agg(F.max("run_no")).first()[0] or 0) + 1
