@@ -44,7 +44,7 @@ def op3_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.source_mix import mix_sources
 
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -457,6 +457,78 @@ def test_source_mix_meets_targets(spark):
         assert sum(r.taken for r in by["a"]) == 120 and sum(r.taken for r in by["b"]) == 1200
 
 
+MIXED = {"a": [40], "b": [400, 33], "c": [700, 0, 641, 2], "d": [9000, 1, 8000], None: [1], "e": [64], "f": [65, 63]}
+
+
+def mixed_docs(spark):
+    rows = [(10 * k + i, " ".join(["w"] * n), s) for k, (s, ns) in enumerate(MIXED.items()) for i, n in enumerate(ns)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+@pytest.mark.parametrize("block", [1, 64, 500])
+def test_source_mix_follows_its_schedule(spark, block):
+    """Slot by slot: the point's source, its next block, the words of each document in it."""
+    from pyspark.sql import functions as F
+
+    from larkspur.llm.source_mix import ONE, PHI, mix_sources
+
+    docs = mixed_docs(spark)
+    got = by_id(mix_sources(docs, block=block))
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(0), F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))).alias("h")).collect()}
+    sources = sorted(MIXED, key=lambda s: (s is None, s or ""))
+    runs, goal, turns = {}, {}, {}
+    for s in sources:
+        mine = sorted((i for i, r in got.items() if r.source == s), key=order.get)
+        runs[s] = [(i, w) for i in mine for w in range(got[i].size)]
+        goal[s] = round(got[mine[0]].target)
+        blocks = -(-len(runs[s]) // block)
+        turns[s] = goal[s] // len(runs[s]) * blocks + -(-(goal[s] % len(runs[s])) // block)
+    n = sum(turns.values())
+    ends = np.cumsum([turns[s] for s in sources]).tolist()
+    took, used, slots, given = Counter(), Counter(), {}, Counter()
+    for slot in range(10 * n):
+        s = next(s for s, e in zip(sources, ends) if slot * PHI % ONE < e * ONE // n)
+        if used[s] < turns[s]:
+            at = used[s] % -(-len(runs[s]) // block) * block
+            for i, w in runs[s][at : at + block][: goal[s] - given[s]]:
+                took[i, w] += 1
+                given[s] += 1
+                slots.setdefault(i, set()).add(slot)
+            used[s] += 1
+        if slot < n:  # every beginning of the mix is near the targets
+            assert all(abs(used[s] - (slot + 1) * turns[s] / n) < 4 for s in sources)
+    assert given == goal and max(max(x) for x in slots.values()) <= 17 * n // 8
+    for i, r in got.items():
+        assert r.taken == sum(took[i, w] for w in range(r.size))
+        assert (r.first_slot, r.n_slots) == (min(slots.get(i, {None})), len(slots.get(i, ())))
+        assert {w: p.times for p in r.pieces or [] for w in range(p["first"], p["first"] + p["words"])} == {w: took[i, w] for w in range(r.size) if took[i, w]}
+        assert all(p.times == len(p.slots) and p.slots == sorted(p.slots) for p in r.pieces or [])
+        assert {x for p in r.pieces or [] for x in p.slots} == slots.get(i, set())
+
+
+@pytest.mark.parametrize("points", ["id", "one", "half"])
+def test_source_mix_needs_its_points(spark, monkeypatch, points):
+    """With other points than the schedule's the mix misses its targets."""
+    from pyspark.sql import functions as F
+
+    from larkspur.llm import source_mix
+
+    monkeypatch.setattr(source_mix, "point", {"id": lambda slot: slot, "one": lambda slot: slot * 0, "half": lambda slot: F.pmod(slot, F.lit(2)) * (source_mix.ONE // 2)}[points])
+    by = {}
+    for r in source_mix.mix_sources(mixed_docs(spark)).collect():
+        by.setdefault(r.source, []).append(r)
+    assert any(abs(sum(r.taken for r in g) - g[0].target) > 0.2 * g[0].target for g in by.values())
+
+
+def test_points_are_exact(spark):
+    from pyspark.sql import functions as F
+
+    from larkspur.llm.source_mix import ONE, PHI, point
+
+    ids = [0, 1, 2, 1 << 20, (1 << 31) + 12345, (1 << 40) - 1]
+    assert [r.p for r in spark.createDataFrame([(i,) for i in ids], "id long").select(point(F.col("id")).alias("p")).collect()] == [i * PHI % ONE for i in ids]
+
+
 def thue_morse(a: str, b: str, n: int) -> str:
     return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
 
