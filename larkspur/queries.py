@@ -439,7 +439,7 @@ def lib_triage_whole(spark, sf):
     a = checkpointed(_audited(spark, sf).select("id", "craft", "numberOfUses", "age", "flags"))
     sets = _spread(_agents(spark, sf)).select("id", X.token_set(F.concat_ws(" ", "name", "description", "systemPrompt"), None).alias("tokens")).where(F.size("tokens") > 0)
     ranked = a.select("id", "craft", F.col("numberOfUses").alias("uses"), F.col("id").alias("pos"))
-    gone = library.resolve_duplicates(library.near_pairs(sets), ranked).select(F.col("retire").alias("id"), F.col("keep").cast("string").alias("dup_of"))
+    gone = library.superseded(sets, ranked).select("id", F.col("keep").cast("string").alias("dup_of"))
     middle = library.upper_median(a.select("numberOfUses"), "numberOfUses")
     a = a.join(gone, "id", "left").join(F.broadcast(middle))  # one row
     return a.select("id", library.triage(F.col("craft"), F.col("numberOfUses"), S.freshness(F.col("age")), F.col("dup_of"), F.col("flags"), F.col("median")).alias("verdict"))
