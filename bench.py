@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from larkspur import queries
 
-NAMES = ["ret_bm25_top20", "ret_fused_top10", "vec_two_pass", "dup_exact_hash", "note_utility_action", "gra_edges", "prof_columns", "lib_rubric_whole", "ver_conformal", "chg_diff_plan", "que_retry_circuit", "txt_head_tail"]
+NAMES = ["ret_bm25_top20", "ret_fused_top10", "vec_two_pass", "dup_exact_hash", "note_utility_action", "gra_edges", "prof_columns", "lib_rubric_whole", "lib_triage_whole", "ver_conformal", "chg_diff_plan", "que_retry_circuit", "txt_head_tail"]
 
 
 def main() -> None:
