@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +76,7 @@ def score_notes(notes: DataFrame, today: Column) -> DataFrame:
     """(id, recency, utility, score, action) from id, last_access, created, freq, importance, stub; best first, ties by pos or id."""
     r = access_recency(F.col("last_access"), today)
     u = utility(F.col("freq"), F.col("importance"), F.greatest(F.lit(0), F.datediff(today, F.col("last_access"))))
-    out = notes.withColumn("recency", r).withColumn("utility", u).withColumn("score", 0.25 * F.col("recency") + 0.35 * F.col("importance") + 0.40 * 0.5)
+    out = notes.withColumn("recency", r).withColumn("utility", u).withColumn("score", 0.25 * F.col("recency") + F.lit(Decimal("0.35")) * F.col("importance") + 0.40 * 0.5)
     out = out.withColumn("action", note_action(F.col("stub"), F.col("utility"), F.col("importance")))
     return out.orderBy(F.desc(F.round("score", 12)), "pos" if "pos" in notes.columns else "id")
 
