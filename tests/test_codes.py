@@ -49,3 +49,24 @@ def test_recall_after_rescoring(spark):
     recall = np.mean([len(got[i] & best[i]) / 10 for i in asked])
     print("recall@10", recall)
     assert recall >= 0.9
+
+
+def test_scan_by_blocks_is_exact(spark, monkeypatch):
+    """Codes without clusters in blocks of a few, many at one distance: a tile gives out k rows a query."""
+    from larkspur.operators import codes as C
+
+    monkeypatch.setattr(C, "BLOCK", 90)
+    monkeypatch.setattr(C, "ASKED", 7)
+    rng = np.random.default_rng(3)
+    code = rng.integers(-(2**63), 2**63 - 1, (400, 2))
+    code[50:90] = code[50]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(code.tolist())], "id long, code array<long>")
+    asked = spark.createDataFrame([(i, code[i].tolist()) for i in range(0, 400, 17)], "query long, code array<long>")
+    got = {}
+    for r in C.scanned(df, asked, 5).collect():
+        got.setdefault(r["query"], []).append((r.distance, tuple(r.code)))
+    first = {tuple(c): i for i, c in reversed(list(enumerate(code.tolist())))}
+    apart = lambda a, b: sum(int(x & (2**64 - 1)).bit_count() for x in (int(p) ^ int(q) for p, q in zip(a, b)))
+    for q in range(0, 400, 17):
+        want = sorted((apart(code[q], c), i, c) for c, i in first.items())[:5]
+        assert sorted(got[q]) == sorted((d, c) for d, _, c in want)
