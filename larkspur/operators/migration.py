@@ -54,11 +54,15 @@ def plan(entities: DataFrame, decisions: DataFrame, links: DataFrame, targets: D
     """
     twice = entities.groupBy("id").agg(F.count("*").alias("copies"))
     hit = links.select("id", F.lit(True).alias("linked"))
-    stub = targets.select("path", F.lit(True).alias("stubbed"))
-    rows = entities.join(twice, "id").join(decisions.withColumn("decided", F.lit(True)), "id", "left").join(hit, "id", "left").join(stub, "path", "left")
+    # stubs name files of the second tier; the notes of the first all lie in one file, so they are spread
+    apart, second = F.xxhash64("id", "pos", "path"), F.col("kind") == "L3"
+    stub = targets.select(F.col("path").alias("file"), F.lit(0).cast("long").alias("salt"), F.lit(True).alias("stubbed"))
+    rows = entities.withColumn("file", F.when(second, F.col("path"))).withColumn("salt", F.when(second, F.lit(0)).otherwise(apart)).join(twice, "id").join(decisions.withColumn("decided", F.lit(True)), "id", "left").join(hit, "id", "left").join(stub, ["file", "salt"], "left").drop("file", "salt")
     target = archive_path(F.col("kind"), F.col("id"), F.col("path"), F.col("title"))
     rows = rows.withColumn("goes", F.col("decided").isNotNull() & (F.col("copies") == 1) & ~F.col("valid") & (F.col("action") == "ARCHIVE")).withColumn("to", F.when(F.col("goes"), target))
-    rows = rows.withColumn("turn", F.when(F.col("goes"), F.row_number().over(Window.partitionBy("to").orderBy("kind", "pos", "path"))))
+    # so are those that go nowhere
+    rows = rows.withColumn("alone", F.when(F.col("to").isNull(), apart))
+    rows = rows.withColumn("turn", F.when(F.col("goes"), F.row_number().over(Window.partitionBy("to", "alone").orderBy("kind", "pos", "path"))))
     held = F.coalesce("linked", F.lit(False)) | ((F.col("kind") == "L3") & F.coalesce("stubbed", F.lit(False)))
     out = lambda status, delta, detail: F.struct(F.lit(status).alias("status"), delta.cast("long").alias("delta_bytes"), detail.alias("detail"))
     block = lambda detail: out("BLOCKED", F.lit(0), detail if isinstance(detail, Column) else F.lit(detail))
