@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import glob_to_regex, lines_of
+from larkspur.operators.links import checkpointed
 
 # Paths that no configuration can make mutable.
 FLOOR = [
@@ -65,13 +66,17 @@ def heal_checks(rules: DataFrame, files: DataFrame, now: Column) -> DataFrame:
     files_older_than and glob_nonempty the files that match and are older, or all.  regex is
     glob_to_regex() of the pattern, crosses=False.
     """
-    exact = rules.where("check in ('file_exists', 'max_line_count')").join(files, F.col("pattern") == F.col("path"), "left")
-    found = exact.where(F.when(F.col("check") == "file_exists", F.col("path").isNull()).otherwise(F.col("lines") > F.col("arg"))).select("id", F.col("pattern").alias("path"))
+    exact = rules.where("check in ('file_exists', 'max_line_count')")
+    # rules are a list that people write, so they go to the files: most of these lie in a few folders
+    named = checkpointed(files.join(F.broadcast(exact), F.col("pattern") == F.col("path")).select("id", "check", "pattern", "lines", "arg"))
+    lost = exact.where("check = 'file_exists'").join(named.select("pattern").distinct(), "pattern", "left_anti").select("id", "pattern")
+    long = named.where("check = 'max_line_count' and lines > arg").select("id", "pattern")
+    found = lost.unionByName(long).select("id", F.col("pattern").alias("path"))
     # a file meets the globs whose fixed folder it lies in, by an equi-join on its folders
     globs = rules.where("check in ('files_older_than', 'glob_nonempty')").withColumn("folder", F.regexp_extract("pattern", r"^((?:[^/*?\[]+/)*)", 1))
     steps = F.split("path", "/")
     folders = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda n: F.array_join(F.concat(F.slice(steps, 1, n), F.when(n > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/"))
-    globbed = files.withColumn("folder", F.explode(folders)).join(globs, "folder").where(F.expr("path rlike regex"))
+    globbed = files.withColumn("folder", F.explode(folders)).join(F.broadcast(globs), "folder").where(F.expr("path rlike regex"))
     old = F.unix_timestamp("modified") < F.unix_timestamp(now) - F.col("arg")
     return found.unionByName(globbed.where((F.col("check") == "glob_nonempty") | old).select("id", "path"))
 
