@@ -130,13 +130,16 @@ def note_spans(files: DataFrame) -> DataFrame:
     A note starts at its heading and stops at the next one, or at a second-level heading
     in its body before that.
     """
-    heads = files.select("path", "text", F.posexplode(offsets(F.col("text"), rf"(?m)^### \[{ID}\][ \t]+\S[^\n]*$")).alias("pos", "h")).select("path", "text", "pos", F.col("h.start").alias("start"), F.col("h.match").alias("head"))
-    after = F.lead("start").over(Window.partitionBy("path").orderBy("start"))
-    spans = heads.withColumn("body_start", F.col("start") + F.length("head")).withColumn("end", F.coalesce(after, F.length("text")))
-    body = F.substring(F.col("text"), F.col("body_start") + 1, F.col("end") - F.col("body_start"))
-    cut = F.instr(body, "\n## ")
-    stop = F.when(cut > 0, F.col("body_start") + cut - 1).otherwise(F.col("end"))
-    return spans.select("path", F.regexp_extract("head", f"({ID})", 1).alias("id"), "pos", "start", "body_start", stop.alias("stop"))
+    heads = files.select("path", "text", offsets(F.col("text"), rf"(?m)^### \[{ID}\][ \t]+\S[^\n]*$").alias("heads"))
+
+    def span(h, pos):
+        begin = h["start"] + F.length(h["match"])
+        end = F.coalesce(F.get("heads", pos + 1)["start"], F.length("text"))
+        cut = F.instr(F.substring(F.col("text"), begin + 1, end - begin), "\n## ")
+        return F.struct(F.regexp_extract(h["match"], f"({ID})", 1).alias("id"), pos.alias("pos"), h["start"].alias("start"), begin.alias("body_start"), F.when(cut > 0, begin + cut - 1).otherwise(end).alias("stop"))
+
+    # within each file, so its text is held once and not once for each note
+    return heads.select("path", F.explode(F.transform("heads", span)).alias("s")).select("path", "s.*")
 
 
 def attributed_secrets(files: DataFrame) -> DataFrame:
