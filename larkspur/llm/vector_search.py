@@ -140,7 +140,7 @@ def nearest_by_blocks(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: s
 class BallTree:
     """Centres and radii of nested halves of a set of vectors."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 48):
+    def __init__(self, points: np.ndarray, leaf: int = 96):
         self.points, self.centre, self.radius, self.kids, self.members = points, [], [], [], []
         self._grow(np.arange(len(points)), leaf)
         self.centre, self.radius = np.array(self.centre), np.array(self.radius)
@@ -170,6 +170,7 @@ class BallTree:
 
 
 MOST, LEAST = (1 << 63) - 1, -(1 << 63)
+KEPT = 200_000  # found rows that a tile holds before it cuts them to k a query
 
 
 def exact_products(points: np.ndarray, query: np.ndarray) -> list[int]:
@@ -180,51 +181,99 @@ def exact_products(points: np.ndarray, query: np.ndarray) -> list[int]:
     return [min(max(sum(int(x) * y for x, y in zip(p, whole)), LEAST), MOST) for p in points.tolist()]
 
 
+def _products(points: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Exact inner products of each query with each point, as int64; one matrix product where doubles hold all sums."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        narrow = points.shape[1] * np.abs(points).max(initial=0.0) * np.abs(queries).max(axis=1, initial=0.0) < 1 << 53
+    out = np.empty((len(queries), len(points)), np.int64)
+    out[narrow] = queries[narrow] @ points.T
+    for i in np.flatnonzero(~narrow):
+        out[i] = exact_products(points, queries[i])
+    return out
+
+
+class _Best:
+    """The k best (score, id) of each query seen so far, and the score that others must reach."""
+
+    def __init__(self, floor: list, k: int):
+        self.k, self.held, self.size = k, [], 0
+        self.floor = np.array([LEAST if f is None else f for f in floor], np.int64)
+        self.known = np.array([f is not None for f in floor], bool)
+
+    def add(self, who: np.ndarray, ids: np.ndarray, score: np.ndarray) -> bool:
+        """Takes rows; whether floors may have risen."""
+        self.held.append((who, ids, score))
+        self.size += len(who)
+        if self.size <= KEPT + 2 * self.k * len(self.floor):
+            return False
+        self.cut()
+        return True
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        who, ids, score = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((ids, ~score, who))  # ~ turns the order around, for the smallest number too
+        who, ids, score = who[order], ids[order], score[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        last = rank == self.k - 1
+        self.floor[who[last]] = np.maximum(self.floor[who[last]], score[last])
+        self.known[who[last]] = True
+        self.held = [(who[rank < self.k], ids[rank < self.k], score[rank < self.k])]
+        self.size = len(self.held[0][0])
+        return self.held[0]
+
+
 def _product_tile(k: int, scale: float, probe: bool):
-    """Of one tile: each query's k best; with probe only those of the first leaf, as a first bound."""
+    """Of one tile: each query's k best; with probe only those of its first leaf, as a first bound.
+
+    Queries go down the tree together: a node is left to those whose bound for it reaches
+    their floor, and a leaf meets all that come to it in one product.
+    """
 
     def run(key, table):
         ids, c, c_rows, asked, q, q_rows, floor = _split(table)
-        rows = []
-        if len(ids) and len(asked):
-            with np.errstate(over="ignore"):
-                largest = np.finfo(np.float64).max
-                c, q = (np.clip(np.floor(scale * x), -largest, largest) for x in (c, q))
-            # bounds are taken at a scale at which nothing overflows
-            _, unit = np.frexp(max(np.abs(c).max(), np.abs(q).max()))
-            unit = max(0, int(unit) - 400)
-            tree = BallTree(np.ldexp(c, -unit))
-            upper = tree.upper(np.ldexp(q, -unit))
-            bound_of = lambda score: float("-inf") if score is None else _shrunk(score, 2 * unit)
-            for i, query in enumerate(q):
-                least = floor[i]
-                best: list[tuple[int, int]] = []  # a heap of (score, -id), the worst on top
-                queue = [(-upper[i, 0], 0)]
-                while queue:
-                    bound, node = heapq.heappop(queue)
-                    kth = best[0][0] if len(best) == k and (least is None or best[0][0] > least) else least
-                    edge = bound_of(kth)
-                    if -bound < edge:
-                        break
-                    for kid in tree.kids[node]:
-                        if upper[i, kid] >= edge:
-                            heapq.heappush(queue, (-upper[i, kid], kid))
-                    if tree.kids[node]:
-                        continue
-                    at = tree.members[node]
-                    at = at[c_rows[at] != q_rows[i]]
-                    for j, score in zip(at.tolist(), exact_products(c[at], query)):
-                        one = (score, -int(ids[j]))
-                        if least is not None and score < least:
-                            continue
-                        if len(best) < k:
-                            heapq.heappush(best, one)
-                        elif one > best[0]:
-                            heapq.heapreplace(best, one)
-                    if probe and len(best) == k:
-                        break
-                rows += [(int(asked[i]), int(q_rows[i]), -b, s) for s, b in best]
-        return _found(rows, pa.int64())
+        if not len(ids) or not len(asked):
+            return _found([], pa.int64())
+        with np.errstate(over="ignore"):
+            largest = np.finfo(np.float64).max
+            c, q = (np.clip(np.floor(scale * x), -largest, largest) for x in (c, q))
+        # bounds are taken at a scale at which nothing overflows
+        _, unit = np.frexp(max(np.abs(c).max(), np.abs(q).max()))
+        unit = max(0, int(unit) - 400)
+        tree = BallTree(np.ldexp(c, -unit))
+        upper = tree.upper(np.ldexp(q, -unit))
+        best = _Best(floor, k)
+        edges = lambda: np.array([_shrunk(f, 2 * unit) if known else -np.inf for f, known in zip(best.floor.tolist(), best.known.tolist())])
+        edge = edges()
+
+        def meet(node: int, active: np.ndarray) -> bool:
+            rose, at = False, tree.members[node]
+            if len(at) > k + 1 and tree.radius[node] == 0 and (c[at] == c[at[0]]).all():
+                at = at[: k + 1]  # equal points in order of id: none behind these can be among k of another row
+            for lo in range(0, len(active), 1024):
+                who = active[lo : lo + 1024]
+                score = _products(c[at], q[who])
+                i, j = np.nonzero((score >= best.floor[who, None]) & (c_rows[at][None, :] != q_rows[who, None]))
+                rose |= best.add(who[i], ids[at[j]], score[i, j])
+            return rose
+
+        if probe:
+            leaves = np.flatnonzero([not x for x in tree.kids])
+            first = leaves[upper[:, leaves].argmax(axis=1)]
+            for node in np.unique(first):
+                meet(node, np.flatnonzero(first == node))
+        else:
+            queue = [(0, np.arange(len(asked)))]
+            while queue:
+                node, active = queue.pop()
+                active = active[upper[active, node] >= edge[active]]
+                if not len(active):
+                    continue
+                if tree.kids[node]:
+                    queue += sorted(((kid, active) for kid in tree.kids[node]), key=lambda x: upper[active, x[0]].mean())  # the nearer one first
+                elif meet(node, active):
+                    edge = edges()
+        who, near, score = best.cut() if best.held else (np.zeros(0, np.int64),) * 3
+        return pa.table({"query_id": pa.array(asked[who], pa.int64()), "row": pa.array(q_rows[who], pa.int64()), "vec_id": pa.array(near, pa.int64()), "score": pa.array(score, pa.int64())})
 
     return run
 
@@ -237,7 +286,7 @@ def _shrunk(score: int, bits: int) -> float:
 def top_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of floor(scale * x) for each row whose id is divisible by ``every``.
 
-    Each shard has a ball tree, searched best bound first: a node's points have at
+    Each shard has a ball tree, which its queries go down together: a node's points have at
     most q . centre + |q| * radius.  A first round takes each shard's best leaf; the
     k-th best of all shards is then the score every shard starts from in the second,
     so a shard without near points stops at its root.  Scores are exact integers; those

@@ -388,6 +388,38 @@ def test_vector_search(spark, kind):
         assert g[:3] == w[:3] and (g[3] == w[3] if kind == "product" else g[3] == pytest.approx(w[3], abs=1e-12))
 
 
+@pytest.mark.parametrize("probe", [False, True])
+def test_queries_of_a_tile_meet_leaves_together(monkeypatch, probe):
+    """Queries and copies by the hundred, against brute force, without a product for each query and leaf."""
+    import pyarrow as pa
+
+    from larkspur.llm import vector_search
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1500, 16))
+    v[200:700] = v[100]
+    v[700:1100] = v[3] + rng.normal(size=(400, 16)) * 0.01
+    rows = [(0, 0, 16, query, i, i, v[i].tolist(), None) for i in rng.permutation(1500).tolist() for query in (False, True) if not query or i % 5 == 0]
+    table = pa.Table.from_pylist([dict(zip(("cblock", "qblock", "d", "query", "row", "vec_id", "v", "floor"), r)) for r in rows], pa.schema([("cblock", pa.int32()), ("qblock", pa.int32()), ("d", pa.int32()), ("query", pa.bool_()), ("row", pa.int64()), ("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("floor", pa.int64())]))
+    monkeypatch.setattr(vector_search, "exact_products", None)
+    monkeypatch.setattr(vector_search, "KEPT", 500, raising=False)
+    whole = np.floor(256 * v).astype(np.int64)
+    score = whole @ whole.T
+    want = {q: sorted((-int(score[q, i]), i) for i in range(1500) if i != q)[:5] for q in range(0, 1500, 5)}
+    got = {}
+    for r in vector_search._product_tile(5, 256, probe)(None, table).to_pylist():
+        assert r["row"] == r["query_id"] and r["score"] == score[r["query_id"], r["vec_id"]]
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    if probe:
+        assert all(len(x) <= 5 for x in got.values())
+    else:
+        assert {q: sorted(x) for q, x in got.items()} == want
+        floors = {q: -x[4][0] for q, x in want.items()}
+        floor = pa.array([floors.get(q) for q in table.column("vec_id").to_pylist()], pa.int64())
+        again = vector_search._product_tile(5, 256, False)(None, table.set_column(7, "floor", floor)).to_pylist()
+        assert {q: sorted((-r["score"], r["vec_id"]) for r in again if r["query_id"] == q) for q in want} == want
+
+
 def test_vector_search_of_empty_tables(spark):
     from larkspur.llm.vector_search import nearest_by_blocks, top_products
 
