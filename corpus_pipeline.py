@@ -76,8 +76,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     take and go.  An empty table gives an empty one.
     """
     keyed = docs.select(COLUMNS).withColumn("row_key", F.sha2(F.to_json(F.struct(*COLUMNS)), 256))
+    folder = cluster.shared_folder(spark)
     taken = mix_sources(keyed, row_key="row_key").where("taken > 0").select("row_key", F.col("size").alias("mix_size"), F.col("pieces").alias("mix_pieces"))
-    twice = cluster.written(keyed.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"), cluster.shared_folder(spark), "twice")
+    taken = cluster.written(taken, folder, "taken")
+    twice = cluster.written(keyed.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"), folder, "twice")
     rows = keyed
     if twice.head(1):
         rows = keyed.join(twice, "row_key", "left_anti").unionByName(keyed.join(twice, "row_key", "left_semi").dropDuplicates(["row_key"]))

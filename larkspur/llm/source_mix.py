@@ -150,11 +150,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     # a row for each source, read by all plans that follow
     shares = cluster.written(with_stretches(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), block), folder, "shares")
     n_turns, n = int(shares.agg(F.coalesce(F.sum("turns"), F.lit(0))).first()[0]), sized.count()
-    taken = schedule(spark, shares, block, n_turns)
+    # each part is computed by a plan of its own: one plan of all of them takes much of the driver's memory where partitions are many
+    taken = cluster.written(schedule(spark, shares, block, n_turns), folder, "schedule")
     order = F.col("row_key") if row_key else F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mark").cast("string"))
     # the table of sources has a row for each source; null equals null here
     known = sized.join(shares.select("source", "rank", "source_size", "target"), sized["source"].eqNullSafe(shares["source"])).drop(shares["source"])
-    placed = laid_out(known.withColumn("row_key", order), n)
+    placed = cluster.written(laid_out(known.withColumn("row_key", order), n), folder, "placed")
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)
     parts = placed.where("size > 0").withColumn("block_no", F.explode(F.sequence(first, last)))
     parts = parts.join(taken, ["rank", "block_no"])

@@ -782,3 +782,14 @@ def test_stages_toxicity_and_pieces(spark, stage_rows, tmp_path):
     pieces = P.pieces(spark, spark.createDataFrame(kept, COLUMNS), "")
     assert Counter(r.doc_id for r in pieces.collect()) == Counter(r[0] for r in kept) and pieces.where("not exact").count() == 0
     assert P.toxicity(spark, stage_input(spark, rows).limit(0), str(tmp_path)).count() == P.pieces(spark, spark.createDataFrame([], COLUMNS), "").count() == 0
+
+
+def test_mix_is_computed_by_plans_of_few_shuffles(spark):
+    """Its parts are written; one plan of all of them takes the driver's memory where partitions are many."""
+    import corpus_pipeline
+    from larkspur.llm.source_mix import mix_sources
+
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 90), "en", f"s{i % 3}", i) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
+    for out in (mix_sources(docs), corpus_pipeline.source_mix(spark, docs, "")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and len(re.findall(r"\bExchange|BroadcastExchange", plan)) <= 6
