@@ -85,6 +85,24 @@ def test_closure_with_cycle(spark):
     assert {r.id for r in links.cyclic(reach).collect()} == {"a", "b"}
 
 
+def test_columns_list_their_values_where_there_are_few(spark):
+    rows = [(i, str(i % 13), ["b", "a", None][i % 3], None) for i in range(39)]
+    got = profile.profile_columns(spark.createDataFrame(rows, "id int, many string, few string, none string"))
+    assert {r.field: r["values"] for r in got.collect()} == {"id": None, "many": None, "few": ["a", "b"], "none": None}
+    few = profile.profile_columns(spark.createDataFrame(rows, "id int, many string, few string, none string"), 13)
+    assert {r.field: r["values"] for r in few.collect()} == {"id": None, "many": sorted(map(str, range(13))), "few": ["a", "b"], "none": None}
+
+
+def test_all_columns_of_the_customers_are_profiled(spark):
+    from larkspur import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.field: r["values"] for r in Q.prof_columns(spark, sf).collect()}
+    customers = spark.read.parquet(f"{sf}/customer.parquet")
+    assert set(got) == set(customers.columns)
+    assert got["c_mktsegment"] == sorted(r[0] for r in customers.select("c_mktsegment").distinct().collect())
+
+
 def test_log_templates(spark):
     lines = [(i, f"2026-01-01 10:00:0{i % 10} INFO took {i}ms from 10.0.0.{i % 9}") for i in range(30)] + [(30 + i, f"ERROR 0x{i:x}f failed") for i in range(5)]
     got = profile.log_templates(spark.createDataFrame(lines, "pos int, line string")).orderBy(F.desc("n")).collect()
